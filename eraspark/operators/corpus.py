@@ -134,6 +134,18 @@ def dedup_keep_first(df: DataFrame, text: str = "clean_lyrics", year: str = "yea
 
 
 # ---------------------------------------------------------------- pipeline A
+def with_computed(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add an expensive column that later filters refer to, evaluated once.
+
+    A filter on a plain derived column is pushed below its projection with
+    the expression inlined, so the expression runs twice (filter + project)
+    and inside the scan task. Producing the value through a one-element
+    ``explode`` (a Generate node) keeps the filter above it: the expression is
+    evaluated once, after any repartition, while cheaper filters that do not
+    use it still reach the scan."""
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def clean_stage(df: DataFrame) -> DataFrame:
     """language -> lyrics present -> title noise -> year coercion -> clean ->
     length filter. Equality/null filters come first so they reach the scan."""
@@ -141,7 +153,7 @@ def clean_stage(df: DataFrame) -> DataFrame:
     out = out.filter(F.col("lyrics").isNotNull())
     out = filter_title_noise(out)
     out = cast_numeric_coerce(out, "year", "views" if "views" in df.columns else None)
-    out = out.withColumn("clean_lyrics", clean_lyrics("lyrics"))
+    out = with_computed(out, "clean_lyrics", clean_lyrics("lyrics"))
     return filter_min_length(out)
 
 

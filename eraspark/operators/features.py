@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams_1_2, remove_stopwords, tokenize_word
+from ..session import materialize
 from .ranking import exact_rank
 
 # Vocabulary tables up to this many rows are broadcast to the term-weight
@@ -52,22 +53,27 @@ def vocab_topk(tdf: DataFrame, max_features: int | None, min_df: int = 1) -> Dat
     """Terms with df >= min_df, then the ``max_features`` with the largest
     total count (ties: term ascending).
 
-    No global sort: a histogram of totals (at most sqrt(2 * sum(total)) rows)
-    locates the cut-off total T; terms above T are kept, and only the tie
-    group at T is ranked, with :func:`exact_rank` on term prefixes."""
+    No global sort: when there are more candidates than ``max_features``, a
+    histogram of totals (at most sqrt(2 * sum(total)) rows) locates the
+    cut-off total T; terms above T are kept, and only the tie group at T is
+    ranked, with :func:`exact_rank` on term prefixes. ``tdf`` should be
+    materialised (it is read several times); the driver reads two scalars."""
     cand = tdf.filter(F.col("df") >= min_df)
     if max_features is None:
         return cand
+    n_cand = cand.count()
+    if n_cand <= max_features:
+        return cand
     hist = cand.groupBy("total").agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("n_gt", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    cut = hist.filter((F.col("n_gt") < max_features) & (F.col("n_gt") + F.col("n") >= max_features))
-    t_star = cut.select(F.max("total")).scalar()
-    n_gt = cut.select(F.max("n_gt")).scalar()
-    above = cand.filter(t_star.isNull() | (F.col("total") > t_star))
+    cut = hist.filter((F.col("n_gt") < max_features)
+                      & (F.col("n_gt") + F.col("n") >= max_features)).first()
+    t_star, n_gt = cut["total"], cut["n_gt"]
+    above = cand.filter(F.col("total") > t_star)
     tie = exact_rank(cand.filter(F.col("total") == t_star), [F.col("term")],
                      F.substring("term", 1, 2), rank_col="_tr")
-    tie = tie.filter(F.col("_tr") <= F.lit(max_features) - n_gt).drop("_tr")
+    tie = tie.filter(F.col("_tr") <= max_features - n_gt).drop("_tr")
     return above.unionByName(tie)
 
 
@@ -93,13 +99,19 @@ def tfidf(tf: DataFrame, idf: DataFrame, doc: str = "doc", sublinear: bool = Fal
 
 def fit_tfidf(docs: DataFrame, doc: str, text: str, max_features: int | None,
               min_df: int = 1, stop_words=None, sublinear: bool = False,
-              keep=()) -> tuple[DataFrame, DataFrame]:
+              keep=(), n_docs: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Fit on ``docs`` and transform them: returns (weights, vocab) where
-    vocab = (term, df, total, idf)."""
+    vocab = (term, df, total, idf).
+
+    ``docs`` should be materialised and hash-partitioned by ``doc`` (see
+    :func:`eraspark.session.materialize`): the term counts are then
+    computed twice from it (statistics, weights) without any shuffle, which
+    is cheaper than storing the much larger term-count table."""
     tf = term_frequencies(docs, doc, text, stop_words, 2, keep)
-    vocab = vocab_topk(term_doc_freq(tf), max_features, min_df)
-    n = docs.select(F.count(F.lit(1))).scalar()
-    vocab = vocab.withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
+    stats = materialize(term_doc_freq(tf).filter(F.col("df") >= min_df))
+    vocab = vocab_topk(stats, max_features, min_df)
+    n = docs.count() if n_docs is None else n_docs
+    vocab = vocab.withColumn("idf", F.log(F.lit(float(1 + n)) / (1 + F.col("df"))) + 1)
     weights = tfidf(tf, vocab.select("term", "idf"), doc, sublinear, max_features)
     return weights, vocab
 
