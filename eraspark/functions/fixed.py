@@ -28,6 +28,9 @@ CLASS_CAP = 20_000            # undersampling, rows per era
 OVR_NEGATIVE_CAP = 200_000    # one-vs-rest negatives per target era
 SPLIT_TEST_FRACTION = 0.10    # test = ceil(0.1 n); val = ceil(0.1 rest)
 SEED = 42
+GENRE_DRAWS_PER_CLASS = 10_000  # with-replacement draws per side per genre
+VERIFY_SAMPLE_N = 50            # rows drawn for the manual year check
+REPORT_SAMPLE_N = 1_000         # rows drawn for the method comparison
 
 # --- fixed values: TF-IDF jobs (max features, min df) ---------------------------
 TOP_TOKENS_V, TOP_TOKENS_MIN_DF, TOP_TOKENS_K = 80_000, 3, 100

@@ -5,6 +5,10 @@ are cut into ordered buckets (a prefix of the order key, so bucket order
 agrees with key order), each bucket is ranked in parallel, and a running sum
 of bucket sizes -- computed on the small (group, bucket) count table and
 joined back by broadcast -- turns local ranks into global ones.
+
+With a ``limit`` (an int or a per-group column), buckets that start at or
+beyond the limit are dropped before any sorting, so "first n per group"
+only ranks the leading buckets.
 """
 
 from __future__ import annotations
@@ -12,17 +16,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Number of (group, bucket) rows above which the offset table is shuffled
-# rather than broadcast. With hex-prefix buckets it is 256 x groups.
-OFFSET_BROADCAST_ROWS = 1_000_000
+# (group, bucket) count tables up to this many rows are broadcast.
+OFFSET_BROADCAST_ROWS = 2_000_000
 
 
 def exact_rank(df: DataFrame, order_cols: list[Column], bucket: Column,
                partition_cols: list[str] | None = None, rank_col: str = "rank",
-               n_groups_hint: int | None = None) -> DataFrame:
+               n_groups_hint: int | None = None, n_buckets_hint: int = 256,
+               limit: int | Column | None = None) -> DataFrame:
     """Add ``rank_col`` = 1-based row number within ``partition_cols`` in the
     order of ``order_cols``. ``bucket`` must be monotone in that order (e.g.
-    the first hex digits of an md5 order key)."""
+    the first hex digits of an md5 order key). With ``limit`` only rows with
+    rank <= limit are returned."""
     parts = list(partition_cols or [])
     d = df.withColumn("_bkt", bucket)
     counts = d.groupBy(*parts, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
@@ -30,15 +35,20 @@ def exact_rank(df: DataFrame, order_cols: list[Column], bucket: Column,
          .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*parts, "_bkt",
                             F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    if n_groups_hint is not None and n_groups_hint * 256 <= OFFSET_BROADCAST_ROWS:
+    if n_groups_hint is not None and n_groups_hint * n_buckets_hint <= OFFSET_BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
+    j = d.join(offsets, on=[*parts, "_bkt"], how="inner")
+    if limit is not None:
+        lim = limit if isinstance(limit, Column) else F.lit(limit)
+        j = j.filter(F.col("_off") < lim)
     local = Window.partitionBy(*parts, "_bkt").orderBy(*order_cols)
-    ranked = d.withColumn("_lr", F.row_number().over(local))
-    return (ranked.join(offsets, on=[*parts, "_bkt"], how="inner")
-            .withColumn(rank_col, (F.col("_off") + F.col("_lr")).cast("long"))
-            .drop("_bkt", "_lr", "_off"))
+    ranked = (j.withColumn(rank_col, (F.col("_off") + F.row_number().over(local)).cast("long"))
+              .drop("_bkt", "_off"))
+    if limit is not None:
+        ranked = ranked.filter(F.col(rank_col) <= lim)
+    return ranked
 
 
 def hex_bucket(hex_key: str, digits: int = 2) -> Column:
-    """Ordered bucket from the leading hex digits of an md5 key (256 for 2)."""
+    """Ordered bucket from the leading hex digits of an md5 key (16**digits)."""
     return F.substring(F.col(hex_key), 1, digits)
