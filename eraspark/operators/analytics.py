@@ -80,7 +80,8 @@ def token_overlap(top_tokens: DataFrame, n_groups: Column | int | None = None) -
     n = n_groups if n_groups is not None else top_tokens.select(F.countDistinct("era")).scalar()
     return (top_tokens.groupBy("token")
             .agg(F.countDistinct("era").alias("n_eras"),
-                 F.round(F.avg("tfidf_score"), 6).alias("mean_score"))
+                 # mean of 6-decimal scores: exact ties sit at 7 decimals
+                 F.round(F.avg("tfidf_score"), 9).alias("mean_score"))
             .filter(F.col("n_eras") == n)
             .select("token", F.col("n_eras").cast("long"), "mean_score"))
 
