@@ -16,17 +16,18 @@ from .features import fit_tfidf
 SCORE_TIE_DECIMALS = 12
 
 
-def prepare_era_docs(songs: DataFrame) -> DataFrame:
-    """Raw songs -> (text_key, id, clean_lyrics, year, song_era), one row per
-    distinct cleaned text, hash-partitioned by ``text_key`` = md5(clean)."""
-    cleaned = clean_stage(songs).select("id", "clean_lyrics", "year",
+def prepare_era_docs(songs: DataFrame, extra=()) -> DataFrame:
+    """Raw songs -> (text_key, id, clean_lyrics, year, song_era, *extra), one
+    row per distinct cleaned text, hash-partitioned by ``text_key`` =
+    md5(clean)."""
+    cleaned = clean_stage(songs).select("id", "clean_lyrics", "year", *extra,
                                         *(["views"] if "views" in songs.columns else []))
     keyed = cleaned.withColumn("text_key", F.md5("clean_lyrics"))
     dedup = dedup_keep_first(keyed, text="text_key")
     return (filter_year_range(dedup)
             .withColumn("song_era", era_bin("year"))
             .filter(F.col("song_era").isNotNull() & F.col("clean_lyrics").isNotNull())
-            .select("text_key", "id", "clean_lyrics", "year", "song_era"))
+            .select("text_key", "id", "clean_lyrics", "year", "song_era", *extra))
 
 
 def era_mean_tfidf(weights: DataFrame, docs: DataFrame, era: str = "song_era",
