@@ -76,6 +76,22 @@ GENRE_LABEL_MARKER = "หมวดเพลง"              # "song category" l
 SEARCH_YEAR_KEYWORD = "ปี"                  # "year", appended to year searches
 THAI_INDEX_LETTERS = "กขฃคฅฆงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรฤลฦวศษสหฬอฮ"
 
+# --- fixed values: prediction payload keys (first usable key wins) -----------
+ERA_KEYS = ("era", "predicted_era", "predictedEra", "era_label")
+GENRE_KEYS = ("genre", "predicted_genre", "predictedGenre", "genre_label")
+ERA_CONFIDENCE_KEYS = ("era_confidence", "eraConfidence", "era_score")
+GENRE_CONFIDENCE_KEYS = ("genre_confidence", "genreConfidence", "genre_score")
+OVERALL_CONFIDENCE_KEYS = ("overall_confidence", "overallConfidence", "confidence")
+DEFAULT_ERA, DEFAULT_GENRE = "Unknown era", "Unknown genre"
+
+# --- fixed values: crawler record constants --------------------------------------
+CRAWL_PLATFORM = "meemodel"
+CRAWL_PLATFORM_TYPE = "lyrics-site"
+CRAWL_CONTENT_TYPE = "lyrics"
+CRAWL_LANGUAGE_VARIANT = "Central Thai text"
+CRAWL_SCRAPER_MODULE = "meemodel_scraper.py"
+TOKEN_MAX_LEN = 256           # padded/truncated id length (512 for the year model)
+
 # --- fixed values: release-year extraction ---------------------------------------
 THAI_DIGITS = "๐๑๒๓๔๕๖๗๘๙"
 BUDDHIST_ERA_OFFSET = 543

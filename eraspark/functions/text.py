@@ -100,12 +100,14 @@ def _hit(c: Column, pattern: str) -> Column:
 
 
 # Year rules. (?d): only \n ends a line for '.', as in Python; (?U): Unicode \s.
+# Python's \s (str.isspace) = Java (?U)\s plus U+001C..U+001F.
+_S = "[\\s\\x1c-\\x1f]"
 _SEP = "[·•‧\\-–—|]"
-_BE = "พ\\.?\\s*ศ\\.?\\s*([0-9๐-๙]{4})"
-YEAR_RULE1 = f"(?dU){fixed.YEAR_BY_ARTIST_WORD}\\s+.+?{_SEP}\\s*{_BE}"
-YEAR_RULE2 = f"(?dU){fixed.YEAR_VIA_WORD}\\s+[A-Za-zก-๙\\s]+?\\s*{_BE}"
-YEAR_RULE4A = "(?dU)พ\\.ศ\\.?\\s*(\\p{Nd}{4})"
-YEAR_RULE4B = "(?dU)\\p{Nd}{1,2}\\s*[ก-๙]+\\s*(\\p{Nd}{4})"
+_BE = f"พ\\.?{_S}*ศ\\.?{_S}*([0-9๐-๙]{{4}})"
+YEAR_RULE1 = f"(?dU){fixed.YEAR_BY_ARTIST_WORD}{_S}+.+?{_SEP}{_S}*{_BE}"
+YEAR_RULE2 = f"(?dU){fixed.YEAR_VIA_WORD}{_S}+[A-Za-zก-๙\\s\\x1c-\\x1f]+?{_S}*{_BE}"
+YEAR_RULE4A = f"(?dU)พ\\.ศ\\.?{_S}*(\\p{{Nd}}{{4}})"
+YEAR_RULE4B = f"(?dU)\\p{{Nd}}{{1,2}}{_S}*[ก-๙]+{_S}*(\\p{{Nd}}{{4}})"
 
 
 def extract_year(c, heavy: bool = False) -> Column:
