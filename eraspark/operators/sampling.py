@@ -76,34 +76,41 @@ def _assign(j: DataFrame) -> DataFrame:
 
 
 def approximate_mode(counts: DataFrame, cls: str, count_col: str, draws: Column,
-                     out: str) -> DataFrame:
+                     out: str, by=()) -> DataFrame:
     """Allot ``draws`` over classes in proportion to ``count_col``:
     floor(c / n * draws) each, then one more to the classes with the largest
-    remainders (ties: class ascending). ``counts`` has one row per class."""
-    whole = Window.partitionBy()
+    remainders (ties: class ascending). ``counts`` has one row per class
+    (per ``by`` group), so the windows run over class-sized groups."""
+    whole = Window.partitionBy(*by)
     n = F.sum(count_col).over(whole)
     cont = F.col(count_col) / n * draws
     c = counts.withColumn("_cont", cont).withColumn("_fl", F.floor("_cont"))
     c = c.withColumn("_need", draws - F.sum("_fl").over(whole))
-    rk = F.row_number().over(Window.orderBy(F.desc(F.col("_cont") - F.col("_fl")), F.asc(cls)))
+    rk = F.row_number().over(Window.partitionBy(*by).orderBy(
+        F.desc(F.col("_cont") - F.col("_fl")), F.asc(cls)))
     return (c.withColumn(out, (F.col("_fl") + F.when(rk <= F.col("_need"), 1).otherwise(0)).cast("long"))
             .drop("_cont", "_fl", "_need"))
 
 
-def split_stratified(df: DataFrame, cls: str, key: str = "id", seed: int = fixed.SEED) -> DataFrame:
-    """Two chained stratified 10 % splits: class shares kept per split,
-    per-class allotments by largest remainder."""
-    counts = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_c"))
-    whole = Window.partitionBy()
-    n = F.sum("_c").over(whole)
-    counts = counts.withColumn("_ntest_all", F.ceil(F.lit(fixed.SPLIT_TEST_FRACTION) * n))
-    t = approximate_mode(counts, cls, "_c", F.col("_ntest_all"), "_nt")
+def split_stratified(df: DataFrame, cls: str, key: str = "id", seed: int = fixed.SEED,
+                     by=()) -> DataFrame:
+    """Two chained stratified 10 % splits (per ``by`` group): class shares
+    kept per split, per-class allotments by largest remainder."""
+    by = list(by)
+    counts = df.groupBy(*by, cls).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*by)
+    counts = counts.withColumn("_ntest_all", F.ceil(F.lit(fixed.SPLIT_TEST_FRACTION)
+                                                    * F.sum("_c").over(whole)))
+    t = approximate_mode(counts, cls, "_c", F.col("_ntest_all"), "_nt", by)
     t = t.withColumn("_rest", F.col("_c") - F.col("_nt"))
     t = t.withColumn("_nval_all", F.ceil(F.lit(fixed.SPLIT_TEST_FRACTION) * F.sum("_rest").over(whole)))
-    t = approximate_mode(t, cls, "_rest", F.col("_nval_all"), "_nv")
-    quotas = t.select(cls, "_nt", "_nv")
-    r = rank_in_class(df, cls, key, seed, "_r")
-    j = r.join(F.broadcast(quotas), cls, "inner")
+    t = approximate_mode(t, cls, "_rest", F.col("_nval_all"), "_nv", by)
+    quotas = t.select(*by, cls, "_nt", "_nv")
+    h = df.withColumn("_h", sha_order(seed, F.concat_ws("|", *[F.col(b).cast("string") for b in by],
+                                                         F.col(key).cast("string"))))
+    r = exact_rank(h, [F.col("_h"), F.col(key)], hex_bucket("_h"), [*by, cls], "_r",
+                   n_groups_hint=64).drop("_h")
+    j = r.join(F.broadcast(quotas), [*by, cls], "inner")
     return _assign(j).drop("_r", "_nt", "_nv")
 
 

@@ -119,3 +119,23 @@ def scan_models(coef: DataFrame, vocab: DataFrame, cls: str = "class") -> DataFr
 
 def pct(score) -> Column:
     return F.round(F.col(score) * 100, 2) if isinstance(score, str) else F.round(score * 100, 2)
+
+
+SCORERS: dict = {}
+
+
+def register_scorer(name: str, fn, return_type: str = "double"):
+    """Register a user scorer: a function pandas.Series[str] -> pandas.Series
+    of scores, run as an Arrow-batched pandas UDF."""
+    udf = F.pandas_udf(fn, return_type)
+    SCORERS[name] = udf
+    return udf
+
+
+def example_length_scorer(texts):
+    """Example scorer: share of a text's characters that are letters."""
+    import pandas as pd
+    t = texts.fillna("")
+    letters = t.str.count(r"[^\W\d_]")
+    return (letters / t.str.len().where(t.str.len() > 0)).astype("float64").fillna(0.0).rename(None) \
+        if isinstance(t, pd.Series) else t

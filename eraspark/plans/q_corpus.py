@@ -312,3 +312,65 @@ def q_union_all(spark, sf_dir):
 @register("distinct_urls", "SELECT DISTINCT url FROM pages")
 def q_distinct_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("url").distinct()
+
+
+# ---------------------------------------------------------------- weights, maps
+@register("class_weight_balanced", f"""{WITH_CLEAN},
+c AS (SELECT song_era, count(*) AS nc FROM era_docs GROUP BY song_era),
+w AS (SELECT song_era, sum(nc) OVER () / (count(*) OVER () * nc) AS weight FROM c)
+SELECT id, song_era, round(weight, 9) AS weight FROM era_docs JOIN w USING (song_era)""")
+def q_class_weight_balanced(spark, sf_dir):
+    from ..operators.labels import class_weight_balanced
+    d = era_docs(spark, sf_dir).select("id", "song_era")
+    return class_weight_balanced(d, "song_era").select("id", "song_era", F.round("weight", 9).alias("weight"))
+
+
+@register("inverse_freq_weight", f"""{WITH_CLEAN},
+c AS (SELECT song_era, 1.0 / count(*) AS weight FROM era_docs GROUP BY song_era)
+SELECT id, song_era, round(weight, 9) AS weight FROM era_docs JOIN c USING (song_era)""")
+def q_inverse_freq_weight(spark, sf_dir):
+    from ..operators.labels import inverse_freq_weight
+    d = era_docs(spark, sf_dir).select("id", "song_era")
+    return inverse_freq_weight(d, "song_era").select("id", "song_era", F.round("weight", 9).alias("weight"))
+
+
+@register("join_class_weight", f"""{WITH_CLEAN},
+c AS (SELECT song_era, 1.0 / count(*) AS weight FROM era_docs GROUP BY song_era)
+SELECT e.id, CAST(e.year AS FLOAT) AS labels, round(c.weight, 9) AS weight
+FROM era_docs e JOIN c USING (song_era)""")
+def q_join_class_weight(spark, sf_dir):
+    """Year-regression rows with their era's 1/count sampling weight."""
+    from ..operators.labels import inverse_freq_weight
+    d = era_docs(spark, sf_dir).select("id", "song_era", "year")
+    w = inverse_freq_weight(d, "song_era")
+    return w.select("id", F.col("year").cast("float").alias("labels"), F.round("weight", 9).alias("weight"))
+
+
+@register("join_label_map", f"""{WITH_CLEAN},
+lab AS (SELECT song_era, CAST(row_number() OVER (ORDER BY song_era) - 1 AS INTEGER) AS label_id
+        FROM (SELECT DISTINCT song_era FROM era_docs WHERE song_era IS NOT NULL))
+SELECT id, label_id FROM era_docs JOIN lab USING (song_era)""")
+def q_join_label_map(spark, sf_dir):
+    d = era_docs(spark, sf_dir)
+    lab = label_table(d, "song_era")
+    return d.join(F.broadcast(lab.withColumnRenamed("label", "song_era")), "song_era", "inner") \
+        .select("id", "label_id")
+
+
+@register("lemmatize_lookup", f"""{WITH_CLEAN},
+t AS (SELECT id, generate_subscripts(toks, 1) AS pos, unnest(toks) AS tok FROM
+        (SELECT id, regexp_extract_all(lower(clean_lyrics), '({S.W}{{2,}})', 1) AS toks FROM era_docs)),
+vocab AS (SELECT DISTINCT tok FROM t),
+lem AS (SELECT v.tok AS word, left(v.tok, length(v.tok) - 1) AS lemma FROM vocab v
+        WHERE v.tok LIKE '%s' AND length(v.tok) > 3 AND left(v.tok, length(v.tok) - 1) IN (SELECT tok FROM vocab)),
+m AS (SELECT t.id, t.pos, coalesce(lem.lemma, t.tok) AS lemma FROM t LEFT JOIN lem ON lem.word = t.tok)
+SELECT id, CAST(count(*) AS INTEGER) AS n_tokens, string_agg(lemma, ' ' ORDER BY pos) AS lemmas FROM m GROUP BY id""")
+def q_lemmatize_lookup(spark, sf_dir):
+    """Plural-noun lemma table derived from the corpus vocabulary (word ending
+    in 's' whose stem is also a word), applied with a join; unknown words
+    stay unchanged."""
+    from ..operators.lemma import lemmatize, plural_lemma_table
+    d = era_docs(spark, sf_dir).select("id", "clean_lyrics")
+    t = d.select("id", F.posexplode(TX.tokenize_word("clean_lyrics")).alias("pos", "tok"))
+    lem = plural_lemma_table(t.select("tok").distinct())
+    return lemmatize(t, lem)

@@ -37,7 +37,10 @@ def _case(expr_spark, cases, default=None):
 def raw_records(spark, sf_dir):
     """Scraped-record stand-ins built from ``pages`` (mixed-quality fields
     on purpose: padded ids, bad years, epoch/text/missing timestamps)."""
-    p = table(spark, sf_dir, "pages")
+    return raw_records_from(table(spark, sf_dir, "pages"))
+
+
+def raw_records_from(p):
     pid = F.col("page_id")
     h1 = F.regexp_extract("html", H1_RE, 1)
     lit = F.lit
