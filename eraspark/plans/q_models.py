@@ -1,3 +1,230 @@
-"""Registered queries."""
+"""Registered queries: model fits and batch scoring.
+
+Rows-only checks: fitted coefficients depend on the solver, so the returned
+tables are evaluation reports / predictions; tests check the objective
+mapping against a NumPy solver."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..functions.text import clean_lyrics, tokenize_ws
+from ..operators import analytics as A
+from ..operators import metrics as M
+from ..operators import models as ML
+from ..operators import scoring as SC
+from ..operators.features import doc_embedding_mean, fit_tfidf, transform_tfidf
+from ..operators.sampling import ovr_fair_negatives, ovr_with_replacement, split_stratified
+from ..session import materialize
+from ..sources.tables import songs, table
+from .registry import register
+
+ERAS, GENRES = fixed.ERA_LABELS, fixed.GENRES
+MIN_DF = 3
+
+
+def _docs(spark, sf_dir):
+    """Deduplicated era documents with a stratified train/val/test split."""
+    d = A.prepare_era_docs(songs(spark, sf_dir), extra=("tag",))
+    return materialize(split_stratified(d, "song_era"))
+
+
+def _features(docs, V, sublinear=False, train_filter=None):
+    """Fit TF-IDF on the training rows, transform every row, assemble
+    sparse vectors; returns (vectors, size)."""
+    train = docs.filter(train_filter if train_filter is not None else F.col("split") == "train")
+    _, vocab = fit_tfidf(train, "text_key", "clean_lyrics", V, MIN_DF, sublinear=sublinear)
+    vocab = materialize(vocab)
+    w = transform_tfidf(docs, vocab, "text_key", "clean_lyrics", sublinear=sublinear, max_features=V)
+    idx = materialize(ML.vocab_index(vocab))
+    size = idx.count()
+    return materialize(ML.to_vectors(w, idx, docs, "text_key", size)), size
+
+
+def _binary_scores(vec, labels, col, C, max_iter):
+    """One balanced binary model per label: long (id, split, class, p)."""
+    out = None
+    for lab in labels:
+        data = vec.withColumn("y", (F.col(col) == lab).cast("double"))
+        m = ML.fit_binary(data.filter(F.col("split") == "train"), "y", C, max_iter)
+        p = ML.positive_prob(m.transform(data)).select("id", "split", F.lit(lab).alias("class"),
+                                                        F.col("p").alias("score"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("fit_ovr_logreg")
+def q_fit_ovr_logreg(spark, sf_dir):
+    """Shared TF-IDF (V 50k), one balanced binary LR per era, argmax;
+    report per split."""
+    docs = _docs(spark, sf_dir)
+    vec, _ = _features(docs, fixed.OVR_ERA_V)
+    sc = _binary_scores(vec, ERAS, "song_era", 1.0, 500)
+    pred = SC.argmax_label(sc, "id").join(docs.select("id", "song_era", "split"), "id")
+    return M.classification_report(pred, "song_era", "predicted", ERAS, by=("split",))
+
+
+@register("fit_binary_per_era")
+def q_fit_binary_per_era(spark, sf_dir):
+    """Per era: fair one-vs-rest set, its own TF-IDF (V 80k) fitted on its
+    train split, balanced LR; accuracy / F1 per split."""
+    base = A.prepare_era_docs(songs(spark, sf_dir))
+    sets = materialize(split_stratified(ovr_fair_negatives(base, "song_era"), "is_target",
+                                        by=("target",)))
+    reports = None
+    for era in ERAS:
+        d = sets.filter(F.col("target") == era)
+        if d.limit(1).count() == 0:
+            continue
+        vec, _ = _features(d, fixed.PER_ERA_V)
+        data = vec.withColumn("y", F.col("is_target").cast("double"))
+        m = ML.fit_binary(data.filter(F.col("split") == "train"), "y", 1.0, 1500)
+        pred = m.transform(data).select("split", F.col("y").cast("int").cast("string").alias("t"),
+                                        F.col("prediction").cast("int").cast("string").alias("p"))
+        r = M.accuracy_f1(pred, "t", "p", ("0", "1"), positive="1", by=("split",)) \
+            .withColumn("target", F.lit(era))
+        reports = r if reports is None else reports.unionByName(r)
+    return reports
+
+
+@register("fit_binary_per_genre")
+def q_fit_binary_per_genre(spark, sf_dir):
+    """Per genre: sublinear TF-IDF (V 150k) and balanced LR with C=2. The
+    vectoriser is fitted once: every genre's model sees the same texts."""
+    docs = materialize(split_stratified(
+        A.prepare_era_docs(songs(spark, sf_dir), extra=("tag",)).filter(F.col("tag").isin(*GENRES)),
+        "tag"))
+    vec, _ = _features(docs, fixed.GENRE_BINARY_V, sublinear=True)
+    sc = _binary_scores(vec, GENRES, "tag", 2.0, 2000)
+    pred = SC.argmax_label(sc, "id").join(docs.select("id", "tag", "split"), "id")
+    return M.classification_report(pred, "tag", "predicted", GENRES, by=("split",))
+
+
+@register("fit_genre_balanced")
+def q_fit_genre_balanced(spark, sf_dir):
+    """Per genre: with-replacement balanced training draws (train split
+    only), sublinear TF-IDF (V 500k) fitted on train, balanced LR C=1;
+    evaluated on the untouched test split."""
+    docs = materialize(split_stratified(
+        A.prepare_era_docs(songs(spark, sf_dir), extra=("tag",)).filter(F.col("tag").isin(*GENRES)),
+        "tag"))
+    vec, _ = _features(docs, fixed.GENRE_BALANCED_V, sublinear=True)
+    train_ids = docs.filter(F.col("split") == "train").select("id", "tag")
+    draws = materialize(ovr_with_replacement(train_ids, "tag", GENRES, fixed.GENRE_DRAWS_PER_CLASS))
+    reports = None
+    for g in GENRES:
+        tr = draws.filter(F.col("target") == g).join(vec.select("id", "features"), "id") \
+            .withColumn("y", F.col("is_target").cast("double"))
+        m = ML.fit_binary(tr, "y", 1.0, 10000)
+        test = vec.filter(F.col("split") == "test").withColumn("y", (F.col("tag") == g).cast("double"))
+        pred = m.transform(test).select(F.col("y").cast("int").cast("string").alias("t"),
+                                        F.col("prediction").cast("int").cast("string").alias("p"))
+        r = M.accuracy_f1(pred, "t", "p", ("0", "1"), positive="1").withColumn("genre", F.lit(g))
+        reports = r if reports is None else reports.unionByName(r)
+    return reports
+
+
+@register("fit_multiclass_logreg")
+def q_fit_multiclass_logreg(spark, sf_dir):
+    """One-vs-rest LR over the era labels (V 120k), balanced weights."""
+    from ..operators.labels import label_encode, label_table
+    docs = _docs(spark, sf_dir)
+    vec, _ = _features(docs, fixed.MULTICLASS_V)
+    labels = label_table(docs, "song_era")
+    data = ML.balanced_weights(label_encode(vec, labels, "song_era").withColumn(
+        "label", F.col("label_id").cast("double")), "label")
+    from pyspark.ml.classification import OneVsRest
+    n = data.filter(F.col("split") == "train").count()
+    ovr = OneVsRest(classifier=ML.logreg("label", 1.0, n, 2000, plain=True), labelCol="label",
+                    featuresCol="features", weightCol="weight")
+    m = ovr.fit(data.filter(F.col("split") == "train"))
+    pred = m.transform(data).join(F.broadcast(labels.select(F.col("label_id").cast("double").alias("prediction"),
+                                                            F.col("label").alias("predicted"))),
+                                  "prediction", "left")
+    return M.classification_report(pred, "song_era", "predicted", ERAS, by=("split",))
+
+
+@register("fit_w2v_logreg")
+def q_fit_w2v_logreg(spark, sf_dir):
+    """Word2Vec (768-d, window 15, min count 5) on train tokens, document =
+    mean of its known word vectors (zeros if none), balanced LR per era."""
+    docs = _docs(spark, sf_dir)
+    toks = docs.select("id", "split", "song_era", tokenize_ws("clean_lyrics").alias("toks"))
+    w2v = ML.fit_word2vec(toks.filter(F.col("split") == "train"), "toks")
+    vectors = w2v.getVectors().select(F.col("word").alias("token"),
+                                      ML.vector_to_array("vector").alias("vector"))
+    occ = toks.select("id", F.explode("toks").alias("token"))
+    emb = doc_embedding_mean(occ, vectors, doc="id", token="token", vec="vector", dim=768)
+    from pyspark.ml.functions import array_to_vector
+    vec = emb.join(docs.select("id", "song_era", "split"), "id").withColumn(
+        "features", array_to_vector("embedding"))
+    vec = materialize(vec)
+    sc = _binary_scores(vec, ERAS, "song_era", 1.0, 1500)
+    pred = SC.argmax_label(sc, "id").join(docs.select("id", "song_era", "split"), "id")
+    return M.classification_report(pred, "song_era", "predicted", ERAS, by=("split",))
+
+
+@register("fit_ridge_year")
+def q_fit_ridge_year(spark, sf_dir):
+    """Ridge (alpha 1) on TF-IDF (V 120k) -> release year; error report per split."""
+    docs = _docs(spark, sf_dir)
+    vec, _ = _features(docs, fixed.RIDGE_V)
+    m = ML.fit_ridge(vec.filter(F.col("split") == "train").withColumn("y", F.col("year")), "y")
+    pred = m.transform(vec).select("split", "year", F.col("prediction").alias("yhat"))
+    return M.regression_metrics(pred, "year", "yhat", by=("split",))
+
+
+# Spark's perceptron trains full-batch with L-BFGS: optimizer memory grows as
+# 2 * history * (V * 512), so the input vocabulary is reduced (the reference
+# trains mini-batches over V = 50k). A deliberate, documented deviation.
+MLP_V = 5_000
+
+
+@register("fit_mlp_tfidf")
+def q_fit_mlp_tfidf(spark, sf_dir):
+    """Feed-forward classifier (hidden 512, 256) on TF-IDF of a reduced
+    vocabulary (see MLP_V)."""
+    from ..operators.labels import label_encode, label_table
+    docs = _docs(spark, sf_dir)
+    vec, size = _features(docs, MLP_V)
+    labels = label_table(docs, "song_era")
+    data = label_encode(vec, labels, "song_era").withColumn("label", F.col("label_id").cast("double"))
+    k = labels.count()
+    m = ML.fit_mlp(data.filter(F.col("split") == "train"), "label", size, k, max_iter=10)
+    pred = m.transform(data).join(F.broadcast(labels.select(F.col("label_id").cast("double").alias("prediction"),
+                                                            F.col("label").alias("predicted"))),
+                                  "prediction", "left")
+    return M.classification_report(pred, "song_era", "predicted", ERAS, by=("split",))
+
+
+@register("score_binary_models")
+def q_score_binary_models(spark, sf_dir):
+    """Every benchmark text x every era model -> probability and argmax;
+    an empty text yields an error row instead of failing the job."""
+    docs = _docs(spark, sf_dir)
+    train = docs.filter(F.col("split") == "train")
+    _, vocab = fit_tfidf(train, "text_key", "clean_lyrics", fixed.OVR_ERA_V, MIN_DF)
+    vocab = materialize(vocab)
+    idx = materialize(ML.vocab_index(vocab))
+    size = idx.count()
+    tw = transform_tfidf(train, vocab, "text_key", "clean_lyrics", max_features=fixed.OVR_ERA_V)
+    tv = ML.to_vectors(tw, idx, train, "text_key", size)
+    b = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id"), F.col("item_id").cast("string").alias("doc"),
+        clean_lyrics(F.coalesce("text", F.lit(""))).alias("clean_lyrics"), "text")
+    bw = transform_tfidf(b, vocab, "doc", "clean_lyrics", max_features=fixed.OVR_ERA_V)
+    bv = materialize(ML.to_vectors(bw, idx, b, "doc", size))
+    out = None
+    for era in ERAS:
+        data = tv.withColumn("y", (F.col("song_era") == era).cast("double"))
+        m = ML.fit_binary(data, "y", 1.0, 500)
+        p = ML.positive_prob(m.transform(bv)).select("item_id", F.lit(era).alias("class"),
+                                                      F.round("p", 9).alias("score"))
+        out = p if out is None else out.unionByName(p)
+    best = SC.argmax_label(out, "item_id").select("item_id", "predicted")
+    empty = F.coalesce(F.trim(F.col("text")), F.lit("")) == ""
+    return (out.join(best, "item_id").join(b.select("item_id", "text"), "item_id")
+            .select("item_id", "class", F.when(empty, F.lit(None)).otherwise(F.col("score")).alias("score"),
+                    F.when(empty, F.lit(None)).otherwise(F.col("predicted")).alias("predicted"),
+                    F.when(empty, F.lit("Text is required for prediction.")).alias("error")))

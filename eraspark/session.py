@@ -30,6 +30,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     b = SparkSession.builder.master(master).appName(app_name)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf.setdefault("spark.driver.memory", "8g")   # local mode: the only heap
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
