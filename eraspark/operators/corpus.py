@@ -171,7 +171,8 @@ def prepare_songs(df: DataFrame) -> DataFrame:
 def stage_funnel(df: DataFrame) -> DataFrame:
     """Row counts after each preparation stage, from one scan: row-level
     stages are cumulative flags summed in one aggregation; the dedup stages
-    count distinct cleaned texts (and those whose kept year is in range)."""
+    count distinct cleaned texts (by md5, so the shuffle carries 32-byte
+    keys, not texts) and those whose kept (oldest) year is in range."""
     lang = F.col("language") == fixed.KEEP_LANGUAGE
     s1 = F.coalesce(lang, F.lit(False))
     s2 = s1 & F.col("lyrics").isNotNull()
@@ -182,7 +183,7 @@ def stage_funnel(df: DataFrame) -> DataFrame:
     s5 = s4 & (F.char_length(clean) > fixed.MIN_CLEAN_CHARS)
     flags = df.select(
         s1.alias("s1"), s2.alias("s2"), s3.alias("s3"), s4.alias("s4"), s5.alias("s5"),
-        F.when(s5, clean).alias("clean"), F.when(s5, y).alias("y"))
+        F.when(s5, F.md5(clean)).alias("clean"), F.when(s5, y).alias("y"))
     row_level = flags.agg(
         F.count(F.lit(1)).alias("n0"),
         *[F.sum(F.col(f"s{i}").cast("long")).alias(f"n{i}") for i in range(1, 6)])

@@ -103,12 +103,12 @@ def fit_tfidf(docs: DataFrame, doc: str, text: str, max_features: int | None,
     """Fit on ``docs`` and transform them: returns (weights, vocab) where
     vocab = (term, df, total, idf).
 
-    ``docs`` should be materialised and hash-partitioned by ``doc`` (see
-    :func:`eraspark.session.materialize`): the term counts are then
-    computed twice from it (statistics, weights) without any shuffle, which
-    is cheaper than storing the much larger term-count table."""
+    ``docs`` should be materialised and hash-partitioned by ``doc`` (e.g.
+    the output of a dedup keyed on ``doc``): term counts per document then
+    need no shuffle. They are computed twice (statistics, weights): storing
+    the term-count table (about 3x the text) measured no faster."""
     tf = term_frequencies(docs, doc, text, stop_words, 2, keep)
-    stats = materialize(term_doc_freq(tf).filter(F.col("df") >= min_df))
+    stats = materialize(term_doc_freq(tf).filter(F.col("df") >= min_df), keep_partitioning=False)
     vocab = vocab_topk(stats, max_features, min_df)
     n = docs.count() if n_docs is None else n_docs
     vocab = vocab.withColumn("idf", F.log(F.lit(float(1 + n)) / (1 + F.col("df"))) + 1)

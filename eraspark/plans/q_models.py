@@ -35,11 +35,11 @@ def _features(docs, V, sublinear=False, train_filter=None):
     sparse vectors; returns (vectors, size)."""
     train = docs.filter(train_filter if train_filter is not None else F.col("split") == "train")
     _, vocab = fit_tfidf(train, "text_key", "clean_lyrics", V, MIN_DF, sublinear=sublinear)
-    vocab = materialize(vocab)
+    vocab = materialize(vocab, keep_partitioning=False)
     w = transform_tfidf(docs, vocab, "text_key", "clean_lyrics", sublinear=sublinear, max_features=V)
-    idx = materialize(ML.vocab_index(vocab))
+    idx = materialize(ML.vocab_index(vocab), keep_partitioning=False)
     size = idx.count()
-    return materialize(ML.to_vectors(w, idx, docs, "text_key", size)), size
+    return materialize(ML.to_vectors(w, idx, docs, "text_key", size), keep_partitioning=False), size
 
 
 def _binary_scores(vec, labels, col, C, max_iter):

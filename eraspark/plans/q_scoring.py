@@ -33,12 +33,18 @@ class Ctx:
     def __init__(self, spark, sf_dir):
         self.docs = materialize(A.prepare_era_docs(songs(spark, sf_dir), extra=("tag",)))
         self.n_docs = self.docs.count()
+        self._cache = {}
 
     def weights(self, sublinear=False):
-        w, vocab = fit_tfidf(self.docs, "text_key", "clean_lyrics", V, MIN_DF,
-                             keep=("id", "song_era", "tag"), sublinear=sublinear,
-                             n_docs=self.n_docs)
-        return w, vocab
+        """TF-IDF rows, materialised: the model fit and the scoring both
+        read them, so documents are tokenised once per feature variant."""
+        key = ("w", sublinear)
+        if key not in self._cache:
+            w, vocab = fit_tfidf(self.docs, "text_key", "clean_lyrics", V, MIN_DF,
+                                 keep=("id", "song_era", "tag"), sublinear=sublinear,
+                                 n_docs=self.n_docs)
+            self._cache[key] = (materialize(w, keep_partitioning=False), vocab)
+        return self._cache[key]
 
     def model(self, cls="song_era", classes=ERAS, sublinear=False):
         """Features fitted on every document; the model on the documents of

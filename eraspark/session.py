@@ -21,6 +21,10 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
+# Session-start settings for the sessions we build ourselves.
+LOCAL_ONLY_CONF = {
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+}
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -29,6 +33,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     call :func:`configure` on it instead."""
     b = SparkSession.builder.master(master).appName(app_name)
     conf = dict(BASE_CONF)
+    conf.update(LOCAL_ONLY_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", "8g")   # local mode: the only heap
     conf.update(extra or {})
@@ -70,13 +75,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df):
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in
-    the shared checkpoint folder (survives executor loss; never a local
-    checkpoint). The output partitioning is kept, so a table checkpointed
-    right after a shuffle on ``k`` can be grouped by ``k`` without another."""
+def materialize(df, keep_partitioning: bool = True):
+    """Compute ``df`` once and cut its lineage in the shared checkpoint
+    folder (survives executor loss; never a local checkpoint).
+
+    ``keep_partitioning=True``: reliable ``checkpoint()``; the output
+    partitioning is kept, so a table checkpointed right after a shuffle on
+    ``k`` can be grouped by ``k`` without another shuffle.
+    ``keep_partitioning=False``: a Parquet table written under the shared
+    folder and read back -- columnar, compressed, much cheaper to write for
+    large intermediate tables whose consumers re-shuffle anyway."""
+    from pyspark import StorageLevel
+    if not keep_partitioning:
+        path = shared_path(df.sparkSession, "table")
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Writing a reliable checkpoint re-runs the plan unless it is cached, so
+    # compute once into the cache, write the files from it, then release it.
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
+    return out
 
 
 def data_path(sf_dir: str, name: str) -> str:
