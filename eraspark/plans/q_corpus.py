@@ -293,7 +293,7 @@ def q_positive_ratio(spark, sf_dir):
 @register("genre_class_counts", f"""WITH {S.SONGS_CTE}
 SELECT tag, count(*) AS n_rows FROM songs WHERE tag IN {S.in_list(fixed.GENRES)} GROUP BY tag""")
 def q_genre_class_counts(spark, sf_dir):
-    return A.class_counts(C.filter_in_genres(songs(spark, sf_dir)), "tag").withColumnRenamed("tag", "tag")
+    return A.class_counts(C.filter_in_genres(songs(spark, sf_dir)), "tag")
 
 
 # ---------------------------------------------------------------- set operations

@@ -7,7 +7,6 @@ tables carry no crawl metadata of their own)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -376,11 +375,9 @@ FROM links WHERE starts_with(href, '/')""")
 def q_extract_links(spark, sf_dir):
     """Anchors whose href starts with a prefix ('/'), with absolute urls."""
     lk = links(spark, sf_dir).filter(F.col("href").startswith("/"))
-    return lk.select("page_id", "pos", "text", TX.absolute_url(F.col("href"), "")
-                     .alias("_u"), "base", "href").select(
-        "page_id", "pos", "text",
-        F.when(F.col("href").startswith("http"), F.col("href"))
-         .otherwise(F.concat(F.col("base"), F.col("href"))).alias("url"))
+    return lk.select("page_id", "pos", "text",
+                     F.when(F.col("href").startswith("http"), F.col("href"))
+                      .otherwise(F.concat(F.col("base"), F.col("href"))).alias("url"))
 
 
 @register("absolute_url", f"""WITH {LINKS_SQL}

@@ -43,3 +43,12 @@ def test_stream_ingest_equals_batch(spark):
     b = R.record_normalize(raw_records(spark, SF01)).dropDuplicates(["url"])
     assert s.count() == b.count()
     assert s.select("url").subtract(b.select("url")).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - HEAVY - {
+    "stream_ingest_records", "stream_score", "stream_class_counts", "sink_splits", "sink_era_binary",
+    "sink_dataset_columnar", "sink_append_found", "sink_model"}))
+def test_plan_has_no_cross_join_or_row_udf(spark, name):
+    plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert bad not in plan, (name, bad)
