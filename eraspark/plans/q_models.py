@@ -43,14 +43,17 @@ def _features(docs, V, sublinear=False, train_filter=None):
 
 
 def _binary_scores(vec, labels, col, C, max_iter):
-    """One balanced binary model per label: long (id, split, class, p)."""
-    out = None
-    for lab in labels:
+    """One balanced binary model per label, fitted concurrently (each fit is
+    a chain of small distributed jobs): long (id, split, class, score)."""
+    def fit(lab):
         data = vec.withColumn("y", (F.col(col) == lab).cast("double"))
         m = ML.fit_binary(data.filter(F.col("split") == "train"), "y", C, max_iter)
-        p = ML.positive_prob(m.transform(data)).select("id", "split", F.lit(lab).alias("class"),
-                                                        F.col("p").alias("score"))
-        out = p if out is None else out.unionByName(p)
+        return ML.positive_prob(m.transform(data)).select(
+            "id", "split", F.lit(lab).alias("class"), F.col("p").alias("score"))
+    parts = ML.fit_many(fit, list(labels))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
@@ -72,20 +75,26 @@ def q_fit_binary_per_era(spark, sf_dir):
     base = A.prepare_era_docs(songs(spark, sf_dir))
     sets = materialize(split_stratified(ovr_fair_negatives(base, "song_era"), "is_target",
                                         by=("target",)))
-    reports = None
-    for era in ERAS:
+    def per_era(era):
         d = sets.filter(F.col("target") == era)
         if d.limit(1).count() == 0:
-            continue
+            return None
         vec, _ = _features(d, fixed.PER_ERA_V)
         data = vec.withColumn("y", F.col("is_target").cast("double"))
         m = ML.fit_binary(data.filter(F.col("split") == "train"), "y", 1.0, 1500)
         pred = m.transform(data).select("split", F.col("y").cast("int").cast("string").alias("t"),
                                         F.col("prediction").cast("int").cast("string").alias("p"))
-        r = M.accuracy_f1(pred, "t", "p", ("0", "1"), positive="1", by=("split",)) \
+        return M.accuracy_f1(pred, "t", "p", ("0", "1"), positive="1", by=("split",)) \
             .withColumn("target", F.lit(era))
-        reports = r if reports is None else reports.unionByName(r)
-    return reports
+
+    return _union([r for r in ML.fit_many(per_era, list(ERAS)) if r is not None])
+
+
+def _union(parts):
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @register("fit_binary_per_genre")
@@ -112,17 +121,16 @@ def q_fit_genre_balanced(spark, sf_dir):
     vec, _ = _features(docs, fixed.GENRE_BALANCED_V, sublinear=True)
     train_ids = docs.filter(F.col("split") == "train").select("id", "tag")
     draws = materialize(ovr_with_replacement(train_ids, "tag", GENRES, fixed.GENRE_DRAWS_PER_CLASS))
-    reports = None
-    for g in GENRES:
+    def per_genre(g):
         tr = draws.filter(F.col("target") == g).join(vec.select("id", "features"), "id") \
             .withColumn("y", F.col("is_target").cast("double"))
         m = ML.fit_binary(tr, "y", 1.0, 10000)
         test = vec.filter(F.col("split") == "test").withColumn("y", (F.col("tag") == g).cast("double"))
         pred = m.transform(test).select(F.col("y").cast("int").cast("string").alias("t"),
                                         F.col("prediction").cast("int").cast("string").alias("p"))
-        r = M.accuracy_f1(pred, "t", "p", ("0", "1"), positive="1").withColumn("genre", F.lit(g))
-        reports = r if reports is None else reports.unionByName(r)
-    return reports
+        return M.accuracy_f1(pred, "t", "p", ("0", "1"), positive="1").withColumn("genre", F.lit(g))
+
+    return _union(ML.fit_many(per_genre, list(GENRES)))
 
 
 @register("fit_multiclass_logreg")
@@ -137,7 +145,7 @@ def q_fit_multiclass_logreg(spark, sf_dir):
     from pyspark.ml.classification import OneVsRest
     n = data.filter(F.col("split") == "train").count()
     ovr = OneVsRest(classifier=ML.logreg("label", 1.0, n, 2000, plain=True), labelCol="label",
-                    featuresCol="features", weightCol="weight")
+                    featuresCol="features", weightCol="weight", parallelism=len(ERAS))
     m = ovr.fit(data.filter(F.col("split") == "train"))
     pred = m.transform(data).join(F.broadcast(labels.select(F.col("label_id").cast("double").alias("prediction"),
                                                             F.col("label").alias("predicted"))),
@@ -215,13 +223,13 @@ def q_score_binary_models(spark, sf_dir):
         clean_lyrics(F.coalesce("text", F.lit(""))).alias("clean_lyrics"), "text")
     bw = transform_tfidf(b, vocab, "doc", "clean_lyrics", max_features=fixed.OVR_ERA_V)
     bv = materialize(ML.to_vectors(bw, idx, b, "doc", size))
-    out = None
-    for era in ERAS:
+    def per_era(era):
         data = tv.withColumn("y", (F.col("song_era") == era).cast("double"))
         m = ML.fit_binary(data, "y", 1.0, 500)
-        p = ML.positive_prob(m.transform(bv)).select("item_id", F.lit(era).alias("class"),
-                                                      F.round("p", 9).alias("score"))
-        out = p if out is None else out.unionByName(p)
+        return ML.positive_prob(m.transform(bv)).select("item_id", F.lit(era).alias("class"),
+                                                        F.round("p", 9).alias("score"))
+
+    out = _union(ML.fit_many(per_era, list(ERAS)))
     best = SC.argmax_label(out, "item_id").select("item_id", "predicted")
     empty = F.coalesce(F.trim(F.col("text")), F.lit("")) == ""
     return (out.join(best, "item_id").join(b.select("item_id", "text"), "item_id")
