@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from .corpus import clean_stage, dedup_keep_first, era_bin, filter_year_range
-from ..session import materialize
+from ..session import materialize_bucketed
 from .features import fit_tfidf
 
 # Scores equal to this many decimals count as ties (broken by token), so the
@@ -58,7 +58,7 @@ def era_top_tokens(songs: DataFrame, k: int = fixed.TOP_TOKENS_K,
     """Flagship: rank 1..k tokens per era by mean TF-IDF (1-2-grams, stop
     words removed, df >= min_df, vocabulary capped at max_features).
     Output (era string, rank int, token string, tfidf_score double)."""
-    docs = materialize(prepare_era_docs(songs))
+    docs = materialize_bucketed(prepare_era_docs(songs), "text_key")
     weights, _ = fit_tfidf(docs, "text_key", "clean_lyrics", max_features, min_df,
                            stop_words, keep=("song_era",))
     means = era_mean_tfidf(weights, docs)

@@ -103,10 +103,11 @@ def fit_tfidf(docs: DataFrame, doc: str, text: str, max_features: int | None,
     """Fit on ``docs`` and transform them: returns (weights, vocab) where
     vocab = (term, df, total, idf).
 
-    ``docs`` should be materialised and hash-partitioned by ``doc`` (e.g.
-    the output of a dedup keyed on ``doc``): term counts per document then
-    need no shuffle. They are computed twice (statistics, weights): storing
-    the term-count table (about 3x the text) measured no faster."""
+    ``docs`` should be a table bucketed by ``doc`` (see
+    :func:`eraspark.session.materialize_bucketed`): term counts and norms
+    per document then read co-partitioned buckets and need no shuffle. They
+    are computed twice (statistics, weights): storing the term-count table
+    (about 3x the text) measured no faster."""
     tf = term_frequencies(docs, doc, text, stop_words, 2, keep)
     stats = materialize(term_doc_freq(tf).filter(F.col("df") >= min_df), keep_partitioning=False)
     vocab = vocab_topk(stats, max_features, min_df)

@@ -32,8 +32,8 @@ def q_era_top_tokens(spark, sf_dir):
 
 # ---------------------------------------------------------------- term statistics
 def era_docs_keyed(spark, sf_dir):
-    from ..session import materialize
-    return materialize(A.prepare_era_docs(songs(spark, sf_dir)))
+    from ..session import materialize_bucketed
+    return materialize_bucketed(A.prepare_era_docs(songs(spark, sf_dir)), "text_key")
 
 
 def _stats(spark, sf_dir):

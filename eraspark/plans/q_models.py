@@ -16,7 +16,7 @@ from ..operators import models as ML
 from ..operators import scoring as SC
 from ..operators.features import doc_embedding_mean, fit_tfidf, transform_tfidf
 from ..operators.sampling import ovr_fair_negatives, ovr_with_replacement, split_stratified
-from ..session import materialize
+from ..session import materialize, materialize_bucketed
 from ..sources.tables import songs, table
 from .registry import register
 
@@ -27,7 +27,7 @@ MIN_DF = 3
 def _docs(spark, sf_dir):
     """Deduplicated era documents with a stratified train/val/test split."""
     d = A.prepare_era_docs(songs(spark, sf_dir), extra=("tag",))
-    return materialize(split_stratified(d, "song_era"))
+    return materialize_bucketed(split_stratified(d, "song_era"), "text_key")
 
 
 def _features(docs, V, sublinear=False, train_filter=None):
@@ -73,8 +73,8 @@ def q_fit_binary_per_era(spark, sf_dir):
     """Per era: fair one-vs-rest set, its own TF-IDF (V 80k) fitted on its
     train split, balanced LR; accuracy / F1 per split."""
     base = A.prepare_era_docs(songs(spark, sf_dir))
-    sets = materialize(split_stratified(ovr_fair_negatives(base, "song_era"), "is_target",
-                                        by=("target",)))
+    sets = materialize_bucketed(split_stratified(ovr_fair_negatives(base, "song_era"), "is_target",
+                                                 by=("target",)), "text_key")
     def per_era(era):
         d = sets.filter(F.col("target") == era)
         if d.limit(1).count() == 0:
@@ -101,9 +101,9 @@ def _union(parts):
 def q_fit_binary_per_genre(spark, sf_dir):
     """Per genre: sublinear TF-IDF (V 150k) and balanced LR with C=2. The
     vectoriser is fitted once: every genre's model sees the same texts."""
-    docs = materialize(split_stratified(
+    docs = materialize_bucketed(split_stratified(
         A.prepare_era_docs(songs(spark, sf_dir), extra=("tag",)).filter(F.col("tag").isin(*GENRES)),
-        "tag"))
+        "tag"), "text_key")
     vec, _ = _features(docs, fixed.GENRE_BINARY_V, sublinear=True)
     sc = _binary_scores(vec, GENRES, "tag", 2.0, 2000)
     pred = SC.argmax_label(sc, "id").join(docs.select("id", "tag", "split"), "id")
@@ -115,9 +115,9 @@ def q_fit_genre_balanced(spark, sf_dir):
     """Per genre: with-replacement balanced training draws (train split
     only), sublinear TF-IDF (V 500k) fitted on train, balanced LR C=1;
     evaluated on the untouched test split."""
-    docs = materialize(split_stratified(
+    docs = materialize_bucketed(split_stratified(
         A.prepare_era_docs(songs(spark, sf_dir), extra=("tag",)).filter(F.col("tag").isin(*GENRES)),
-        "tag"))
+        "tag"), "text_key")
     vec, _ = _features(docs, fixed.GENRE_BALANCED_V, sublinear=True)
     train_ids = docs.filter(F.col("split") == "train").select("id", "tag")
     draws = materialize(ovr_with_replacement(train_ids, "tag", GENRES, fixed.GENRE_DRAWS_PER_CLASS))

@@ -14,7 +14,7 @@ from ..operators import metrics as M
 from ..operators import scoring as SC
 from ..operators.features import fit_tfidf, transform_tfidf
 from ..operators.sampling import split_random
-from ..session import materialize
+from ..session import materialize, materialize_bucketed
 from ..sources.tables import songs
 from . import sqltext as S
 from .registry import register
@@ -31,7 +31,8 @@ class Ctx:
     """Documents, TF-IDF features and the derived linear models of one run."""
 
     def __init__(self, spark, sf_dir):
-        self.docs = materialize(A.prepare_era_docs(songs(spark, sf_dir), extra=("tag",)))
+        self.docs = materialize_bucketed(A.prepare_era_docs(songs(spark, sf_dir), extra=("tag",)),
+                                         "text_key")
         self.n_docs = self.docs.count()
         self._cache = {}
 

@@ -128,5 +128,21 @@ def materialize(df, keep_partitioning: bool = True):
     return out
 
 
+def materialize_bucketed(df, key: str, buckets: int | None = None):
+    """Write ``df`` as a table bucketed by ``key`` under the shared
+    checkpoint folder and read it back through the session catalog.
+
+    Later aggregations, windows and joins keyed on ``key`` (or on ``key`` plus
+    more columns) then read co-partitioned buckets and need no shuffle --
+    the layout survives, unlike an RDD checkpoint's. Bucket count defaults to
+    ``spark.sql.shuffle.partitions``."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"eraspark_{uuid.uuid4().hex[:12]}"
+    (df.write.mode("overwrite").bucketBy(n, key)
+     .option("path", shared_path(spark, name)).saveAsTable(name))
+    return spark.table(name)
+
+
 def data_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
