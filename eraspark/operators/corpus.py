@@ -169,35 +169,40 @@ def prepare_songs(df: DataFrame) -> DataFrame:
 
 
 def stage_funnel(df: DataFrame) -> DataFrame:
-    """Row counts after each preparation stage, from one scan: row-level
-    stages are cumulative flags summed in one aggregation; the dedup stages
-    count distinct cleaned texts (by md5, so the shuffle carries 32-byte
-    keys, not texts) and those whose kept (oldest) year is in range."""
+    """Row counts after each preparation stage, from one scan and one
+    evaluation of the cleaning chain.
+
+    Rows are grouped by md5 of the cleaned text (null for rows that fail a
+    row-level stage). Each group carries its row-level stage counts and its
+    oldest year, and a second, global aggregation over that group table
+    gives every count: the row-level stages as sums, dedup as the number of
+    keys, year range as the keys whose kept (oldest) year is in range. The
+    null group may be large; partial aggregation reduces it map-side."""
     lang = F.col("language") == fixed.KEEP_LANGUAGE
     s1 = F.coalesce(lang, F.lit(False))
     s2 = s1 & F.col("lyrics").isNotNull()
     s3 = s2 & ~is_title_noise()
     y = coerce_numeric("year")
     s4 = s3 & y.isNotNull() & ~F.isnan(y)
-    clean = clean_lyrics("lyrics")
-    s5 = s4 & (F.char_length(clean) > fixed.MIN_CLEAN_CHARS)
-    flags = df.select(
-        s1.alias("s1"), s2.alias("s2"), s3.alias("s3"), s4.alias("s4"), s5.alias("s5"),
-        F.when(s5, F.md5(clean)).alias("clean"), F.when(s5, y).alias("y"))
-    row_level = flags.agg(
+    flags = with_computed(df.select("language", "lyrics", "title", "year"), "_clean",
+                          F.when(s4, clean_lyrics("lyrics")))
+    s5 = F.col("_s4") & (F.char_length("_clean") > fixed.MIN_CLEAN_CHARS)
+    flags = flags.select(s1.alias("_s1"), s2.alias("_s2"), s3.alias("_s3"), s4.alias("_s4"),
+                         y.alias("_y"), "_clean")
+    flags = flags.select("*", F.coalesce(s5, F.lit(False)).alias("_s5"))
+    groups = flags.groupBy(F.when(F.col("_s5"), F.md5("_clean")).alias("_k")).agg(
         F.count(F.lit(1)).alias("n0"),
-        *[F.sum(F.col(f"s{i}").cast("long")).alias(f"n{i}") for i in range(1, 6)])
-    groups = (flags.filter("s5").groupBy("clean").agg(F.min("y").alias("y"))
-              .agg(F.count(F.lit(1)).alias("n6"),
-                   F.sum(F.col("y").between(fixed.YEAR_MIN, fixed.YEAR_MAX).cast("long")).alias("n7")))
+        *[F.sum(F.col(f"_s{i}").cast("long")).alias(f"n{i}") for i in range(1, 6)],
+        F.min(F.when(F.col("_s5"), F.col("_y"))).alias("_ymin"))
+    total = groups.agg(
+        *[F.sum(f"n{i}").alias(f"n{i}") for i in range(0, 6)],
+        F.count("_k").alias("n6"),
+        F.sum((F.col("_k").isNotNull()
+               & F.col("_ymin").between(fixed.YEAR_MIN, fixed.YEAR_MAX)).cast("long")).alias("n7"))
     names = ["raw", "language", "lyrics_present", "title_noise", "year_valid",
              "min_length", "dedup", "year_range"]
-
-    def long_form(wide: DataFrame, ids) -> DataFrame:
-        stack = ", ".join(f"{i}, '{names[i]}', coalesce(n{i}, 0L)" for i in ids)
-        return wide.selectExpr(f"stack({len(ids)}, {stack}) AS (stage_no, stage, n_rows)")
-
-    out = long_form(row_level, range(0, 6)).unionByName(long_form(groups, (6, 7)))
+    stack = ", ".join(f"{i}, '{n}', coalesce(n{i}, 0L)" for i, n in enumerate(names))
+    out = total.selectExpr(f"stack({len(names)}, {stack}) AS (stage_no, stage, n_rows)")
     return out.select(F.col("stage_no").cast("int"), "stage", F.col("n_rows").cast("long"))
 
 
