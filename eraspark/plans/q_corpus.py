@@ -3,7 +3,6 @@ funnel, labels, counts (SURVEY §2.1-2.3, 2.5, 2.6)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed

@@ -13,7 +13,7 @@ from ..operators import pages as P
 from ..operators import records as R
 from ..operators import scoring as SC
 from ..operators import sinks as K
-from ..operators.features import fit_tfidf, transform_tfidf
+from ..operators.features import transform_tfidf
 from ..operators.sampling import ovr_fair_negatives, split_random, split_stratified
 from ..session import materialize, shared_path
 from ..sources.tables import songs, songs_from_documents, table

@@ -3,8 +3,6 @@ confidences, evaluation reports (SURVEY §2.3 TS rows, 2.4, 2.5, 2.10)."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -12,7 +10,7 @@ from ..functions import text as TX
 from ..operators import analytics as A
 from ..operators import metrics as M
 from ..operators import scoring as SC
-from ..operators.features import fit_tfidf, transform_tfidf
+from ..operators.features import fit_tfidf
 from ..operators.sampling import split_random
 from ..session import materialize, materialize_bucketed
 from ..sources.tables import songs
