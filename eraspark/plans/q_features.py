@@ -178,3 +178,28 @@ def q_doc_embedding_mean(spark, sf_dir):
         "id", F.size("embedding").alias("dim"),
         F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("l2"),
         F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+def _top_tokens_sql(stop_words=None) -> str:
+    tf = S.tfidf_ctes('docs', 'id', 'clean_lyrics', V, MIN_DF, extra='song_era')
+    if stop_words is not None and not stop_words:
+        tf = tf.replace(S.tokens("clean_lyrics"),
+                        f"regexp_extract_all(lower(clean_lyrics), '({S.W}{{2,}})', 1)")
+    return f"""WITH {S.CLEANED_CTE},
+docs AS (SELECT * FROM era_docs WHERE song_era IS NOT NULL AND clean_lyrics IS NOT NULL),
+{tf},
+eras AS (SELECT song_era, count(*) AS n_docs FROM docs GROUP BY song_era),
+m AS (SELECT w.song_era AS era, term, sum(weight) / any_value(n_docs) AS score
+      FROM w JOIN eras USING (song_era) GROUP BY w.song_era, term),
+r AS (SELECT era, term, score,
+             row_number() OVER (PARTITION BY era ORDER BY round(score, {A.SCORE_TIE_DECIMALS}) DESC, term) AS rk
+      FROM m)
+SELECT era, CAST(rk AS INTEGER) AS rank, term AS token, round(score, 6) AS tfidf_score
+FROM r WHERE rk <= {K}"""
+
+
+@register("era_top_tokens_stopwords_kept", _top_tokens_sql(stop_words=()))
+def q_era_top_tokens_stopwords_kept(spark, sf_dir):
+    """The older top-token run that kept stop words (same pipeline, empty
+    stop list)."""
+    return A.era_top_tokens(songs(spark, sf_dir), stop_words=())

@@ -154,3 +154,12 @@ def q_weighted_sample_replace(spark, sf_dir):
     class balance of the draws)."""
     d = C.prepare_songs(songs(spark, sf_dir)).select("id", "song_era", "year")
     return SM.weighted_sample_replace(d, "song_era")
+
+
+@register("sample_n_report", f"""{WITH_CLEAN},
+r AS (SELECT id, song_era, row_number() OVER (ORDER BY {H('CAST(id AS VARCHAR)')}, id) AS sample_rank FROM era_docs)
+SELECT id, song_era, sample_rank FROM r WHERE sample_rank <= {fixed.REPORT_SAMPLE_N}""")
+def q_sample_n_report(spark, sf_dir):
+    """The 1 000-row sample the method comparison is run on."""
+    d = C.prepare_songs(songs(spark, sf_dir)).select("id", "song_era")
+    return SM.sample_n(d, fixed.REPORT_SAMPLE_N)
