@@ -130,16 +130,20 @@ def doc_embedding_mean(tokens: DataFrame, vectors: DataFrame, doc: str = "doc",
                        token: str = "token", vec: str = "vector", dim: int | None = None) -> DataFrame:
     """Mean of the in-vocabulary word vectors of each document, zeros when
     none is known. ``tokens`` = (doc, token) one row per occurrence;
-    ``vectors`` = (token, vector array<float>)."""
-    hits = tokens.join(vectors.select(F.col(token), F.col(vec)), token, "left")
-    dims = dim
-    agg = (hits.select(doc, F.posexplode_outer(vec).alias("_i", "_x"))
-           .groupBy(doc, "_i").agg(F.avg("_x").alias("_m")))
-    known = agg.filter(F.col("_i").isNotNull())
-    vecs = known.groupBy(doc).agg(
-        F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_s"))
-    out = vecs.select(doc, F.transform("_s", lambda s: s["_m"]).alias("embedding"))
+    ``vectors`` = (token, vector array<float|double>).
+
+    Occurrences are first counted per (doc, token); the mean is then a
+    count-weighted ``Summarizer.mean`` over vectors (JVM-side, one row per
+    distinct token of a document, no per-dimension rows)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    counts = tokens.groupBy(doc, token).agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    known = counts.join(vectors.select(F.col(token), array_to_vector(F.col(vec)).alias("_v")),
+                        token, "inner")
+    means = known.groupBy(doc).agg(Summarizer.mean(F.col("_v"), F.col("_c")).alias("_m"))
+    out = means.select(doc, vector_to_array("_m").alias("embedding"))
     all_docs = tokens.select(doc).distinct()
-    zeros = F.array_repeat(F.lit(0.0), dims) if dims else F.array().cast("array<double>")
+    zeros = F.array_repeat(F.lit(0.0), dim) if dim else F.array().cast("array<double>")
     return (all_docs.join(out, doc, "left")
             .select(doc, F.coalesce("embedding", zeros).alias("embedding")))
