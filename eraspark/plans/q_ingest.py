@@ -306,8 +306,12 @@ y AS (SELECT page_id, source, {year_sql('text')} AS release_year FROM st)
 SELECT page_id, arg_min(release_year, source) AS release_year, min(source) AS source
 FROM y WHERE release_year IS NOT NULL GROUP BY page_id""")
 def q_coalesce_sources(spark, sf_dir):
+    from ..operators.corpus import with_computed
     st = search_texts(spark, sf_dir)
-    y = st.select("page_id", "source", TX.extract_year("text").alias("release_year"))
+    # the year rules are many regexes: keep them out of the aggregation's
+    # generated code (which would otherwise exceed the JVM method size)
+    y = with_computed(st.select("page_id", "source", "text"), "release_year",
+                      TX.extract_year("text")).drop("text")
     return R.coalesce_sources(y, "page_id", "source", "release_year")
 
 
