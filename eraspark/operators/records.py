@@ -29,12 +29,13 @@ def record_normalize(df: DataFrame, scrape_date: str = DEFAULT_SCRAPE_DATE) -> D
     """
     cols = set(df.columns)
 
-    def col(name, default=None):
+    def col(name, default=None, dtype="string"):
         if name in cols:
             return F.col(name) if default is None else F.coalesce(F.col(name), F.lit(default))
-        return F.lit(default).cast("string")
+        return F.lit(default).cast(dtype)
 
-    ts = F.when(col("ts_epoch").isNotNull(), epoch_format(col("ts_epoch"))) \
+    epoch = col("ts_epoch", dtype="long")
+    ts = F.when(epoch.isNotNull(), epoch_format(epoch)) \
         .when(col("ts_text").isNotNull(), col("ts_text")).otherwise(F.lit(""))
     y = _trim(col("release_year").cast("string"))
     year = F.when(y.rlike("^\\p{Nd}{4}$"), y)
