@@ -52,3 +52,11 @@ def test_plan_has_no_cross_join_or_row_udf(spark, name):
     plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert bad not in plan, (name, bad)
+
+
+def test_stream_class_counts_equal_batch(spark):
+    from eraspark.operators.corpus import filter_in_genres
+    from eraspark.sources.tables import songs
+    s = {r.tag: r.n_rows for r in E.queries()["stream_class_counts"](spark, SF01).collect()}
+    b = {r.tag: r["count"] for r in filter_in_genres(songs(spark, SF01)).groupBy("tag").count().collect()}
+    assert s == b
