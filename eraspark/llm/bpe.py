@@ -200,7 +200,8 @@ def spec_of(spark, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids",
+           library_merges: bool = False) -> DataFrame:
     """``df`` with ``ids_col`` (binary, little-endian unsigned 32-bit) next to
     its own columns. Null text encodes as the empty text; a column already
     named ``ids_col`` is replaced. Every row is encoded by itself, so repeated
@@ -212,7 +213,7 @@ def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str =
     schema = df.withColumn(ids_col, F.lit(b"")).schema
 
     def run(batches):
-        bpe = load(spec.value)
+        bpe = load(spec.value, library_merges)
         for batch in batches:
             for part in slices(batch, text_col):
                 ids = [bpe.encode(t or "") for t in part.column(text_col).to_pylist()]

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from ..session import shared_path
+from . import bpe, packing, wavelet
 from .common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -25,5 +26,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all ids, each document closed by id 0, as wavelet shards; read them back."""
+    docs = wavelet.ordered(documents(spark, sf_dir).select("doc_id", "text"))
+    ids = bpe.encode(docs, BYTE_BPE, library_merges=True)
+    closed = ids.select("doc_id", F.concat("ids", F.lit(bytes(4))).alias("ids"))
+    folder = shared_path(spark, "wavelet")
+    back = wavelet.read_shards(wavelet.write_shards(closed, folder), folder)
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into windows of 4096 tokens at the corpus's own mixture."""
+    pieces = packing.pack(documents(spark, sf_dir), WORD_BPE, end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset", "source")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_wavelet": op3_wavelet, "op7_packing": op7_packing}
 SQL: dict[str, str] = {}
