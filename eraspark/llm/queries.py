@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import bpe, packing, wavelet
+from . import bpe, jaccard, packing, wavelet
 from .common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -44,5 +44,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset", "source")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_wavelet": op3_wavelet, "op7_packing": op7_packing}
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets overlap by 85 %."""
+    return jaccard.jaccard_components(documents(spark, sf_dir), words=4, percent=85)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_wavelet": op3_wavelet, "op7_packing": op7_packing,
+           "op8_jaccard": op8_jaccard}
 SQL: dict[str, str] = {}
