@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import bpe, jaccard, packing, wavelet
+from . import bpe, jaccard, packing, suffix_dedup, wavelet
 from .common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,14 @@ def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that no earlier 100-byte string covers."""
+    cut = suffix_dedup.repeated_spans(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into windows of 4096 tokens at the corpus's own mixture."""
     pieces = packing.pack(documents(spark, sf_dir), WORD_BPE, end_id=2)
@@ -49,6 +57,6 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir), words=4, percent=85)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_wavelet": op3_wavelet, "op7_packing": op7_packing,
+QUERIES = {"op1_bpe": op1_bpe, "op3_wavelet": op3_wavelet, "op4_suffix_dedup": op4_suffix_dedup, "op7_packing": op7_packing,
            "op8_jaccard": op8_jaccard}
 SQL: dict[str, str] = {}
