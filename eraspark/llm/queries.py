@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_path
-from . import bpe, jaccard, packing, suffix_dedup, wavelet
+from ..session import materialize, shared_path
+from . import bpe, jaccard, packing, simhash, suffix_dedup, wavelet
 from .common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,34 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form; likenesses; for
+    every id divisible by 50 also ``n_near``, the documents whose fingerprint
+    lies within the search radius of its own (itself included)."""
+    pairs = simhash.edited(documents(spark, sf_dir))
+    keys = ["doc_id", "twin", "r", "n_chars", "edited_sha256"]
+    rows = pairs.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    both = rows.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("t")),
+                                                F.struct(F.lit(1).alias("form"), F.col("edited").alias("t")))).alias("x"))
+    prints = simhash.fingerprints(both.select(*keys, "x.form", "x.t"), [*keys, "form"], "t")
+    own = F.struct("form", "hi", "lo")
+    prints = prints.groupBy(*keys).agg(F.min(own).alias("a"), F.max(own).alias("b"))
+    prints = materialize(prints.select(*keys, F.col("a.hi").alias("hi"), F.col("a.lo").alias("lo"),
+                                       F.col("b.hi").alias("e_hi"), F.col("b.lo").alias("e_lo")), keep_partitioning=False)
+    total = prints.count()
+    following = prints.select(F.expr(f"(r - 1 + {total}) % {max(1, total)}").alias("r"), F.col("hi").alias("x_hi"), F.col("lo").alias("x_lo"))
+    asked = prints.filter("doc_id % 50 = 0")
+    copies = prints.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("copies"))
+    near = (simhash.within(prints, asked).join(copies, ["hi", "lo"])
+            .groupBy(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).agg(F.sum("copies").alias("n_near")))
+    return (prints.join(following, "r").join(near, ["hi", "lo"], "left")
+            .select("doc_id", "n_chars", "edited_sha256", simhash.as_hex().alias("fingerprint"),
+                    simhash.as_hex("e_hi", "e_lo").alias("edited_fingerprint"),
+                    simhash.likeness("hi", "lo", "e_hi", "e_lo").alias("near_edited"),
+                    simhash.likeness("hi", "lo", "x_hi", "x_lo").alias("near_next"),
+                    F.when(F.col("doc_id") % 50 == 0, F.col("n_near")).alias("n_near")))
+
+
 def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all ids, each document closed by id 0, as wavelet shards; read them back."""
     docs = wavelet.ordered(documents(spark, sf_dir).select("doc_id", "text"))
@@ -57,6 +85,6 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir), words=4, percent=85)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_wavelet": op3_wavelet, "op4_suffix_dedup": op4_suffix_dedup, "op7_packing": op7_packing,
+QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_wavelet": op3_wavelet, "op4_suffix_dedup": op4_suffix_dedup, "op7_packing": op7_packing,
            "op8_jaccard": op8_jaccard}
 SQL: dict[str, str] = {}
