@@ -8,23 +8,30 @@ new neighbour pairs are queued. Decoding concatenates vocabulary strings as
 the tokenizer file's decoder says.
 
 Around the merges, the tokenizer file's own rules hold: added tokens are cut
-out first, then normalisation, splitting and the byte alphabet. Texts are cut
-at single blanks into units that no token crosses, and the ids of a unit are
-kept in a bounded memory, so frequent words are merged once per worker.
+out first, then normalisation, splitting and the byte alphabet. The ids of a
+word are kept in a bounded memory, so frequent words are merged once per
+worker. Texts of characters outside ``PLAIN`` go through the library's own
+normaliser and splitter, unit by unit (cut at blanks that no token crosses).
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Units and words whose ids a worker remembers before it starts afresh.
-MEMORY_ENTRIES = 400_000
+# Words whose ids a worker remembers: two generations of so many.
+MEMORY_ENTRIES = 200_000
+# ASCII and the letters of Latin-1 and Latin Extended-A: unchanged by NFC,
+# lower-cased one by one, and letters to the files' patterns. (Without the
+# dotted capital I, whose lower case is two characters.)
+PLAIN = "\\n\\r\\t -~À-ÖØ-öø-įı-ſ"
+LETTERS = "À-ÖØ-öø-ſ"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -35,55 +42,93 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def merge_symbols(symbols: list[int], rules: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Apply ``rules`` ((left, right) -> (rank, merged)) lowest rank first,
-    leftmost first among equal ranks."""
+def merge_symbols(symbols: list[int], rules: dict[int, int], merged: list[int]) -> list[int]:
+    """Apply the merges lowest rank first, leftmost first within a rank.
+    ``rules`` maps left << 32 | right to the rank, ``merged`` the rank to the
+    new symbol. Queue entries are rank << 40 | position."""
     n = len(symbols)
     if n < 2:
         return symbols
     find = rules.get
-    after = [*range(1, n), -1]
-    before = [*range(-1, n - 1)]
     queue = []
-    for i in range(n - 1):
-        if (rule := find((symbols[i], symbols[i + 1]))) is not None:
-            queue.append((rule[0], i, rule[1]))
+    left = symbols[0]
+    for i in range(1, n):
+        right = symbols[i]
+        if (rank := find(left << 32 | right)) is not None:
+            queue.append(rank << 40 | i - 1)
+        left = right
+    if not queue:
+        return symbols
     heapify(queue)
+    after = [*range(1, n), -1]
+    before = [*range(-1, n - 1)]
     while queue:
-        _, i, merged = heappop(queue)
+        entry = heappop(queue)
+        i = entry & 0xFFFFFFFFFF
         j = after[i]
-        if symbols[i] < 0 or j < 0:
+        if j < 0 or symbols[i] < 0:
             continue                                   # stale: a side is gone
-        rule = find((symbols[i], symbols[j]))
-        if rule is None or rule[1] != merged:
+        new = merged[entry >> 40]
+        rank = find(symbols[i] << 32 | symbols[j])
+        if rank is None or merged[rank] != new:
             continue                                   # stale: a side has grown
-        symbols[i], symbols[j] = merged, -1
+        symbols[i], symbols[j] = new, -1
         after[i] = k = after[j]
         if k >= 0:
             before[k] = i
-            if (rule := find((merged, symbols[k]))) is not None:
-                heappush(queue, (rule[0], i, rule[1]))
-        if (p := before[i]) >= 0 and (rule := find((symbols[p], merged))) is not None:
-            heappush(queue, (rule[0], p, rule[1]))
+            if (rank := find(new << 32 | symbols[k])) is not None:
+                heappush(queue, rank << 40 | i)
+        p = before[i]
+        if p >= 0 and (rank := find(symbols[p] << 32 | new)) is not None:
+            heappush(queue, rank << 40 | p)
     return [s for s in symbols if s >= 0]
 
 
 class _Memory(dict):
-    """Remembers ``make(key)``; emptied when it holds too many keys."""
+    """Remembers ``make(key)``. When full, the entries become the older
+    generation, from which those still in use come back one by one."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
         if len(self) >= MEMORY_ENTRIES:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
+class Decoder:
+    """Ids back to text: vocabulary strings, put together as the tokenizer
+    file's decoder says (without one, joined by blanks)."""
+
+    def __init__(self, spec: str):
+        parsed = json.loads(spec)
+        named = [*parsed["model"]["vocab"].items(), *((t["content"], t["id"]) for t in parsed["added_tokens"])]
+        self.strings = [""] * (1 + max(i for _, i in named))
+        for text, i in named:
+            self.strings[i] = text
+        bytewise = (parsed["decoder"] or {}).get("type") == "ByteLevel"
+        self.bytes_of = {c: b for b, c in byte_alphabet().items()} if bytewise else None
+
+    def decode(self, ids: list[int]) -> str:
+        found = map(self.strings.__getitem__, ids)
+        if (back := self.bytes_of) is None:
+            return " ".join(found)
+        out = b"".join(bytes(back[c] for c in s) if all(c in back for c in s) else s.encode() for s in found)
+        return out.decode("utf-8", "replace")
+
+    def unpack(self, ids: bytes) -> str:
+        return self.decode(np.frombuffer(ids, "<u4").tolist())
+
+
 class Bpe:
-    """Encoder and decoder for one tokenizer file (its JSON text).
+    """Encoder for one tokenizer file (its JSON text).
 
     ``library_merges`` hands the merges of a word to the tokenizers library
     instead of :func:`merge_symbols`; ids are the same. All ids travel as
@@ -97,75 +142,58 @@ class Bpe:
         self.library = Tokenizer.from_str(spec)
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        self.rules = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b])
-                      for rank, (a, b) in enumerate(model["merges"])}
+        self.rules, self.merged = {}, []
+        for rank, (a, b) in enumerate([] if library_merges else model["merges"]):
+            self.rules[self.vocab[a] << 32 | self.vocab[b]] = rank
+            self.merged.append(self.vocab[a + b])
         self.added = {t["content"]: t["id"] for t in parsed["added_tokens"]}
         self.added_re = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.alphabet = byte_alphabet()
-        self.strings = [""] * (1 + max([*self.vocab.values(), *self.added.values()]))
-        for text, i in [*self.vocab.items(), *self.added.items()]:
-            self.strings[i] = text
-        self.byte_decoder = (parsed["decoder"] or {}).get("type") == "ByteLevel"
         self.blank_joins = parsed["normalizer"] is None     # a blank belongs to the word after it
-        # Within printable ASCII the file's splitting pattern reads like this;
-        # anything else goes through the library's own normaliser and splitter.
-        self.plain = re.compile(r"[\n\r\t -~]*")
+        self.back = {c: b for b, c in self.alphabet.items()}
+        self.plain = re.compile(f"[{PLAIN}]*")
+        # The files' splitting patterns, spelt out for plain characters.
         if self.blank_joins:
-            self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+            self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{LETTERS}]+| ?[0-9]+| ?[^\sA-Za-z0-9{LETTERS}]+|\s+(?!\S)|\s+")
         else:
-            self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-        self.word_ids = self._library_word if library_merges else self._queue_word
-        self.words = _Memory(self.word_ids)
+            self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^\sa-z0-9{LETTERS}]+")
+        self.words = _Memory(self._library_word if library_merges else self._queue_word)
         self.units = _Memory(self._unit)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _queue_word(self, word: str) -> bytes:
-        """Ids of one word, given in the byte alphabet."""
-        last = len(word) - 1
-        symbols = [self.vocab.get(c + self.suffix if i == last else c) for i, c in enumerate(word)]
-        return self._pack(merge_symbols([s for s in symbols if s is not None], self.rules))
+        shown = [*map(self.alphabet.__getitem__, word.encode())]
+        shown[-1] += self.suffix
+        symbols = [s for s in map(self.vocab.get, shown) if s is not None]
+        return self._pack(merge_symbols(symbols, self.rules, self.merged))
 
     def _library_word(self, word: str) -> bytes:
-        return self._pack([t.id for t in self.library.model.tokenize(word)])
+        return self._pack([t.id for t in self.library.model.tokenize("".join(map(self.alphabet.__getitem__, word.encode())))])
 
     def _unit(self, unit: str) -> bytes:
-        """Ids of a piece of text that no token crosses the ends of."""
-        if self.added_re and self.added_re.search(unit):
-            return b"".join(self._pack([self.added[p]]) if p in self.added else self._stretch(p)
-                            for p in self.added_re.split(unit) if p)
-        return self._stretch(unit)
+        """Ids of a piece of text that no token crosses the ends of, split by the library."""
+        if self.library.normalizer is not None:
+            unit = self.library.normalizer.normalize_str(unit)
+        words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(unit)] if unit else []
+        return b"".join([self.words[bytes(map(self.back.__getitem__, w)).decode()] for w in words])
 
     def _stretch(self, text: str) -> bytes:
         if self.plain.fullmatch(text):
-            if not self.blank_joins:
-                text = text.lower()
-            words = self.split.findall(text)
-            if not text.isalnum():
-                words = ["".join(map(self.alphabet.__getitem__, w.encode())) for w in words]
-        else:
-            if self.library.normalizer is not None:
-                text = self.library.normalizer.normalize_str(text)
-            words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)] if text else []
-        return b"".join(map(self.words.__getitem__, words))
-
-    def encode(self, text: str) -> bytes:
+            return b"".join(map(self.words.__getitem__, self.split.findall(text if self.blank_joins else text.lower())))
         units = text.split(" ")
         if self.blank_joins:
             if _BLANK_RUN.search(text):
                 units = _rejoin(units)
-            head = self._unit(units[0])
-            return head + b"".join(map(self.units.__getitem__, [" " + u for u in units[1:]])) if len(units) > 1 else head
+            units = units[:1] + [" " + u for u in units[1:]]
         return b"".join(map(self.units.__getitem__, units))
 
-    def decode(self, ids: list[int]) -> str:
-        found = map(self.strings.__getitem__, ids)
-        if not self.byte_decoder:
-            return " ".join(found)
-        back = {c: b for b, c in self.alphabet.items()}
-        out = b"".join(bytes(back[c] for c in s) if all(c in back for c in s) else s.encode() for s in found)
-        return out.decode("utf-8", "replace")
+    def encode(self, text: str) -> bytes:
+        if self.added_re and self.added_re.search(text):
+            return b"".join(self._pack([self.added[p]]) if p in self.added else self._stretch(p)
+                            for p in self.added_re.split(text) if p)
+        return self._stretch(text)
 
 
 _BLANK_RUN = re.compile(r"\s ")
@@ -186,11 +214,11 @@ def _rejoin(units: list[str]) -> list[str]:
 _LOADED: dict = {}
 
 
-def load(spec: str, library_merges: bool = False) -> Bpe:
-    """The worker's encoder for a tokenizer file, built once per process."""
-    key = (hash(spec), len(spec), library_merges)
+def load(kind, spec: str, *args):
+    """The worker's encoder or decoder for a tokenizer file, built once per process."""
+    key = (kind, hash(spec), len(spec), *args)
     if key not in _LOADED:
-        _LOADED[key] = Bpe(spec, library_merges)
+        _LOADED[key] = kind(spec, *args)
     return _LOADED[key]
 
 
@@ -201,24 +229,29 @@ def spec_of(spark, path: str):
 
 
 def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids",
-           library_merges: bool = False) -> DataFrame:
+           library_merges: bool = False, decoded_col: str | None = None) -> DataFrame:
     """``df`` with ``ids_col`` (binary, little-endian unsigned 32-bit) next to
-    its own columns. Null text encodes as the empty text; a column already
+    its own columns; with ``decoded_col``, also what those ids decode to. Null text encodes as the empty text; a column already
     named ``ids_col`` is replaced. Every row is encoded by itself, so repeated
     rows and any order give the same ids."""
     import pyarrow as pa
     from .common import slices
-    df = df.drop(ids_col)
+    more = [ids_col] + [decoded_col] * bool(decoded_col)
+    df = df.drop(*more)
     spec = spec_of(df.sparkSession, tokenizer)
     schema = df.withColumn(ids_col, F.lit(b"")).schema
+    schema = schema.add(decoded_col, "string") if decoded_col else schema
 
     def run(batches):
-        bpe = load(spec.value, library_merges)
+        bpe = load(Bpe, spec.value, library_merges)
+        back = load(Decoder, spec.value) if decoded_col else None
         for batch in batches:
             for part in slices(batch, text_col):
                 ids = [bpe.encode(t or "") for t in part.column(text_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())],
-                                                 names=[*part.schema.names, ids_col])
+                new = [pa.array(ids, pa.binary())]
+                if decoded_col:
+                    new.append(pa.array([back.unpack(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *more])
     return df.mapInArrow(run, schema)
 
 
@@ -231,10 +264,10 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "
     schema = df.withColumn(out_col, F.lit("")).schema
 
     def run(batches):
-        bpe = load(spec.value)
+        back = load(Decoder, spec.value)
         for batch in batches:
             for part in slices(batch, ids_col):
-                texts = [bpe.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in part.column(ids_col).to_pylist()]
+                texts = [back.unpack(x or b"") for x in part.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
                                                  names=[*part.schema.names, out_col])
     return df.mapInArrow(run, schema)

@@ -138,7 +138,7 @@ def queues(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        enc, part, seen = bpe.load(spec.value, library_merges=True), TaskContext.get().partitionId(), {}
+        enc, part, seen = bpe.load(bpe.Bpe, spec.value, True), TaskContext.get().partitionId(), {}
         for batch in batches:
             for b in slices(batch, "text"):
                 ids = [enc.encode(t or "") + end for t in b.column("text").to_pylist()]

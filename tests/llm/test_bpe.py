@@ -18,23 +18,23 @@ PAIRS = {}
 def pair(name):
     if name not in PAIRS:
         spec = open(public_tokenizers.path(name), encoding="utf-8").read()
-        PAIRS[name] = (Tokenizer.from_str(spec), bpe.Bpe(spec), bpe.Bpe(spec, library_merges=True))
+        PAIRS[name] = (Tokenizer.from_str(spec), bpe.Bpe(spec), bpe.Bpe(spec, library_merges=True), bpe.Decoder(spec))
     return PAIRS[name]
 
 
 def same(name, text):
-    lib, own, mixed = pair(name)
+    lib, own, mixed, back = pair(name)
     want = lib.encode(text, add_special_tokens=False).ids
     for enc in (own, mixed):
         got = np.frombuffer(enc.encode(text), "<u4").tolist()
         assert got == want, (name, text)
-    assert own.decode(want) == lib.decode(want, skip_special_tokens=False)
+    assert back.decode(want) == lib.decode(want, skip_special_tokens=False)
 
 
 CASES = ["", " ", "  ", "a  b", "a   b ", " a", "  a", "\n a\n\n b \n", "a \nb", "x\t y", "tail   ",
          "Hello <|endoftext|> World's café café 123  x İ ẞ  ", "<|endoftext|><|startoftext|>",
          "<|EndOfText|>x", "ΑΣ Σ", "a‍b \U0001F642\t\n'S 'll'LL don't ½²",
-         " \x1c\x85\x00a ﬁ ǅ", "  　 x", "́ ́a", "word" * 3000, "!!! ### $$%%", "\r\n \r\n"]
+         " \x1c\x85\x00a ﬁ ǅ", "  　 x", "́ ́a", "word" * 3000, "!!! ### $$%%", "\r\n \r\n", "Ã© é Ÿÿ İı ŉ ſ ĳ ª º µ × ÷ ² Straße ÀÉÎ d'Été", "naïve <|endoftext|>Ünï  x"]
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -50,6 +50,15 @@ def test_any_text(name, text):
     same(name, text)
 
 
+def test_memory_stays_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY_ENTRIES", 3)
+    lib, own, _, _ = pair(FILES[0])
+    own.units.clear(), own.words.clear()
+    text = " ".join(f"w{i % 9} the x{i}" for i in range(60))
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert len(own.words) <= 3 and len(own.words.older) <= 3
+
+
 def test_query_equals_library(spark):
     from eraspark.llm.queries import op1_bpe
     lib = pair(FILES[0])[0]
@@ -69,5 +78,7 @@ def test_nulls_clashing_columns_empty_table(spark):
     out = bpe.decode(bpe.encode(df, public_tokenizers.path(FILES[0])), public_tokenizers.path(FILES[0]))
     rows = out.collect()
     assert out.columns == ["doc_id", "text", "extra", "ids", "decoded"] and len(rows) == 3
+    both = bpe.encode(df, public_tokenizers.path(FILES[0]), decoded_col="decoded").collect()
+    assert [(r.ids, r.decoded) for r in both] == [(r.ids, r.decoded) for r in rows]
     assert [r.decoded for r in rows] == ["", "", "a</w> b</w>"]
     assert bpe.encode(df.limit(0), public_tokenizers.path(FILES[0])).count() == 0
