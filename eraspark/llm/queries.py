@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_path
-from . import bpe, jaccard, packing, simhash, suffix_dedup, wavelet
+from . import bpe, jaccard, line_templates, packing, simhash, suffix_dedup, wavelet
 from .common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,8 +19,7 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of both."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    ids = bpe.encode(docs, WORD_BPE).drop("text")
-    both = bpe.decode(ids, WORD_BPE)
+    both = bpe.encode(docs, WORD_BPE, decoded_col="decoded")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -85,6 +84,13 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir), words=4, percent=85)
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates taken out of every document."""
+    left = line_templates.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return left.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
 QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_wavelet": op3_wavelet, "op4_suffix_dedup": op4_suffix_dedup, "op7_packing": op7_packing,
-           "op8_jaccard": op8_jaccard}
-SQL: dict[str, str] = {}
+           "op8_jaccard": op8_jaccard, "op9_line_templates": op9_line_templates}
+SQL: dict[str, str] = {"op9_line_templates": line_templates.SQL}
