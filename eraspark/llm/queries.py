@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_path
-from . import bpe, jaccard, line_templates, packing, simhash, suffix_dedup, wavelet
-from .common import documents
+from . import bpe, jaccard, langid, line_templates, packing, simhash, suffix_dedup, wavelet
+from .common import documents, held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,6 +91,15 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the rows not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~held_out()))
+    named = langid.identify(docs.select("doc_id", "text", held_out().alias("held_out")), model)
+    return named.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_wavelet": op3_wavelet, "op4_suffix_dedup": op4_suffix_dedup, "op7_packing": op7_packing,
-           "op8_jaccard": op8_jaccard, "op9_line_templates": op9_line_templates}
+           "op8_jaccard": op8_jaccard, "op9_line_templates": op9_line_templates,
+           "op10_langid": op10_langid}
 SQL: dict[str, str] = {"op9_line_templates": line_templates.SQL}
