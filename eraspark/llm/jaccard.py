@@ -52,14 +52,19 @@ class _WordHashes(dict):
 _WORDS = _WordHashes()
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the text's words (runs of bytes other than ASCII white space)."""
+    found = text.split()
+    return np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+
+
 def shingles(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles. Words are
     runs of bytes other than ASCII white space, A-Z lower-cased; a text of
     fewer words than ``words`` has its whole sequence as the one shingle."""
-    found = text.lower().split()
-    if not found:
+    w = word_hashes(text.lower())
+    if not len(w):
         return np.zeros(0, np.int64)
-    w = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
     k = min(words, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for j in range(k):
