@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_path
-from . import bpe, jaccard, langid, line_templates, packing, perplexity, simhash, suffix_dedup, wavelet
+from . import bpe, jaccard, langid, line_templates, packing, perplexity, pu_quality, simhash, suffix_dedup, wavelet
 from .common import documents, held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -78,6 +78,14 @@ def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, from the positives not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", held_out().alias("held_out"), "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    positives = labels.filter((F.col("quality") == 1) & ~held_out()).select("doc_id")
+    return pu_quality.classify(docs, positives).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into windows of 4096 tokens at the corpus's own mixture."""
     pieces = packing.pack(documents(spark, sf_dir), WORD_BPE, end_id=2)
@@ -105,7 +113,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_wavelet": op3_wavelet, "op4_suffix_dedup": op4_suffix_dedup, "op5_perplexity": op5_perplexity, "op7_packing": op7_packing,
+QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_wavelet": op3_wavelet, "op4_suffix_dedup": op4_suffix_dedup, "op5_perplexity": op5_perplexity, "op6_quality": op6_quality, "op7_packing": op7_packing,
            "op8_jaccard": op8_jaccard, "op9_line_templates": op9_line_templates,
            "op10_langid": op10_langid}
 SQL: dict[str, str] = {"op9_line_templates": line_templates.SQL}
