@@ -163,18 +163,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * common >= percent * total).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80,
-                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles and component_id, the
-    smallest id reachable over links (100 * common >= percent * union).
-
-    Null or blank texts have an empty set and link with nothing: their
-    component is their own id. Rows without an id belong to the component of
-    their set but never name it. Repeated rows are equal sets, so one
-    component. Other columns are ignored. An empty table gives no rows.
-    """
+def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, node, n_shingles, component) for each row of (doc_id, text);
+    the component is the least node its class of equal sets reaches."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     member = materialize(members(docs, words), keep_partitioning=False)
     count = spark.sparkContext.broadcast(rarity(docs, words))
 
@@ -190,7 +182,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80,
     named = (member.join(rows.select("node").distinct(), "node").groupBy("node")
              .agg(F.min("doc_id").alias("doc_id")))
     wanted = docs.join(named.filter("doc_id is not null").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    unnamed = docs.filter("doc_id is null") if "doc_id" in docs.columns else docs.limit(0)
+    unnamed = docs.filter("doc_id is null")
 
     def run(batches):
         import pyarrow as pa
@@ -226,9 +218,53 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80,
             .join(near, ["a", "b"], "left_anti"))
     links = links.union(materialize(_verified(rest, sets, percent), keep_partitioning=False))
 
-    # 3. Components of classes, named by their smallest document.
     joined = materialize(components(links, "a", "b"), keep_partitioning=False)
-    placed = member.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = (placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    return member.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80,
+                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles and component_id, the
+    smallest id reachable over links (100 * common >= percent * union).
+
+    Null or blank texts have an empty set and link with nothing: their
+    component is their own id. Rows without an id belong to the component of
+    their set but never name it. Repeated rows are equal sets, so one
+    component. Other columns are ignored. An empty table gives no rows.
+    """
+    placed = linked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words, percent)
+    names = placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return (placed.join(names, "component", "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80,
+                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest id (a row without
+    an id only if no other has one; among rows of one id, the one whose set
+    has the least hash). Rows with null or blank text all stay."""
+    import pyarrow as pa
+    columns = docs.columns
+    names = {c: f"_c{i}" for i, c in enumerate(columns)}
+    rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
+    key, text = names[id_col], names[text_col]
+    placed = materialize(linked(rows.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), words, percent), keep_partitioning=False)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node"))
+    stay = placed.filter("n_shingles > 0").groupBy("component").agg(first.alias("f")).select(
+        F.col("f.doc_id").alias("_id"), F.col("f.node").alias("_node"))
+
+    def run(batches):
+        import xxhash
+        for batch in batches:
+            for b in slices(batch, text):
+                sets = [shingles(t, words) for t in utf8(b.column(text))]
+                nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.binary())], names=[*b.schema.names, "node"])
+    tagged = rows.mapInArrow(run, rows.withColumn("node", F.lit(None).cast("binary")).schema)
+    # Classes that several rows share in the chosen id keep one row only.
+    several = placed.filter("n_shingles > 0").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    kept = tagged.join(stay.hint("shuffle_hash"), tagged[key].eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")), "left_semi")
+    if several:
+        kept = kept.dropDuplicates([key, "node"])
+    blank = rows.filter(F.col(text).isNull() | ~F.col(text).rlike(r"[^ \t-\r]"))
+    return kept.select(*names.values()).unionByName(blank).withColumnsRenamed({n: c for c, n in names.items()})

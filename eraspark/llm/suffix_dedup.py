@@ -161,7 +161,8 @@ def _runs(flags: np.ndarray, cut: np.ndarray):
     return on[np.concatenate([[0], brk + 1])], on[np.concatenate([brk, [len(on) - 1]])]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
+                   carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """One row per row of ``docs`` (id, text): doc_id, n_bytes, ``spans`` (array of
     (start, end): the maximal runs of bytes covered by a ``length``-byte string
     that starts earlier in the corpus) and ``kept`` (binary, all other bytes).
@@ -170,16 +171,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     (null before all), or the same row further left; strings do not cross
     rows. Different texts under one id go by their hash; rows equal in id and
     text are one document, each with the same result. An empty table gives no
-    rows; other columns are ignored.
+    rows; other columns are ignored, but for those named in ``carry``, which
+    come after the result's. ``as_text``: ``kept`` is a string, without the
+    characters of which a byte is cut; null texts stay null.
     """
     import pyarrow as pa
     if length < 64:
         raise ValueError("length below 64")
     spark, core = docs.sparkSession, min(CORE, length - 1)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    carry = carry or []
+    carried = {c: f"_c{i}" for i, c in enumerate(carry)}
+    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in carried.items()))
+    docs = full.select("doc_id", "text")
     # A hash tells rows of one id apart; where ids are unique it is left at 0.
     unique = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").limit(1).count() == 0
-    docs = docs.withColumn("twin", F.lit(0).cast("long") if unique else F.xxhash64("text"))
+    twin = F.lit(0).cast("long") if unique else F.xxhash64("text")
+    docs = docs.withColumn("twin", twin)
 
     # 1. Trigger hashes found more than once, as a bit table.
     def triggers(batches):
@@ -274,7 +281,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     known = firsts.join(strings.withColumnsRenamed({"doc_id": "d", "twin": "t"}),
                         F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("twin") == F.col("t")), "left").select(
         F.col("doc_id").alias("kd"), F.col("twin").alias("kt"), "places", F.col("strings.first").alias("first"), F.col("strings.last").alias("last"))
-    whole = docs.join(known.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("twin") == F.col("kt")), "left")
+    whole = full.withColumn("twin", twin).join(known.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("twin") == F.col("kt")), "left")
 
     def cut(batches):
         for batch in batches:
@@ -297,12 +304,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     parts.append(text[at:a])
                     at = b
                 kept.append(b"".join([*parts, text[at:]]))
+            if as_text:
+                null = batch.column("text").is_null().to_pylist()
+                kept = [None if x else k.decode("utf-8", "ignore") for x, k in zip(null, kept)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "spans", "kept"])
-    return (whole.select("doc_id", "text", "places", "first", "last")
-            .mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"))
+                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                 pa.array(kept, pa.string() if as_text else pa.binary()), *(batch.column(n) for n in carried.values())],
+                names=["doc_id", "n_bytes", "spans", "kept", *carried.values()])
+    kinds = dict(full.dtypes)
+    schema = ", ".join(["doc_id long, n_bytes long, spans array<struct<start: long, end: long>>", "kept " + ("string" if as_text else "binary"),
+                        *(f"{n} {kinds[n]}" for n in carried.values())])
+    return whole.select("doc_id", "text", "places", "first", "last", *carried.values()).mapInArrow(cut, schema).withColumnsRenamed(
+        {n: c for c, n in carried.items()})
 
 
 _NULL = np.iinfo(np.int64).min
