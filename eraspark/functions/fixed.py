@@ -35,6 +35,7 @@ REPORT_SAMPLE_N = 1_000         # rows drawn for the method comparison
 # --- fixed values: TF-IDF jobs (max features, min df) ---------------------------
 TOP_TOKENS_V, TOP_TOKENS_MIN_DF, TOP_TOKENS_K = 80_000, 3, 100
 OVR_ERA_V = 50_000
+MLP_V = 50_000
 PER_ERA_V = 80_000
 MULTICLASS_V = 120_000
 RIDGE_V = 120_000

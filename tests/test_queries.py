@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SF001, SF01
+from eraspark.plans.registry import load_all
 
-HEAVY = {"fit_ovr_logreg", "fit_binary_per_era", "fit_binary_per_genre", "fit_genre_balanced",
-         "fit_multiclass_logreg", "fit_w2v_logreg", "fit_ridge_year", "fit_mlp_tfidf",
-         "score_binary_models"}
+# The queries of the optional parts have tests of their own.
+NAMES = set(load_all())
 
 
 def test_registry_and_oracle_keys():
@@ -30,7 +30,7 @@ def test_entry_flagship_shape(spark):
         assert scores == sorted(scores, reverse=True)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - HEAVY))
+@pytest.mark.parametrize("name", sorted(NAMES))
 def test_query_runs(spark, name):
     df = E.queries()[name](spark, SF001)
     df.limit(5).collect()
@@ -45,7 +45,7 @@ def test_stream_ingest_equals_batch(spark):
     assert s.select("url").subtract(b.select("url")).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - HEAVY - {
+@pytest.mark.parametrize("name", sorted(NAMES - {
     "stream_ingest_records", "stream_score", "stream_class_counts", "sink_splits", "sink_era_binary",
     "sink_dataset_columnar", "sink_append_found", "sink_model"}))
 def test_plan_has_no_cross_join_or_row_udf(spark, name):
