@@ -68,8 +68,9 @@ def clean_aggressive(c, stop_words=None) -> Column:
 
 
 def tokenize_ws(c) -> Column:
-    """lower case, split on any Unicode whitespace, drop empties; null -> []."""
-    return F.filter(F.split(F.lower(F.coalesce(_c(c), F.lit(""))), "(?U)\\s+"),
+    """lower case, split on the whitespace of ``str.split`` (any Unicode
+    whitespace and U+001C to U+001F), drop empties; null -> []."""
+    return F.filter(F.split(F.lower(F.coalesce(_c(c), F.lit(""))), "(?U)[\\s\\x1c-\\x1f]+"),
                     lambda t: t != "")
 
 

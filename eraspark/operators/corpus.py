@@ -121,16 +121,14 @@ def dedup_keep_first(df: DataFrame, text: str = "clean_lyrics", year: str = "yea
 
     Implemented as a grouped ``min_by`` so a hot text (one text holding a
     large share of the rows) is reduced map-side before the shuffle instead
-    of landing whole in one window partition."""
+    of landing whole in one window partition. The group key is the text's
+    md5: 32 characters are sorted and shuffled, not whole texts."""
     order = [F.col(year)]
     if views and views in df.columns:
         order.append(-F.col(views))
     order.append(F.col(tiebreak))
-    others = [c for c in df.columns if c != text]
-    best = F.min_by(F.struct(*[F.col(c) for c in others]), F.struct(*order))
-    return (df.groupBy(text).agg(best.alias("_w"))
-            .select(*[F.col(f"_w.{c}").alias(c) for c in others], F.col(text))
-            .select(*df.columns))
+    best = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*order))
+    return df.groupBy(F.md5(F.col(text)).alias("_k")).agg(best.alias("_w")).select("_w.*")
 
 
 # ---------------------------------------------------------------- pipeline A

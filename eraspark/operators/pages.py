@@ -19,7 +19,7 @@ from ..functions import fixed
 from ..functions.text import extract_year_min, genre_from_label, stable_id, strip_title
 
 PARSED_SCHEMA = ("page_text string, block_text string, block_html string, "
-                 "heading string, category_label string")
+                 "heading string, category_label string, parse_error string")
 SKIP_TEXT = {"script", "style", "template"}
 
 
@@ -121,11 +121,21 @@ def parse_page(html: str | None, tag: str, el_id: str | None, el_class: str | No
     return " ".join(p.page), block_text, block_html, p.heading, p.label
 
 
+def try_parse_page(html: str | None, *args):
+    """:func:`parse_page` plus an error text: one malformed page gives a row
+    of nulls with the reason, not a failed job."""
+    try:
+        return *parse_page(html, *args), None
+    except (AssertionError, ValueError, IndexError) as e:      # what html.parser raises on broken markup
+        return None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]
+
+
 def parse_pages(pages: DataFrame, html: str = "html", tag: str = "article",
                 el_id: str | None = None, el_class: str | None = None, keep=("page_id", "url")) -> DataFrame:
     """Per page: page_text (visible text, ' '-joined), block_text (text of
     the first matching container, '\\n'-joined), block_html (its source),
-    heading (first h1) and category_label (first <strong> with the marker)."""
+    heading (first h1) and category_label (first <strong> with the marker);
+    a page the parser cannot read has nulls and ``parse_error``."""
     keep = list(keep)
     schema = ", ".join(f"{n} {t}" for n, t in
                        [(f.name, f.dataType.simpleString()) for f in pages.schema.fields if f.name in keep])
@@ -134,9 +144,9 @@ def parse_pages(pages: DataFrame, html: str = "html", tag: str = "article",
     def run(batches):
         import pandas as pd
         for pdf in batches:
-            rows = [parse_page(h, tag, el_id, el_class) for h in pdf[html]]
+            rows = [try_parse_page(h, tag, el_id, el_class) for h in pdf[html]]
             out = pd.DataFrame(rows, columns=["page_text", "block_text", "block_html",
-                                              "heading", "category_label"])
+                                              "heading", "category_label", "parse_error"])
             for k in reversed(keep):
                 out.insert(0, k, pdf[k].values)
             yield out

@@ -125,7 +125,7 @@ def json_track_flatten(df: DataFrame, col: str) -> DataFrame:
 
 def pick_first_key(df: DataFrame, col: str, keys, default: str, out: str) -> DataFrame:
     """First non-blank *string* among alternative JSON keys, else default."""
-    v = F.parse_json(F.col(col))
+    v = F.try_parse_json(F.col(col))
     expr = F.lit(default)
     for k in reversed(list(keys)):
         val = F.try_variant_get(v, f"$.{k}", "string")
@@ -142,7 +142,7 @@ def pick_first_number(df: DataFrame, col: str, keys, default: int, out: str) ->
     """First finite number among alternative JSON keys (a JSON number, or a
     string whose leading part parses as a float), clamped and rounded to an
     integer 0..100; else default."""
-    v = F.parse_json(F.col(col))
+    v = F.try_parse_json(F.col(col))
     expr = F.lit(default)
     for k in reversed(list(keys)):
         raw = F.try_variant_get(v, f"$.{k}", "string")

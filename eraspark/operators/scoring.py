@@ -4,8 +4,7 @@ as joins + aggregations, argmax, top-k, wide tables, ensembles, confidences.
 A document's score for a class is sigmoid(sum_t weight(doc, t) * coef(class,
 t) + intercept(class)). Terms missing from a model contribute nothing, which
 is also how a shorter model is padded with zeros. Coefficient tables are
-joined on ``term``; they are broadcast when their size is bounded by
-(#classes x max features).
+joined on ``term``, one row for each term.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.text import sigmoid
 
 SCORE_DIGITS = 9
-COEF_BROADCAST_MAX = 4_000_000
 
 
 def centroid_model(weights: DataFrame, docs: DataFrame, cls: str, digits: int = SCORE_DIGITS):
@@ -36,30 +34,31 @@ def centroid_model(weights: DataFrame, docs: DataFrame, cls: str, digits: int =
 
 
 def score_linear(weights: DataFrame, coef: DataFrame, intercept: DataFrame, docs: DataFrame,
-                 doc: str, classes, n_terms_hint: int | None = None,
-                 digits: int = SCORE_DIGITS) -> DataFrame:
+                 doc: str, classes, digits: int = SCORE_DIGITS) -> DataFrame:
     """(doc, class, score) for every document and every model class.
     Documents without a known term still get sigmoid(intercept)."""
-    c = coef
-    if n_terms_hint is not None and n_terms_hint * len(classes) <= COEF_BROADCAST_MAX:
-        c = F.broadcast(coef)
-    dots = (weights.select(doc, "term", "weight").join(c, "term", "inner")
-            .groupBy(doc, "class").agg(F.sum(F.col("weight") * F.col("coef")).alias("_dot")))
-    grid = (docs.select(doc).withColumn("class", F.explode(F.array(*[F.lit(x) for x in classes])))
-            .join(F.broadcast(intercept), "class", "inner"))
-    z = F.coalesce(F.col("_dot"), F.lit(0.0)) + F.col("intercept")
-    return (grid.join(dots, [doc, "class"], "left")
-            .select(doc, "class", F.round(sigmoid(z), digits).alias("score")))
+    classes = list(classes)
+    # One row for each term with its coefficients in class order, so a (doc,
+    # term) row stays one row: k sums for a document, then k scores.
+    by_class = [F.sum(F.when(F.col("class") == c, F.col("coef")).otherwise(0.0)).alias(f"_c{i}") for i, c in enumerate(classes)]
+    c = coef.filter(F.col("class").isin(*classes)).groupBy("term").agg(*by_class)
+    dots = (weights.select(doc, "term", "weight").join(c, "term", "inner").groupBy(doc)
+            .agg(*(F.sum(F.col("weight") * F.col(f"_c{i}")).alias(f"_d{i}") for i in range(len(classes)))))
+    each = F.array(*(F.struct(F.lit(c).alias("class"), F.coalesce(F.col(f"_d{i}"), F.lit(0.0)).alias("dot")) for i, c in enumerate(classes)))
+    rows = docs.select(doc).join(dots, doc, "left").select(doc, F.explode(each).alias("_s")).select(doc, "_s.*")
+    # A row for each class: broadcast. A class without training rows has no intercept, so no score.
+    return (rows.join(F.broadcast(intercept), "class", "inner")
+            .select(doc, "class", F.round(sigmoid(F.col("dot") + F.col("intercept")), digits).alias("score")))
 
 
 def argmax_label(scores: DataFrame, doc: str, cls: str = "class", score: str = "score",
                  out: str = "predicted") -> DataFrame:
     """Class with the highest score per document; ties go to the first class
-    in class order. NaN scores never win."""
+    in class order. NaN scores never win; a document with no other score
+    keeps its row, with a null label."""
     s = F.when(F.isnan(F.col(score)), F.lit(None)).otherwise(F.col(score))
-    best = F.min_by(F.col(cls), F.struct((-s).alias("_neg"), F.col(cls)))
-    return (scores.filter(s.isNotNull()).groupBy(doc)
-            .agg(best.alias(out), F.max(s).alias("top_score")))
+    best = F.min_by(F.col(cls), F.when(s.isNotNull(), F.struct((-s).alias("_neg"), F.col(cls))))
+    return scores.groupBy(doc).agg(best.alias(out), F.max(s).alias("top_score"))
 
 
 def scores_topk(scores: DataFrame, doc: str, k: int, cls: str = "class",

@@ -16,10 +16,13 @@ from ..operators import sinks as K
 from ..operators.features import transform_tfidf
 from ..operators.sampling import ovr_fair_negatives, split_random, split_stratified
 from ..session import materialize, shared_path
-from ..sources.tables import songs, songs_from_documents, table
+from ..sources.tables import SONGS_SQL, songs, songs_from_documents, table
 from ..streaming import ingest as ST
-from .q_ingest import raw_records
-from .registry import register
+from . import sqltext as S
+from .q_ingest import NORM, RAW_SQL, raw_records
+from .q_sampling import WITH_CLEAN
+from .q_scoring import MA, q_sql
+from .registry import QUERIES, register
 
 AS_OF_YEAR = 2026
 ERAS = fixed.ERA_LABELS
@@ -50,7 +53,7 @@ def _era_docs(spark, sf_dir):
     return C.prepare_songs(songs(spark, sf_dir))
 
 
-@register("sink_splits")
+@register("sink_splits", f"WITH x AS ({QUERIES['split_random'].sql}), y AS ({WITH_CLEAN} SELECT id, song_era FROM era_docs) SELECT id, song_era, split FROM x JOIN y USING (id)")
 def q_sink_splits(spark, sf_dir):
     path = shared_path(spark, "splits")
     K.write_splits(split_random(_era_docs(spark, sf_dir)), path)
@@ -66,7 +69,9 @@ def q_sink_era_binary(spark, sf_dir):
     return spark.read.parquet(path).select("target", "split", "id", "is_target")
 
 
-@register("sink_dataset_columnar")
+@register("sink_dataset_columnar", f"""WITH x AS ({QUERIES['split_random'].sql}), p AS ({QUERIES['pad_truncate'].sql}),
+y AS ({WITH_CLEAN} SELECT id, song_era FROM era_docs)
+SELECT id, input_ids, mask_ones, song_era FROM x JOIN y USING (id) JOIN p USING (id) WHERE split = 'train'""")
 def q_sink_dataset_columnar(spark, sf_dir):
     from .q_ingest import q_pad_truncate
     path = shared_path(spark, "tokenised")
@@ -76,7 +81,7 @@ def q_sink_dataset_columnar(spark, sf_dir):
     return K.read_columns(spark, path, ["id", "input_ids", "mask_ones", "song_era"], split="train")
 
 
-@register("sink_append_found")
+@register("sink_append_found", f"WITH {RAW_SQL}, {NORM} SELECT * FROM norm WHERE release_year IS NOT NULL")
 def q_sink_append_found(spark, sf_dir):
     path = shared_path(spark, "found")
     recs = R.record_normalize(raw_records(spark, sf_dir))
@@ -86,7 +91,8 @@ def q_sink_append_found(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("sink_model")
+@register("sink_model", q_sql(MA) + """ SELECT c.class, count(*) AS n_coef, (SELECT count(*) FROM a_vocab) AS n_vocab
+FROM a_coef c JOIN a_icpt USING (class) GROUP BY c.class""")
 def q_sink_model(spark, sf_dir):
     from .q_scoring import Ctx
     path = shared_path(spark, "model")
@@ -105,7 +111,7 @@ def _schema(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
 
 
-@register("stream_ingest_records")
+@register("stream_ingest_records", f"WITH {RAW_SQL}, {NORM} SELECT DISTINCT * FROM norm")
 def q_stream_ingest_records(spark, sf_dir):
     sink, ck = shared_path(spark, "stream_records"), shared_path(spark, "stream_records_ck")
 
@@ -115,7 +121,7 @@ def q_stream_ingest_records(spark, sf_dir):
 
     ST.ingest_records(spark, f"{sf_dir}/pages.parquet", _schema(spark, sf_dir, "pages"),
                       to_records, sink, ck)
-    return spark.read.parquet(sink)
+    return ST.read_sink(spark, sink)
 
 
 @register("stream_score")
@@ -130,15 +136,15 @@ def q_stream_score(spark, sf_dir):
     def score_batch(batch):
         docs = batch.select(F.col("item_id").alias("id"), clean_lyrics("text").alias("clean_lyrics"))
         w = transform_tfidf(docs, vocab, "id", "clean_lyrics", max_features=fixed.TOP_TOKENS_V)
-        sc = SC.score_linear(w, coef, icpt, docs, "id", ERAS, n_terms_hint=fixed.TOP_TOKENS_V)
+        sc = SC.score_linear(w, coef, icpt, docs, "id", ERAS)
         return SC.argmax_label(sc, "id").select("id", "predicted", "top_score")
 
     ST.score_stream(spark, f"{sf_dir}/benchmark.parquet", _schema(spark, sf_dir, "benchmark"),
                     score_batch, sink, ck)
-    return spark.read.parquet(sink)
+    return ST.read_sink(spark, sink)
 
 
-@register("stream_class_counts")
+@register("stream_class_counts", f"WITH songs AS ({SONGS_SQL}) SELECT tag, count(*) AS n_rows FROM songs WHERE tag IN {S.in_list(fixed.GENRES)} GROUP BY tag")
 def q_stream_class_counts(spark, sf_dir):
     sink, ck = shared_path(spark, "stream_counts"), shared_path(spark, "stream_counts_ck")
 
@@ -147,11 +153,14 @@ def q_stream_class_counts(spark, sf_dir):
 
     ST.class_counts_stream(spark, f"{sf_dir}/documents.parquet", _schema(spark, sf_dir, "documents"),
                            to_labels, "tag", sink, ck)
-    return spark.read.parquet(sink)
+    return ST.read_latest(spark, sink)
 
 
 # ---------------------------------------------------------------- user scorers
-@register("user_scorer")
+@register("user_scorer", r"""SELECT item_id,
+       CASE WHEN length(coalesce(text, '')) = 0 THEN 0.0
+            ELSE CAST(length(regexp_replace(coalesce(text, ''), '[^\p{L}]', '', 'g')) AS DOUBLE) / length(text) END AS score
+FROM benchmark""")
 def q_user_scorer(spark, sf_dir):
     """A user-supplied vectorised scorer (pandas UDF) applied to the
     benchmark texts next to the built-in scores."""

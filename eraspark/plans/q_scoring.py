@@ -58,8 +58,7 @@ class Ctx:
 
     def scores(self, cls="song_era", classes=ERAS, sublinear=False):
         lw, _, coef, icpt = self.model(cls, classes, sublinear)
-        return SC.score_linear(lw, coef, icpt, self.labelled(cls, classes), "id", classes,
-                               n_terms_hint=V)
+        return SC.score_linear(lw, coef, icpt, self.labelled(cls, classes), "id", classes)
 
 
 def predictions(ctx, sublinear=False):
@@ -255,7 +254,7 @@ def q_score_feature_align(spark, sf_dir):
     _, _, coef, icpt = ctx.model()
     w_small, _ = fit_tfidf(ctx.docs, "text_key", "clean_lyrics", fixed.OVR_ERA_V, MIN_DF,
                            keep=("id",), n_docs=ctx.n_docs)
-    return SC.score_linear(w_small, coef, icpt, ctx.docs, "id", ERAS, n_terms_hint=V)
+    return SC.score_linear(w_small, coef, icpt, ctx.docs, "id", ERAS)
 
 
 @register("model_width_check", q_sql(MA) + """

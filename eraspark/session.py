@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -89,10 +90,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this is set by the platform to a shared file system and is
     used as is. Only when it is unset (tests, local runs) do we pick a scratch
-    folder ourselves.
+    folder ourselves; away from a local master that would scatter files over
+    the machines' own disks, so there it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         d = tempfile.mkdtemp(prefix="eraspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

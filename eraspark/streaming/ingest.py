@@ -2,7 +2,9 @@
 texts against static model tables, running class counts.
 
 All use ``trigger(availableNow=True)`` so a run processes what has arrived
-and stops; checkpoints make them restartable.
+and stops; checkpoints make them restartable. A micro-batch writes its own
+folder of the sink (``batch_id=N``) in overwrite mode, so a batch that is run
+again after a failure replaces what it wrote before.
 """
 
 from __future__ import annotations
@@ -10,69 +12,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = "batch_id"
+
 
 def _stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Stream a folder of Parquet files. ``path`` may name one file pattern
-    inside a folder (``dir/name.parquet``): the folder is watched and only
-    matching files are taken."""
-    import os
+    """Stream a folder of Parquet files. ``path`` may also name a single file
+    (``dir/name.parquet``): its folder is watched and only it is taken."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000)
-    if path.endswith(".parquet") and not os.path.isdir(path):
-        folder, name = os.path.split(path)
-        return reader.option("pathGlobFilter", name).parquet(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
     return reader.parquet(path)
 
 
+def write_batch(rows: DataFrame, batch_id: int, sink: str) -> None:
+    rows.write.mode("overwrite").parquet(f"{sink}/{BATCH}={batch_id}")
+
+
+def read_sink(spark: SparkSession, sink: str) -> DataFrame:
+    """All rows that the batches have written."""
+    return spark.read.parquet(sink).drop(BATCH)
+
+
+def read_latest(spark: SparkSession, sink: str) -> DataFrame:
+    """The rows of the last batch (complete-mode sinks)."""
+    df = spark.read.parquet(sink)
+    last = df.select(F.max(BATCH)).first()[0]
+    return df.filter(F.col(BATCH) == last).drop(BATCH)
+
+
 def ingest_records(spark: SparkSession, source: str, schema, to_records, sink: str,
                    checkpoint: str) -> None:
     """New pages -> records -> keep each url once -> append to ``sink``.
 
-    De-duplication state is the sink itself: each micro-batch drops urls
-    repeated inside the batch and urls already stored (left anti join with
-    the sink's url column), so no unbounded streaming state is kept and a
-    restart from the checkpoint gives the same table as one batch run."""
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        recs = to_records(batch).dropDuplicates(["url"])
-        try:
-            seen = spark.read.parquet(sink).select("url")
-            recs = recs.join(seen, "url", "left_anti")
-        except Exception:  # noqa: BLE001  (first batch: sink not created yet)
-            pass
-        recs.write.mode("append").parquet(sink)
+    De-duplication state is the sink itself: each micro-batch keeps the least
+    record of a url and drops urls that other batches have stored (left anti
+    join with the sink's url column), so no unbounded streaming state is kept
+    and a restart from the checkpoint gives the same table as one batch run."""
+    empty = to_records(spark.createDataFrame([], schema))
+    empty.write.mode("ignore").parquet(f"{sink}/{BATCH}=-1")       # so that the sink can always be read
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        recs = to_records(batch)
+        recs = recs.groupBy("url").agg(F.min(F.struct(*recs.columns)).alias("_r")).select("_r.*")
+        seen = spark.read.parquet(sink).filter(F.col(BATCH) != batch_id).select("url")
+        write_batch(recs.join(seen, "url", "left_anti").select(*empty.columns), batch_id, sink)
 
-    q = (to_stream(spark, source, schema).writeStream
-         .foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _run(_stream(spark, source, schema).writeStream, one, checkpoint)
 
 
-def to_stream(spark, source, schema):
-    return _stream(spark, source, schema)
+def _run(writer, one, checkpoint: str) -> None:
+    (writer.foreachBatch(one).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
 
 
 def score_stream(spark: SparkSession, source: str, schema, score_batch, sink: str,
                  checkpoint: str) -> None:
     """Score arriving texts with static model tables (stream-static join
     inside ``score_batch``) and append the scores."""
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        score_batch(batch).write.mode("append").parquet(sink)
-
-    q = (to_stream(spark, source, schema).writeStream.foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _run(_stream(spark, source, schema).writeStream,
+         lambda batch, batch_id: write_batch(score_batch(batch), batch_id, sink), checkpoint)
 
 
 def class_counts_stream(spark: SparkSession, source: str, schema, to_labels, label: str,
                         sink: str, checkpoint: str) -> None:
-    """Running counts per class (complete mode; one row per class) written
-    to ``sink`` after each trigger."""
-    counts = to_labels(to_stream(spark, source, schema)).groupBy(label).agg(
+    """Running counts per class (complete mode; one row per class), one table
+    per trigger; :func:`read_latest` gives the current one."""
+    counts = to_labels(_stream(spark, source, schema)).groupBy(label).agg(
         F.count(F.lit(1)).alias("n_rows"))
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
-
-    q = (counts.writeStream.outputMode("complete").foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _run(counts.writeStream.outputMode("complete"),
+         lambda batch, batch_id: write_batch(batch, batch_id, sink), checkpoint)
