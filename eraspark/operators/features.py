@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ngrams_1_2, remove_stopwords, tokenize_word
 from ..session import materialize
-from .ranking import exact_rank
+from .ranking import exact_rank, term_bucket
 
 # Vocabulary tables up to this many rows are broadcast to the term-weight
 # join; V (max features) bounds the vocabulary, so the check is on V.
@@ -72,7 +72,7 @@ def vocab_topk(tdf: DataFrame, max_features: int | None, min_df: int = 1) -> Dat
     t_star, n_gt = cut["total"], cut["n_gt"]
     above = cand.filter(F.col("total") > t_star)
     tie = exact_rank(cand.filter(F.col("total") == t_star), [F.col("term")],
-                     F.substring("term", 1, 2), rank_col="_tr")
+                     term_bucket("term"), rank_col="_tr")
     tie = tie.filter(F.col("_tr") <= max_features - n_gt).drop("_tr")
     return above.unionByName(tie)
 

@@ -24,7 +24,7 @@ def hash_key(df: DataFrame, key: str = "id", seed: int = fixed.SEED, out: str =
 
 def rank_in_class(df: DataFrame, cls: str | None, key: str = "id", seed: int = fixed.SEED,
                   rank_col: str = "k", limit=None, n_classes_hint: int | None = 64,
-                  digits: int = 2) -> DataFrame:
+                  digits: int = 4) -> DataFrame:
     """k = 1.. within each class in md5 order (ties by key)."""
     h = hash_key(df, key, seed)
     parts = [cls] if cls else []

@@ -445,11 +445,11 @@ def q_pad_truncate(spark, sf_dir):
     """Token ids (1-based alphabetical vocabulary, 0 = pad) cut or padded to
     a fixed length with their attention mask."""
     from ..operators import corpus as C
-    from ..operators.ranking import exact_rank
+    from ..operators.ranking import exact_rank, term_bucket
     from ..sources.tables import songs
     docs = C.prepare_songs(songs(spark, sf_dir)).select("id", "clean_lyrics")
     t = docs.select("id", F.posexplode(TX.tokenize_word("clean_lyrics")).alias("pos", "tok"))
-    vocab = exact_rank(t.select("tok").distinct(), [F.col("tok")], F.substring("tok", 1, 2),
+    vocab = exact_rank(t.select("tok").distinct(), [F.col("tok")], term_bucket("tok"),
                        rank_col="tid")
     ids = (t.join(vocab, "tok").groupBy("id")
            .agg(F.sort_array(F.collect_list(F.struct("pos", "tid"))).alias("_s"))
