@@ -36,12 +36,38 @@ _LINE = ["leaf", "line_key"]
 _TEMPLATE = ["leaf", "code"]
 
 
+# A set of hashes as a bit table of fixed size: 4096 rows of 32 768 bits.
+_TABLE_ROWS, _ROW_BITS = 1 << 12, 1 << 15
+
+
+def _bits(keys: DataFrame, column: str) -> DataFrame:
+    """(row, bitmap): a bit for each hash (long) in ``column``; 16 MB at most."""
+    return (keys.select(F.expr(f"{column} & {_TABLE_ROWS - 1}").alias("row"),
+                        F.expr(f"shiftrightunsigned({column}, 12) & {_ROW_BITS - 1}").alias("bit"))
+            .groupBy("row").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")))
+
+
+def _maybe_in(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
+    """``df`` with ``_in``: false for rows whose hash is surely not in the
+    table, else true (for a chance hit too). The table has a fixed size, so
+    it is broadcast."""
+    row = F.expr(f"{column} & {_TABLE_ROWS - 1}")
+    bit = F.expr(f"cast(shiftrightunsigned({column}, 12) & {_ROW_BITS - 1} as int)")
+    joined = (df.withColumns({"_row": row, "_bit": bit})
+              .join(F.broadcast(table.select(F.col("row").alias("_row"), F.col("bitmap").alias("_bitmap"))), "_row", "left"))
+    hit = F.expr("shiftright(cast(conv(hex(substring(_bitmap, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int), _bit % 8) & 1") == 1
+    return joined.withColumn("_in", F.coalesce(hit, F.lit(False))).drop("_row", "_bit", "_bitmap")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(t1, t2, i, tokens, leaf, line_key) of every line with a token."""
     lines = docs.select(*_TEXT, F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    tokens = F.array_remove(F.split("line", r"[ \t\x0B\f\r]+"), "")
-    masked = F.when(F.col("line").rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))).otherwise(tokens)
-    lines = lines.select(*_TEXT, "i", masked.alias("tokens")).filter(F.size("tokens") > 0)
+    # Blanks alone divide most lines; digits and other white space take the long way.
+    tidy = F.split(F.regexp_replace("line", r"[\t\x0B\f\r]", " "), " ")
+    masked = F.transform(tidy, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
+    tokens = F.when(F.col("line").rlike(r"[0-9\t\x0B\f\r]"), masked).otherwise(F.split("line", " "))
+    # Through a generator, so that a filter on the tokens does not build them twice.
+    lines = lines.select(*_TEXT, "i", F.explode(F.array(F.array_remove(tokens, ""))).alias("tokens")).filter(F.size("tokens") > 0)
     return lines.withColumns({"leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)), "line_key": F.xxhash64("tokens")})
 
 
@@ -50,8 +76,13 @@ def _generalised(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFr
     from the leaves that hold different lines."""
     mixed = (lines.groupBy("leaf").agg(F.min("line_key").alias("lo"), F.max("line_key").alias("hi"))
              .filter("lo != hi").select("leaf"))
-    tokens = (_lines(docs).select(*_LINE, "tokens").join(mixed.hint("shuffle_hash"), "leaf", "left_semi")
-              .select(*_LINE, F.posexplode("tokens").alias("at", "token")).distinct())
+    mixed = materialize(mixed, keep_partitioning=False)
+    # Only texts with such a line are cut into lines again, and only its lines move.
+    texts = lines.join(mixed, "leaf", "left_semi").select("t1").distinct()
+    texts = _maybe_in(docs, "t1", _bits(texts, "t1")).filter("_in").drop("_in")
+    some = _maybe_in(_lines(texts).select(*_LINE, "tokens"), "leaf", _bits(mixed, "leaf")).filter("_in")
+    tokens = (some.select(*_LINE, "tokens").distinct().join(mixed, "leaf", "left_semi")
+              .select(*_LINE, F.posexplode("tokens").alias("at", "token")))
     tokens = materialize(tokens, keep_partitioning=False)
     votes = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))
     constant = (votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"))
@@ -101,16 +132,20 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity:
     lines = materialize(templates(texts, similarity), keep_partitioning=False)
     gone = (lines.join(recurring(lines, min_docs).select(*_TEMPLATE), _TEMPLATE)
             .groupBy(*_TEXT).agg(F.collect_list("i").alias("_gone")))
-    rows = docs.drop("n_lines", "n_dropped").withColumns({"_t1": F.xxhash64(text_col), "_t2": F.hash(text_col)})
-    rows = rows.join(gone.hint("shuffle_hash").withColumnsRenamed({"t1": "_g1", "t2": "_g2"}),
-                     (F.col("_t1") == F.col("_g1")) & (F.col("_t2") == F.col("_g2")) & F.col(text_col).isNotNull(), "left")
+    gone = materialize(gone, keep_partitioning=False)
+    rows = docs.drop("n_lines", "n_dropped").withColumns({"_t1": F.coalesce(F.xxhash64(text_col), F.lit(0).cast("long")), "_t2": F.hash(text_col)})
+    # Only the texts that may lose lines are moved to the list of those lines.
+    rows = _maybe_in(rows, "_t1", _bits(gone, "t1")).withColumn("_in", F.col("_in") & F.col(text_col).isNotNull())
+    lost = rows.filter("_in").join(gone.withColumnsRenamed({"t1": "_g1", "t2": "_g2"}),
+                                   (F.col("_t1") == F.col("_g1")) & (F.col("_t2") == F.col("_g2")), "left").drop("_g1", "_g2")
+    rows = lost.unionByName(rows.filter("not _in").withColumn("_gone", F.lit(None).cast("array<int>")))
     parts = F.split(text_col, "\n")
     left = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("_gone", i)), "\n")
     return rows.withColumns({
         "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long"),
         "n_dropped": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
         text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left),
-    }).drop("_t1", "_t2", "_g1", "_g2", "_gone")
+    }).drop("_t1", "_t2", "_gone", "_in")
 
 
 #: The same for ``documents`` in DuckDB: doc_id, n_lines, n_dropped, kept_sha256.
