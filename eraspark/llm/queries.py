@@ -56,10 +56,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all ids, each document closed by id 0, as wavelet shards; read them back."""
     docs = wavelet.ordered(documents(spark, sf_dir).select("doc_id", "text"))
-    ids = bpe.encode(docs, BYTE_BPE, library_merges=True)
-    closed = ids.select("doc_id", F.concat("ids", F.lit(bytes(4))).alias("ids"))
+    spec = bpe.spec_of(spark, BYTE_BPE)
+
+    def encoder():
+        encode = bpe.load(bpe.Bpe, spec.value, True).encode
+        return lambda text: encode(text or "") + bytes(4)
     folder = shared_path(spark, "wavelet")
-    back = wavelet.read_shards(wavelet.write_shards(closed, folder), folder)
+    manifest = wavelet.write_shards(docs, folder, ids_col="text", encoder=encoder)
+    back = wavelet.read_shards(manifest, folder)
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.crc32("ids").alias("ids_crc32"))
 

@@ -35,6 +35,10 @@ BLOCK_BITS = 1 << 16
 SHARD_TOKENS = 1 << 22
 
 
+def _kind(levels: int):
+    return np.uint16 if levels <= 16 else np.uint32
+
+
 def pack(ids: np.ndarray, doc_ids: list, doc_ends: list) -> bytes:
     """The shard file of ``ids``; ``doc_ends[j]`` ids precede document j+1."""
     import zstandard
@@ -56,9 +60,9 @@ def pack(ids: np.ndarray, doc_ids: list, doc_ends: list) -> bytes:
     put("doc_known", np.asarray(known, np.uint8).tobytes())
     put("doc_ids", np.asarray([0 if d is None else d for d in doc_ids], "<i8").tobytes())
     put("doc_ends", np.asarray(doc_ends, "<i8").tobytes())
-    rest = ids.astype(np.uint32)
+    rest = ids.astype(_kind(levels))
     for level in range(levels):
-        bits = (rest >> np.uint32(levels - 1 - level)) & np.uint32(1) == 1
+        bits = (rest & rest.dtype.type(1 << (levels - 1 - level))).astype(bool)
         ones = np.add.reduceat(bits, np.arange(0, n, BLOCK_BITS), dtype=np.int64) if n else np.zeros(0, np.int64)
         before = np.concatenate([[0], np.cumsum(ones)]).astype("<i8")
         plane = np.packbits(bits).tobytes()
@@ -66,7 +70,7 @@ def pack(ids: np.ndarray, doc_ids: list, doc_ends: list) -> bytes:
         put(f"ones{level}", before.tobytes())
         put(f"offsets{level}", np.cumsum([0, *map(len, blocks)]).astype("<i8").tobytes())
         put(f"plane{level}", b"".join(blocks), compress=False)
-        rest = np.concatenate([rest[~bits], rest[bits]])
+        rest = np.concatenate([np.compress(~bits, rest), np.compress(bits, rest)])
     header = json.dumps({"n": n, "levels": levels, "block_bits": BLOCK_BITS, "sections": sections}).encode()
     return MAGIC + struct.pack("<Q", len(header)) + header + b"".join(body)
 
@@ -173,17 +177,17 @@ class Shard:
 
     def decode(self) -> np.ndarray:
         """All ids, undoing the planes' stable partitions from the last one."""
-        out = np.zeros(self.n, np.uint32)
+        out = np.zeros(self.n, _kind(self.levels))
         for level in reversed(range(self.levels)):
             at, size = self.head["sections"][f"plane{level}"]
             data, offsets = self._read(at, size), self.offsets[level]
             raw = b"".join(self.expand(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:]))
             bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).astype(bool)
-            up = np.empty(self.n, np.uint32)
+            up = np.empty(self.n, out.dtype)
             up[~bits] = out[:self.zeros[level]]
-            up[bits] = out[self.zeros[level]:] | np.uint32(1 << (self.levels - 1 - level))
+            up[bits] = out[self.zeros[level]:] | out.dtype.type(1 << (self.levels - 1 - level))
             out = up
-        return out
+        return out.astype(np.uint32)
 
 
 def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,8 +197,8 @@ def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def write_shards(encoded: DataFrame, folder: str, id_col: str = "doc_id", ids_col: str = "ids",
-                 shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(rows: DataFrame, folder: str, id_col: str = "doc_id", ids_col: str = "ids",
+                 shard_tokens: int = SHARD_TOKENS, encoder=None) -> DataFrame:
     """Write range-partitioned, sorted rows (see :func:`ordered`) as shard
     files below ``folder``, a path that every executor reaches, and return the
     manifest (part, seq, path, n_docs, n_ids), itself written there.
@@ -203,6 +207,9 @@ def write_shards(encoded: DataFrame, folder: str, id_col: str = "doc_id", ids_co
     ``shard_tokens`` ids, so memory is bounded by that and the longest
     document. Files are written under another name and then moved: a lost or
     repeated task leaves whole files only, equal for equal input.
+
+    ``encoder``, if given, is called once in a task and returns the function
+    that turns a value of ``ids_col`` (a text, say) into packed ids.
     """
     def run(batches):
         import pyarrow as pa
@@ -210,6 +217,7 @@ def write_shards(encoded: DataFrame, folder: str, id_col: str = "doc_id", ids_co
         from pyspark import TaskContext
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
+        convert = encoder() if encoder else lambda ids: ids or b""
         task = TaskContext.get()
         part, seq, docs, ends, held, total = task.partitionId(), 0, [], [], [], 0
 
@@ -227,7 +235,7 @@ def write_shards(encoded: DataFrame, folder: str, id_col: str = "doc_id", ids_co
 
         for batch in batches:
             for doc, ids in zip(batch.column(id_col).to_pylist(), batch.column(ids_col).to_pylist()):
-                ids = ids or b""
+                ids = convert(ids)
                 docs.append(doc)
                 total += len(ids) // 4
                 ends.append(total)
@@ -237,9 +245,9 @@ def write_shards(encoded: DataFrame, folder: str, id_col: str = "doc_id", ids_co
         if docs:
             yield close()
 
-    rows = encoded.select(id_col, ids_col).mapInArrow(run, "part int, seq int, path string, n_docs long, n_ids long")
-    rows.write.mode("overwrite").parquet(f"{folder}/manifest")
-    return encoded.sparkSession.read.parquet(f"{folder}/manifest")
+    written = rows.select(id_col, ids_col).mapInArrow(run, "part int, seq int, path string, n_docs long, n_ids long")
+    written.write.mode("overwrite").parquet(f"{folder}/manifest")
+    return rows.sparkSession.read.parquet(f"{folder}/manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
