@@ -44,7 +44,9 @@ def test_held_out_quality(spark):
     assert auc > 0.95 and np.mean([p == q for _, p, q in held]) > 0.9
 
 
-def test_without_positives_nulls_clashing_and_empty(spark):
+def test_without_positives_nulls_clashing_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(P, "WARM_STEPS", 2)
+    monkeypatch.setattr(P, "STEPS", 4)
     df = spark.createDataFrame([(1, None, 0.1), (2, "", 0.1), (3, "some words " * 50, 0.1), (3, "some words " * 50, 0.1), (None, "a", 0.1)],
                                "doc_id long, text string, score double")
     none = spark.createDataFrame([(None,), (99,)], "doc_id long")

@@ -49,7 +49,7 @@ def corpus(rng, n):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_random_corpus(spark, seed):
     rows = corpus(random.Random(seed), 60)
     rows += [(1000, None), (1001, ""), (1002, "x" * 99), (1003, "x" * 100), (1004, "x" * 5000), (None, rows[0][1]), (1005, "é" * 400)]
