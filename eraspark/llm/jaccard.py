@@ -14,8 +14,11 @@ only prefix shingles are joined, and a candidate pair must pass
 before the sets themselves are compared, once for each pair.
 
 The rarity of a shingle is the count of its hash bucket over all documents
-(2**18 buckets, a fixed 2 MB). Any fixed order gives the same result; the
-counts only keep frequent shingles out of the prefixes.
+(2**16 buckets, a fixed 512 KB). Any fixed order gives the same result; the
+counts only keep frequent shingles out of the prefixes. Of the prefix rows,
+only those are moved whose shingle another class has in its prefix too, as far
+as a bit table of fixed size (``TABLE_BITS``) tells; a chance hit there is a
+row more.
 
 Equal sets are one class from the start. Within a large group that shares a
 prefix shingle, members are first compared with a few leaders, those with the
@@ -33,11 +36,15 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import slices, utf8
 from .components import components
+from .suffix_dedup import SYMBOLS, bit_table, in_table, mix, powers
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
+TABLE_BITS = 27
 SLICES = 16
 LEADERS = 4
 MEMORY_ENTRIES = 1_000_000
+# Bytes of text hashed at a time.
+CHUNK = 2 << 20
 
 
 class _WordHashes(dict):
@@ -58,21 +65,70 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
 
 
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles. Words are
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = SYMBOLS.copy()
+_LOWER[ord("A"):ord("Z") + 1] = SYMBOLS[ord("a"):ord("z") + 1]
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash (A-Z lower-cased) and start of each word, by prefix sums."""
+    raw = np.frombuffer(data, np.uint8)
+    n = len(raw)
+    inside = np.concatenate([[False], ~_SPACE[raw], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    up, down = powers(n + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_LOWER[raw] * down[:n])])
+    return mix((sums[end] - sums[start]) * up[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
+
+
+def _pieces(text: bytes):
+    """A long text in pieces that end behind white space (a longer word stays whole)."""
+    at = 0
+    while at < len(text):
+        end = at + CHUNK
+        while end < len(text) and not _SPACE[text[end - 1]]:
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word shingles. Words are
     runs of bytes other than ASCII white space, A-Z lower-cased; a text of
     fewer words than ``words`` has its whole sequence as the one shingle."""
-    w = word_hashes(text.lower())
-    if not len(w):
-        return np.zeros(0, np.int64)
-    k = min(words, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
+    out, i = [], 0
+    while i < len(texts):
+        if len(texts[i]) > CHUNK:
+            w = np.concatenate([_words(p)[0] for p in _pieces(texts[i])])
+            j, cuts = i + 1, np.asarray([0, len(w)])
+        else:
+            j, size = i, 0
+            while j < len(texts) and size + len(texts[j]) <= CHUNK:
+                size += len(texts[j]) + 1
+                j += 1
+            w, start = _words(b"\n".join(texts[i:j]))
+            cuts = np.searchsorted(start, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[i:j]])]))
+        long = _rolled(w, words)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b - a >= words:
+                out.append(np.unique(long[a:b - words + 1]))
+            else:
+                out.append(_rolled(w[a:b], b - a) if b > a else np.zeros(0, np.int64))
+        i = j
+    return out
+
+
+def _rolled(w: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k words."""
+    h = np.full(max(len(w) - k + 1, 0), k, np.uint64)
     for j in range(k):
         h = (h ^ w[j:len(w) - k + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    return np.unique(h.view(np.int64))
+    return h.view(np.int64)
 
 
 def needed_prefix(n: int, percent: int) -> int:
@@ -85,59 +141,83 @@ def _sets(batches, words, *extra):
     import xxhash
     for batch in batches:
         for b in slices(batch, "text"):
-            sets = [shingles(t, words) for t in utf8(b.column("text"))]
+            sets = shingle_sets(utf8(b.column("text")), words)
             yield sets, [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [b.column(c) for c in extra]
 
 
-def members(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, node, n_shingles): each row's class of equal sets."""
-    def run(batches):
-        import pyarrow as pa
-        for sets, nodes, (ids,) in _sets(batches, words, "doc_id"):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64())],
-                                             names=["doc_id", "node", "n_shingles"])
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, n_shingles long")
-
-
-def rarity(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles of all documents by hash bucket."""
+def members(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, node, n_shingles, slices), each row's class of equal sets and
+    the set's size by hash range, and the shingles of all documents by hash
+    bucket; all from one pass."""
     def run(batches):
         import pyarrow as pa
         count = np.zeros(BUCKETS, np.int64)
-        for sets, _, _ in _sets(batches, words):
+        names = ["doc_id", "node", "n_shingles", "slices", "bucket"]
+        cut = pa.list_(pa.int32())
+        for sets, nodes, (ids,) in _sets(batches, words, "doc_id"):
             if sets:
                 count += np.bincount(np.concatenate(sets) & (BUCKETS - 1), minlength=BUCKETS)
-        used = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(count[used], pa.int64())], names=["bucket", "n"])
-    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([np.bincount((s >> 40) & (SLICES - 1), minlength=SLICES) for s in sets], cut),
+                                              pa.nulls(len(sets), pa.int32())], names=names)
+            kind = ids.type
+        if (used := np.flatnonzero(count)).size:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), pa.nulls(len(used), pa.binary()), pa.array(count[used]), pa.nulls(len(used), cut),
+                                              pa.array(used, pa.int32())], names=names)
+    both = materialize(docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, n_shingles long, slices array<int>, bucket int"), keep_partitioning=False)
+    rows = both.filter("bucket is not null").groupBy("bucket").agg(F.sum("n_shingles").alias("n")).toPandas()
     count = np.zeros(BUCKETS, np.int64)
     count[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    return count
+    # As ranks: few enough bits to sort together with the hash.
+    return both.filter("bucket is null").drop("bucket"), np.unique(count, return_inverse=True)[1].astype(np.uint64)
+
+
+def _prefix(s: np.ndarray, percent: int, order: np.ndarray) -> np.ndarray:
+    """The prefix of a sorted set: rarest first, then by hash."""
+    key = order[s & (BUCKETS - 1)] << np.uint64(32) | s.view(np.uint64) >> np.uint64(32)
+    return s[np.argsort(key, kind="stable")[:needed_prefix(len(s), percent)]]
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, count) -> DataFrame:
-    """(token, node, n, pos): prefix shingles of each class. A task emits a
-    class once; the same class from several tasks is merged later."""
-    def run(batches):
-        import pyarrow as pa
-        order, done = count.value, set()
+    """(token, node, n, pos): those prefix shingles of each class that may be
+    in another prefix too. A task emits a class once; the same class from
+    several tasks is merged later."""
+    def new(batches):
+        done = set()
         for sets, nodes, _ in _sets(batches, words):
-            tokens, owner, size, pos = [], [], [], []
             for s, node in zip(sets, nodes):
-                n = len(s)
-                if not n or node in done:
-                    continue
-                done.add(node)
-                p = needed_prefix(n, percent)
-                first = s[np.lexsort((s, order[s & (BUCKETS - 1)]))[:p]]
-                tokens.append(first)
-                owner += [node] * p
-                size.append(np.full(p, n, np.int32))
-                pos.append(np.arange(p, dtype=np.int32))
-            if tokens:
+                if len(s) and node not in done:
+                    done.add(node)
+                    yield node, len(s), _prefix(s, percent, count.value)
+            yield None, 0, None
+
+    def tokens(batches):
+        import pyarrow as pa
+        held = []
+        for node, _, first in new(batches):
+            if node is not None:
+                held.append(first)
+            elif held:
+                found, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["token", "n"])
+                held = []
+    several = (docs.select("text").mapInArrow(tokens, "token long, n long")
+               .groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1"))
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(several, "token", TABLE_BITS))
+
+    def run(batches):
+        import pyarrow as pa
+        rows = [[], [], [], []]
+        for node, n, first in new(batches):
+            if node is not None:
+                pos = np.flatnonzero(in_table(table.value, first))
+                for column, values in zip(rows, (first[pos], [node] * len(pos), np.full(len(pos), n, np.int32), pos.astype(np.int32))):
+                    column.append(values)
+            elif rows[0]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), pa.array(owner, pa.binary()), pa.array(np.concatenate(size)), pa.array(np.concatenate(pos))],
-                    names=["token", "node", "n", "pos"])
+                    [pa.array(np.concatenate(rows[0])), pa.array([x for r in rows[1] for x in r], pa.binary()),
+                     pa.array(np.concatenate(rows[2])), pa.array(np.concatenate(rows[3]))], names=["token", "node", "n", "pos"])
+                rows = [[], [], [], []]
     return docs.select("text").mapInArrow(run, "token long, node binary, n int, pos int")
 
 
@@ -149,17 +229,51 @@ def _fits(percent: int, a: str, b: str):
     return length & ((100 + percent) * still >= percent * (c(a, "n") + c(b, "n")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _sets_of(docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the classes that ``named`` (doc_id) stands for, and
+    a few more: the rows are found by a bit table over their ids, so no text
+    is moved."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(named.select(F.xxhash64("doc_id").alias("h")).distinct(), "h", TABLE_BITS))
+
+    def run(batches):
+        import pyarrow as pa
+        done = set()
+        for batch in batches:
+            some = batch.filter(pa.array(in_table(table.value, batch.column("h").to_numpy())))
+            for sets, nodes, _ in _sets([some], words):
+                new = [i for i, node in enumerate(nodes) if node not in done and not done.add(node)]
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in new], pa.binary()),
+                                                  pa.array([sets[i] for i in new], pa.list_(pa.int64()))], names=["node", "shingles"])
+    return docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "node binary, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, member: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link: suffix filter on the slice sizes, then the
     sets themselves."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("slices").alias("pa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("slices").alias("pb"))
-    both = pairs.join(left, "a").join(right, "b")
-    total = (F.size("sa") + F.size("sb")).cast("long")
+    pairs = materialize(pairs, keep_partitioning=False)
+    if pairs.isEmpty():
+        return pairs
+    asked = member.join(_nodes(pairs), "node", "left_semi")
+    cuts = asked.groupBy("node").agg(F.first("slices").alias("slices"))
+    both = (pairs.join(cuts.select(F.col("node").alias("a"), F.col("slices").alias("pa")), "a")
+            .join(cuts.select(F.col("node").alias("b"), F.col("slices").alias("pb")), "b"))
+    size = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y).cast("long")
+    total = size("pa") + size("pb")
     apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
     # overlap >= percent * total / (100 + percent)  =>  difference <= total - 2 * overlap
-    both = both.filter((100 + percent) * (total - apart) >= 2 * percent * total)
+    near = materialize(both.filter((100 + percent) * (total - apart) >= 2 * percent * total).select("a", "b"), keep_partitioning=False)
+    if near.isEmpty():
+        return near
+    named = member.join(_nodes(near), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sets = materialize(_sets_of(docs, named, words), keep_partitioning=False)
+    both = (near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
+    total = (F.size("sa") + F.size("sb")).cast("long")
     return both.filter((100 + percent) * common >= percent * total).select("a", "b")
 
 
@@ -167,35 +281,13 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, node, n_shingles, component) for each row of (doc_id, text);
     the component is the least node its class of equal sets reaches."""
     spark = docs.sparkSession
-    member = materialize(members(docs, words), keep_partitioning=False)
-    count = spark.sparkContext.broadcast(rarity(docs, words))
-
-    # Prefix rows whose token occurs in more than one row.
-    every = prefixes(docs, words, percent, count)
-    shared = every.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("token")
-    rows = materialize(every.join(shared, "token").groupBy("token", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos")),
-                       keep_partitioning=False)
+    member, order = members(docs, words)
+    order = spark.sparkContext.broadcast(order)
+    rows = prefixes(docs, words, percent, order).groupBy("token", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    rows = materialize(rows, keep_partitioning=False)
     several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1").select("token")
     rows = materialize(rows.join(several, "token"), keep_partitioning=False)
 
-    # The sets of the nodes that may link, each from the one row that names it.
-    named = (member.join(rows.select("node").distinct(), "node").groupBy("node")
-             .agg(F.min("doc_id").alias("doc_id")))
-    wanted = docs.join(named.filter("doc_id is not null").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    unnamed = docs.filter("doc_id is null")
-
-    def run(batches):
-        import pyarrow as pa
-        for sets, nodes, _ in _sets(batches, words):
-            cut = [np.bincount((s >> 40) & (SLICES - 1), minlength=SLICES).tolist() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.binary()), pa.array([s.tolist() for s in sets], pa.list_(pa.int64())), pa.array(cut, pa.list_(pa.int32()))],
-                names=["node", "shingles", "slices"])
-    sets = (wanted.select("text").union(unnamed.select("text"))
-            .mapInArrow(run, "node binary, shingles array<long>, slices array<int>")
-            .join(named.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    sets = materialize(sets, keep_partitioning=False)
-
     # 1. Every member of a token's group against its leaders.
     rank = F.row_number().over(Window.partitionBy("token").orderBy("pos", "node"))
     leaders = rows.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).drop("rank")
@@ -203,7 +295,7 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
             .filter((F.col("x.node") != F.col("y.node")) & _fits(percent, "x", "y"))
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     near = materialize(near, keep_partitioning=False)
-    links = materialize(_verified(near, sets, percent), keep_partitioning=False)
+    links = materialize(_verified(near, member, docs, words, percent), keep_partitioning=False)
 
     # 2. Pairs of a group that these links leave in different components.
     joined = materialize(components(links, "a", "b"), keep_partitioning=False)
@@ -216,10 +308,10 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
                                    & _fits(percent, "x", "y"))
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
             .join(near, ["a", "b"], "left_anti"))
-    links = links.union(materialize(_verified(rest, sets, percent), keep_partitioning=False))
+    links = links.union(materialize(_verified(rest, member, docs, words, percent), keep_partitioning=False))
 
     joined = materialize(components(links, "a", "b"), keep_partitioning=False)
-    return member.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return member.drop("slices").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80,
@@ -257,7 +349,7 @@ def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80,
         import xxhash
         for batch in batches:
             for b in slices(batch, text):
-                sets = [shingles(t, words) for t in utf8(b.column(text))]
+                sets = shingle_sets(utf8(b.column(text)), words)
                 nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.binary())], names=[*b.schema.names, "node"])
     tagged = rows.mapInArrow(run, rows.withColumn("node", F.lit(None).cast("binary")).schema)

@@ -46,11 +46,11 @@ CHUNK = 2 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_SYMBOLS = np.random.default_rng(20).integers(0, 2**64, 256, dtype=_U)
+SYMBOLS = np.random.default_rng(20).integers(0, 2**64, 256, dtype=_U)
 _POWERS: dict = {}
 
 
-def _powers(n: int):
+def powers(n: int):
     """Powers of the base and of its inverse modulo 2**64, n of each."""
     if len(_POWERS.get("up", ())) < n:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
@@ -60,7 +60,7 @@ def _powers(n: int):
     return _POWERS["up"], _POWERS["down"]
 
 
-def _mix(z):
+def mix(z):
     z = (z ^ (z >> _U(32))) * _U(0xBF58476D1CE4E5B9)
     return (z ^ (z >> _U(29))) * _U(0x94D049BB133111EB)
 
@@ -73,9 +73,9 @@ def _parse(data: bytes, ends: np.ndarray, length: int, core: int):
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none, none
-    up, down = _powers(n + 1)
-    sums = np.concatenate([[_U(0)], np.cumsum(_SYMBOLS[np.frombuffer(data, np.uint8)] * down[:n])])
-    rolling = _mix((sums[core:] - sums[:-core]) * up[:n - core + 1])
+    up, down = powers(n + 1)
+    sums = np.concatenate([[_U(0)], np.cumsum(SYMBOLS[np.frombuffer(data, np.uint8)] * down[:n])])
+    rolling = mix((sums[core:] - sums[:-core]) * up[:n - core + 1])
     # The hash's upper bits, then the position: the least is the leftmost least.
     least = (rolling >> _U(31) << _U(31)) | np.arange(len(rolling), dtype=_U)
     span, width = length - core + 1, 1
@@ -92,7 +92,7 @@ def _parse(data: bytes, ends: np.ndarray, length: int, core: int):
     trigger, text = trigger[start], text[start]
     new = np.flatnonzero(np.concatenate([[True], (trigger[1:] != trigger[:-1]) | (text[1:] != text[:-1])]))
     lo, last = start[new], start[np.concatenate([new[1:] - 1, [len(start) - 1]])]
-    whole = _mix((sums[last + length] - sums[lo]) * up[lo] + (last - lo).astype(_U) * _U(0xD6E8FEB86659FD93))
+    whole = mix((sums[last + length] - sums[lo]) * up[lo] + (last - lo).astype(_U) * _U(0xD6E8FEB86659FD93))
     return text[new], lo, last - lo + 1, rolling[trigger[new]].view(np.int64), whole.view(np.int64)
 
 
@@ -147,6 +147,22 @@ def ranks(entries: list[bytes], length: int = LENGTH):
     return entry, start, rank
 
 
+def bit_table(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """2**bits bits, in 64-bit words, with a bit set for each hash (long)."""
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, 58) as int))")
+    words = (hashes.select(F.expr(f"{column} & {2 ** (bits - 6) - 1}").alias("word"), bit.alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas())
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    return table
+
+
+def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the table: never false for one that is."""
+    word = table[hashes & (len(table) - 1)].view(_U)
+    return (word >> (hashes.view(_U) >> _U(58))) & _U(1) == 1
+
+
 def _listed(values, kind):
     import pyarrow as pa
     return pa.array(values, kind)
@@ -196,16 +212,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([_listed(found, pa.int64()), _listed(n, pa.int64())], names=["trigger", "n"])
     once = docs.select("text") if unique else docs.select("doc_id", "text").distinct().select("text")
     several = (once.mapInArrow(triggers, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")).filter("n > 1"))
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(trigger, 58) as int))")
-    words = (several.select(F.expr(f"trigger & {2 ** (TABLE_BITS - 6) - 1}").alias("word"), bit.alias("bit"))
-             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas())
-    table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
-    table = spark.sparkContext.broadcast(table)
+    table = spark.sparkContext.broadcast(bit_table(several, "trigger", TABLE_BITS))
 
     def shared(trigger):
-        word = table.value[trigger & (len(table.value) - 1)].view(_U)
-        return (word >> (trigger.view(_U) >> _U(58))) & _U(1) == 1
+        return in_table(table.value, trigger)
 
     # 2. Dictionary entries: the first occurrence of each phrase.
     def parse(batches):
