@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Words whose ids a worker remembers: two generations of so many.
-MEMORY_ENTRIES = 200_000
+MEMORY_ENTRIES = 300_000
 # ASCII and the letters of Latin-1 and Latin Extended-A: unchanged by NFC,
 # lower-cased one by one, and letters to the files' patterns. (Without the
 # dotted capital I, whose lower case is two characters.)
@@ -84,6 +84,11 @@ def merge_symbols(symbols: list[int], rules: dict[int, int], merged: list[int])
     return [s for s in symbols if s >= 0]
 
 
+# The first so many words a worker meets, most of them frequent, are looked up
+# in a table of their own that stays in the processor's cache.
+FIRST_WORDS = 6_000
+
+
 class _Memory(dict):
     """Remembers ``make(key)``. When full, the entries become the older
     generation, from which those still in use come back one by one."""
@@ -157,6 +162,8 @@ class Bpe:
             self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{LETTERS}]+| ?[0-9]+| ?[^\sA-Za-z0-9{LETTERS}]+|\s+(?!\S)|\s+")
         else:
             self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^\sa-z0-9{LETTERS}]+")
+        self.first: dict[str, bytes] = {}
+        self.shown = {b: c for b, c in self.alphabet.items() if chr(b) != c}
         self.words = _Memory(self._library_word if library_merges else self._queue_word)
         self.units = _Memory(self._unit)
 
@@ -164,13 +171,24 @@ class Bpe:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _queue_word(self, word: str) -> bytes:
-        shown = [*map(self.alphabet.__getitem__, word.encode())]
+        shown = [*self._letters(word)]
         shown[-1] += self.suffix
         symbols = [s for s in map(self.vocab.get, shown) if s is not None]
         return self._pack(merge_symbols(symbols, self.rules, self.merged))
 
     def _library_word(self, word: str) -> bytes:
-        return self._pack([t.id for t in self.library.model.tokenize("".join(map(self.alphabet.__getitem__, word.encode())))])
+        return self._pack([t.id for t in self.library.model.tokenize(self._letters(word))])
+
+    def _letters(self, word: str) -> str:
+        """The word's bytes in the byte alphabet."""
+        return (word if word.isascii() else word.encode().decode("latin-1")).translate(self.shown)
+
+    def _joined(self, words: list[str]) -> bytes:
+        first, rest = self.first.get, self.words
+        out = [first(w) or rest[w] for w in words]
+        if len(self.first) < FIRST_WORDS:
+            self.first.update(zip(words, out))
+        return b"".join(out)
 
     def _unit(self, unit: str) -> bytes:
         """Ids of a piece of text that no token crosses the ends of, split by the library."""
@@ -181,7 +199,7 @@ class Bpe:
 
     def _stretch(self, text: str) -> bytes:
         if self.plain.fullmatch(text):
-            return b"".join(map(self.words.__getitem__, self.split.findall(text if self.blank_joins else text.lower())))
+            return self._joined(self.split.findall(text if self.blank_joins else text.lower()))
         units = text.split(" ")
         if self.blank_joins:
             if _BLANK_RUN.search(text):
