@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-DEPTH = 3
+DEPTH = 4
 SIMILARITY = 0.8
 MIN_DOCS = 10
 
