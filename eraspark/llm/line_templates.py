@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-DEPTH = 4
+DEPTH = 3
 SIMILARITY = 0.8
 MIN_DOCS = 10
 
@@ -81,15 +81,20 @@ def _generalised(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFr
     texts = lines.join(mixed, "leaf", "left_semi").select("t1").distinct()
     texts = _maybe_in(docs, "t1", _bits(texts, "t1")).filter("_in").drop("_in")
     some = _maybe_in(_lines(texts).select(*_LINE, "tokens"), "leaf", _bits(mixed, "leaf")).filter("_in")
-    tokens = (some.select(*_LINE, "tokens").distinct().join(mixed, "leaf", "left_semi")
-              .select(*_LINE, F.posexplode("tokens").alias("at", "token")))
-    tokens = materialize(tokens, keep_partitioning=False)
-    votes = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))
-    constant = (votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"))
-                .select("leaf", "at", F.col("top.token").alias("constant")))
-    agree = (tokens.join(constant, ["leaf", "at"]).groupBy(*_LINE)
-             .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("token") == F.col("constant")).alias("same")))
-    return agree.filter(F.col("same") >= F.lit(similarity) * F.col("n")).select(*_LINE)
+    # A line moves as one string, as no token holds a blank. A leaf that the bit
+    # table lets through by chance holds one line, which is then its template.
+    kinds = some.select(*_LINE, F.array_join("tokens", " ").alias("line")).distinct()
+    kinds = materialize(kinds, keep_partitioning=False).withColumn("tokens", F.split("line", " ")).drop("line")
+    # The leading tokens are the leaf's own: the vote is on the places after them.
+    rest = F.expr(f"slice(tokens, {DEPTH + 1}, greatest(size(tokens) - {DEPTH}, 0))")
+    votes = (kinds.select("leaf", F.posexplode(rest).alias("at", "token"))
+             .groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n")))
+    constant = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"))
+    constants = (constant.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "top.token"))).alias("_c"))
+                 .select("leaf", F.col("_c.token").alias("constants")))
+    same = F.expr(f"least(size(tokens), {DEPTH})") + F.size(F.filter(F.zip_with(rest, "constants", lambda t, c: t == c), lambda x: x))
+    agree = kinds.join(constants, "leaf").filter(same >= F.lit(similarity) * F.size("tokens"))
+    return agree.select(*_LINE)
 
 
 def templates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

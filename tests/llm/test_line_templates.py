@@ -58,3 +58,12 @@ def test_same_rows_as_sql(spark):
     got = rows_of(spark, rows).collect()
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got) == want
     assert sum(r[2] for r in want) > 20
+
+
+def test_variable_field_without_digits_after_three_tokens(spark):
+    rng = random.Random(7)
+    rows = [(i, f"{prose(rng, 20)}\n{prose(rng, 20)}\nFiled under topic {prose(rng, 1)}{'q' * i} in the archive of the house\n{prose(rng, 20)}") for i in range(30)]
+    got = {r.doc_id: r for r in rows_of(spark, rows).collect()}
+    for d, text in rows:
+        first, second, _, last = text.split("\n")
+        assert got[d].text == f"{first}\n{second}\n{last}" and got[d].n_dropped == 1
