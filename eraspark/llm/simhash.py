@@ -9,14 +9,22 @@ by a shift and a mask that leaves every 16th bit, so one long sums four bits'
 votes in 16-bit lanes; a text is counted in runs of 65,535 shingles, which
 keeps the lanes from overflowing, and the runs of a text are added up after.
 
-The search follows the pigeonhole rule: cut fingerprints into radius + 1
-blocks; two within the radius agree on one block at least. There is one table
-for each block, in which that block leads; a lookup by leading block is an
-equi-join on (table, leading block), checked in full within the join.
+The search follows the pigeonhole rule: of n blocks of two fingerprints within
+the radius, one differs in at most radius div n bits. There is one table for
+each block, in which that block leads; a query looks up its own leading block
+and those that differ from it in so few bits, which is an equi-join on (table,
+leading block), checked in full within the join.
+
+The radius follows from a similarity of 0.8: two texts of equal length whose
+shingle sets have the Jaccard similarity J differ in 128 acos(2J / (1 + J)) / pi
+bits in the mean, 19.4 at 0.8 with a standard deviation of 4.1. 26 is the least
+radius that finds 95 of 100 such pairs.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +35,10 @@ BITS = 128
 LANES = 16
 RUN = (1 << 16) - 1
 MASK = 0x0001000100010001
-RADIUS = 3
+RADIUS = 26
+# Up to this radius blocks are equal; beyond, they would be too short to tell
+# fingerprints apart, so longer ones may differ in FLIPS bits.
+EQUAL_RADIUS, FLIPS = 7, 2
 
 
 def terms(text: str, words: int = SHINGLE) -> Column:
@@ -78,28 +89,51 @@ def likeness(a_hi, a_lo, b_hi, b_lo) -> Column:
     return F.lit(1.0) - differing(a_hi, a_lo, b_hi, b_lo) / F.lit(float(BITS))
 
 
-def _blocks(hi: str, lo: str, radius: int) -> list[Column]:
-    """The fingerprint cut into radius + 1 blocks of nearly equal width."""
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
+def _cuts(n: int) -> list[tuple[int, int]]:
+    """Start and end bit (from the highest) of n blocks of nearly equal width."""
+    cuts = [BITS * i // n for i in range(n + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
+def _blocks(hi: str, lo: str, n: int) -> list[Column]:
+    """Each of the fingerprint's n blocks as a long: its bits, or a hash if it has more than 63."""
     text = F.concat(*(F.lpad(F.conv(F.hex(F.col(c)), 16, 2), 64, "0") for c in (hi, lo)))
-    return [F.substring(text, a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
+    bits = [(F.substring(text, a + 1, b - a), b - a) for a, b in _cuts(n)]
+    return [F.conv(x, 2, 10).cast("long") if width < 64 else F.xxhash64(x) for x, width in bits]
+
+
+def _masks(a: int, b: int) -> tuple[int, int]:
+    """The two signed longs whose set bits are the bits a to b - 1 of a fingerprint."""
+    mask = ((1 << (b - a)) - 1) << (BITS - b)
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (mask >> 64, mask & ((1 << 64) - 1)))
 
 
 def within(fingerprints_: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All (q_hi, q_lo, hi, lo, distance) with a distance of at most
     ``radius``, from the distinct fingerprints (hi, lo) of both tables; each
-    pair comes once, from the first block on which it agrees."""
-    n = radius + 1
+    pair comes once, from the first block on which it nearly agrees."""
+    flips = 0 if radius <= EQUAL_RADIUS else FLIPS
+    n = radius // (flips + 1) + 1
+    cuts = _cuts(n)
 
-    def tables(df, prefix):
+    def tables(df):
         d = df.select("hi", "lo").distinct()
-        d = d.select("hi", "lo", F.array(*(F.xxhash64(b) for b in _blocks("hi", "lo", radius))).alias("blocks"))
-        return d.select(F.col("hi").alias(f"{prefix}hi"), F.col("lo").alias(f"{prefix}lo"),
-                        F.col("blocks").alias(f"{prefix}blocks"), F.posexplode("blocks").alias(f"{prefix}table", f"{prefix}lead"))
-    a, b = tables(queries, "q_"), tables(fingerprints_, "")
+        return d.select("hi", "lo", F.array(*_blocks("hi", "lo", n)).alias("blocks"))
+
+    def near(i):
+        """The blocks that differ from block i in at most ``flips`` bits."""
+        width = cuts[i][1] - cuts[i][0]
+        changes = [sum(1 << j for j in bits) for k in range(flips + 1) for bits in combinations(range(width), k)]
+        return f"transform(array({', '.join(f'{c}L' for c in changes)}), c -> struct({i} as table, blocks[{i}] ^ c as lead))"
+    a = (tables(queries).select("hi", "lo", F.explode(F.expr(f"flatten(array({', '.join(map(near, range(n)))}))")).alias("at"))
+         .select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"), F.col("at.table").alias("q_table"), F.col("at.lead").alias("q_lead")))
+    b = tables(fingerprints_).select("hi", "lo", F.posexplode("blocks").alias("table", "lead"))
     distance = differing("q_hi", "q_lo", "hi", "lo")
-    first = F.expr(f"array_position(transform(sequence(0, {n - 1}), i -> q_blocks[i] = blocks[i]), true) - 1")
-    return (a.join(b, (F.col("q_table") == F.col("table")) & (F.col("q_lead") == F.col("lead"))
+    agree = [f"bit_count((q_hi ^ hi) & {h}L) + bit_count((q_lo ^ lo) & {x}L) <= {flips}".replace("-9223372036854775808L", "shiftleft(1L, 63)")
+             for h, x in (_masks(*c) for c in cuts)]
+    first = F.expr(f"array_position(array({', '.join(agree)}), true) - 1")
+    # The lookups are many more than their source's size tells: never broadcast.
+    return (a.hint("merge").join(b, (F.col("q_table") == F.col("table")) & (F.col("q_lead") == F.col("lead"))
                    & (distance <= radius) & (first == F.col("table")))
             .select("q_hi", "q_lo", "hi", "lo", distance.alias("distance")))
 

@@ -89,3 +89,38 @@ def test_nulls_repeats_and_empty(spark):
     assert simhash.edited(df.limit(0)).count() == 0
     one = simhash.edited(df.limit(1)).collect()
     assert len(one) == 1
+
+
+@pytest.mark.parametrize("radius", [8, 20, 26])
+def test_wide_search_against_all_pairs(spark, radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(5)] + [0, 2**128 - 1]
+    prints = set(base)
+    for _ in range(200):
+        x = rng.choice(base)
+        for j in rng.sample(range(128), rng.randint(0, radius + 3)):
+            x ^= 1 << j
+        prints.add(x)
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    df = spark.createDataFrame([(signed(x >> 64), signed(x % 2**64)) for x in prints], "hi long, lo long")
+    got = sorted((r.q_hi % 2**64 << 64 | r.q_lo % 2**64, r.hi % 2**64 << 64 | r.lo % 2**64, r.distance)
+                 for r in simhash.within(df, df, radius).collect())
+    assert got == sorted((a, b, (a ^ b).bit_count()) for a in prints for b in prints if (a ^ b).bit_count() <= radius)
+
+
+def test_planted_near_copies_are_found(spark):
+    # 500 words, 11 of them changed: 441 of 551 different shingles in common.
+    rng = random.Random(3)
+    rows = []
+    for k in range(120):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(500)]
+        rows.append((k, 0, " ".join(words)))
+        for place in range(20, 500, 45):
+            words[place] = f"x{rng.randrange(10**9)}"
+        rows.append((k, 1, " ".join(words)))
+    df = spark.createDataFrame(rows, "k long, form int, text string")
+    prints = simhash.fingerprints(df, ["k", "form"]).cache()
+    found = simhash.within(prints.filter("form = 1"), prints.filter("form = 0"))
+    pairs = (found.join(prints.filter("form = 0").select("k", F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo")), ["q_hi", "q_lo"])
+             .join(prints.filter("form = 1").select(F.col("k").alias("other"), "hi", "lo"), ["hi", "lo"]).collect())
+    assert all(r.k == r.other for r in pairs) and len(pairs) >= 0.88 * 120
