@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_path
-from . import bpe, jaccard, langid, line_templates, packing, perplexity, pu_quality, simhash, suffix_dedup, wavelet
+from . import bpe, jaccard, langid, line_templates, packing, periodic, perplexity, pu_quality, simhash, suffix_dedup, wavelet
 from .common import documents, held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -117,7 +117,29 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document; in those whose number says so, the
+    words from one on are first replaced by a repeated stretch of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.floor(h / 10).alias("g"),
+                                           F.when(h % 10 == 0, words).alias("w"))
+    docs = docs.withColumn("a", F.expr("if(size(w) > 0, cast(g % size(w) as int), null)"))
+    docs = docs.withColumn("p", F.expr("cast(1 + (size(w) - a) div (3 + g % 8) as int)"))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), cast((size(w) - a) div p + 1 as int))), 1, size(w) - a)")
+    changed = F.array_join(F.concat(F.expr("slice(w, 1, a)"), tail), " ")
+    found = periodic.find_runs(docs.select("doc_id", F.when(F.col("a").isNotNull(), changed).otherwise(F.col("text")).alias("text")))
+    best = F.aggregate("runs", F.expr("runs[0]"), lambda x, y: F.when(y["length"] * x["period"] > x["length"] * y["period"], y).otherwise(x))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumns({"best": F.when(F.size("runs") > 0, best),
+                               "lines": F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")})
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+                        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_wavelet": op3_wavelet, "op4_suffix_dedup": op4_suffix_dedup, "op5_perplexity": op5_perplexity, "op6_quality": op6_quality, "op7_packing": op7_packing,
            "op8_jaccard": op8_jaccard, "op9_line_templates": op9_line_templates,
-           "op10_langid": op10_langid}
+           "op10_langid": op10_langid, "op12_periodic": op12_periodic}
 SQL: dict[str, str] = {"op9_line_templates": line_templates.SQL}
