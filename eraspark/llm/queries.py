@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_path
-from . import bpe, jaccard, langid, line_templates, packing, periodic, perplexity, pu_quality, simhash, suffix_dedup, wavelet
+from . import bpe, histogram_sort, jaccard, langid, line_templates, packing, periodic, perplexity, pu_quality, simhash, suffix_dedup, wavelet
 from .common import documents, held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -117,6 +117,17 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near-equal bytes, ordered by the hash
+    of their text, then id, so that equal texts lie together."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    docs = docs.withColumns({"size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1,
+                             "text_hash": F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1)})
+    placed = histogram_sort.histogram_sort(docs, 8, key="text_hash", tie="doc_id", size="size")
+    return placed.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+                         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document; in those whose number says so, the
     words from one on are first replaced by a repeated stretch of them."""
@@ -141,5 +152,5 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_wavelet": op3_wavelet, "op4_suffix_dedup": op4_suffix_dedup, "op5_perplexity": op5_perplexity, "op6_quality": op6_quality, "op7_packing": op7_packing,
            "op8_jaccard": op8_jaccard, "op9_line_templates": op9_line_templates,
-           "op10_langid": op10_langid, "op12_periodic": op12_periodic}
+           "op10_langid": op10_langid, "op11_histogram_sort": op11_histogram_sort, "op12_periodic": op12_periodic}
 SQL: dict[str, str] = {"op9_line_templates": line_templates.SQL}
