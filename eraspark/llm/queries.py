@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_path
-from . import bpe, histogram_sort, jaccard, langid, line_templates, packing, periodic, perplexity, pu_quality, simhash, suffix_dedup, wavelet
+from . import bpe, histogram_sort, jaccard, langid, line_templates, packing, periodic, perplexity, prefix_trie, pu_quality, simhash, suffix_dedup, wavelet
 from .common import documents, held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -150,7 +150,23 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations, each rebuilt on the first turns of the one
+    whose id is the next lower multiple of 20."""
+    turns = prefix_trie.numbered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    turns = materialize(turns.withColumns({"h": F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4,
+                                           "base": F.expr("conv_id - conv_id % 20")}), keep_partitioning=False)
+    convs = materialize(turns.select("conv_id", "h", "base").distinct(), keep_partitioning=False)
+    heads = turns.filter("conv_id = base and i <= 3").select("base", "i", "t1", "t2", "words")
+    taken = convs.join(heads, "base").filter("i <= h").select("conv_id", F.col("i").alias("depth"), "t1", "t2", "words")
+    found = heads.groupBy("base").agg(F.count(F.lit(1)).alias("k"))
+    own = (turns.filter("i > h").join(found, "base", "left")
+           .select("conv_id", F.expr("i - h + least(h, coalesce(k, 0))").alias("depth"), "t1", "t2", "words"))
+    return prefix_trie.prefix_trie(taken.union(own), convs.select("conv_id"))
+
+
 QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_wavelet": op3_wavelet, "op4_suffix_dedup": op4_suffix_dedup, "op5_perplexity": op5_perplexity, "op6_quality": op6_quality, "op7_packing": op7_packing,
            "op8_jaccard": op8_jaccard, "op9_line_templates": op9_line_templates,
-           "op10_langid": op10_langid, "op11_histogram_sort": op11_histogram_sort, "op12_periodic": op12_periodic}
+           "op10_langid": op10_langid, "op11_histogram_sort": op11_histogram_sort, "op12_periodic": op12_periodic,
+           "op13_prefix_trie": op13_prefix_trie}
 SQL: dict[str, str] = {"op9_line_templates": line_templates.SQL}
