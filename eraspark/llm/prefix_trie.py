@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from ..session import materialize, materialize_bucketed
 
 #: Counters of a row of the sketch for each prefix, rows, and the most counters
-#: of a row: the table is at most MOST_CELLS * ROWS bits = 64 MB. A larger input
-#: fills it, so that more prefixes are shuffled; the nodes stay the same.
+#: of a row: the table is at most MOST_CELLS * ROWS bits = 64 MB, and broadcast. A
+#: larger input fills it, so that more prefixes are shuffled; the nodes stay the same.
 CELLS_EACH, ROWS, MOST_CELLS = 4, 4, 1 << 27
 _LEAST_CELLS = 1 << 16
 _BLOCK = 1 << 13                       # bytes of a bit plane that are added up together
@@ -133,13 +133,9 @@ def _prefixes(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "depth", "words", "p1", "p2", F.col("p1").bitwiseXOR(F.col("m1")).alias("q1"), F.col("p2").bitwiseXOR(F.col("m2")).alias("q2"), "last")
 
 
-def _cells(digests, cells: int):
-    """The counters of each digest, one row of the sketch after the other."""
-    x = digests.astype(np.uint64)
-    step = (x >> np.uint64(32)) | np.uint64(1)
-    for row in range(ROWS):
-        mixed = (x + np.uint64(row) * step) * np.uint64(0x9E3779B97F4A7C15)
-        yield row, (mixed >> np.uint64(33)).astype(np.int64) & (cells - 1)
+def _cell(row: int, cells: int) -> Column:
+    """The counter of a prefix in one row of the sketch."""
+    return F.xxhash64("p1", F.lit(row)).bitwiseAND(F.lit(cells - 1).cast("long"))
 
 
 def _sketch(rows: DataFrame, cells: int) -> DataFrame:
@@ -147,7 +143,7 @@ def _sketch(rows: DataFrame, cells: int) -> DataFrame:
     def count(batches):
         sums: dict = {}
         for seen in _gathered(batches):
-            for row, at in _cells(seen, cells):
+            for row, at in enumerate(seen):
                 at, n = np.unique(at, return_counts=True)
                 for block in np.unique(at // (8 * _BLOCK)).tolist():
                     lo, hi = np.searchsorted(at, (block * 8 * _BLOCK, (block + 1) * 8 * _BLOCK))
@@ -163,26 +159,26 @@ def _sketch(rows: DataFrame, cells: int) -> DataFrame:
         yield from _frames(sums)
 
     schema = "row int, block int, once binary, twice binary"
-    return rows.select("p1").mapInArrow(count, schema).repartition("row", "block").mapInArrow(add, schema)
+    return rows.select(*(_cell(row, cells) for row in range(ROWS))).mapInArrow(count, schema).repartition("row", "block").mapInArrow(add, schema)
 
 
 def _gathered(batches, least: int = 1 << 20):
-    """The digests of the batches, some batches at a time."""
+    """The columns of the batches, some batches at a time."""
     held, size = [], 0
     for b in batches:
-        held.append(b.column(0).to_numpy())
+        held.append([c.to_numpy() for c in b.columns])
         size += b.num_rows
         if size >= least:
-            yield np.concatenate(held)
+            yield [np.concatenate(c) for c in zip(*held)]
             held, size = [], 0
     if held:
-        yield np.concatenate(held)
+        yield [np.concatenate(c) for c in zip(*held)]
 
 
 def _plane(at):
     bits = np.zeros(8 * _BLOCK, bool)
     bits[at] = True
-    return np.packbits(bits)
+    return np.packbits(bits, bitorder="little")
 
 
 def _add(sums: dict, key, once, twice) -> None:
@@ -201,27 +197,24 @@ def _frames(sums: dict):
 def _screened(rows: DataFrame) -> DataFrame:
     """``rows`` with ``shared`` (false: the estimate proves one conversation),
     ``first`` (the first of its tail) and ``tail`` (a tail begins after it)."""
-    spark = rows.sparkSession
     cells, wanted = _LEAST_CELLS, min(MOST_CELLS, CELLS_EACH * rows.count())
     while cells < wanted:
         cells *= 2
-    planes = np.zeros((ROWS, -(-cells // (8 * _BLOCK)) * _BLOCK), np.uint8)
-    for r in _sketch(rows, cells).select("row", "block", "twice").toLocalIterator():
-        planes[r["row"], r["block"] * _BLOCK:(r["block"] + 1) * _BLOCK] = np.frombuffer(bytes(r["twice"]), np.uint8)
-    table = spark.sparkContext.broadcast(planes)
-
-    @F.pandas_udf("boolean")
-    def often(p1):
-        import pandas as pd
-        digests, hit = p1.to_numpy(), True
-        for row, at in _cells(digests, cells):
-            hit = hit & ((table.value[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
-        return pd.Series(hit)
+    planes = materialize(_sketch(rows, cells).select("row", "block", "twice"), keep_partitioning=False)
+    columns, often = rows.columns, F.lit(True)
+    for row in range(ROWS):
+        # At most MOST_CELLS / 8 bytes. A broadcast join leaves the buckets of conversations as they are.
+        plane = planes.filter(F.col("row") == row).select(F.col("block").cast("long").alias(f"_b{row}"), F.col("twice").alias(f"_w{row}"))
+        rows = (rows.withColumns({f"_c{row}": _cell(row, cells)}).withColumn(f"_b{row}", F.expr(f"_c{row} div {8 * _BLOCK}"))
+                .join(F.broadcast(plane), f"_b{row}", "left"))
+        byte = F.expr(f"cast(conv(hex(substring(_w{row}, cast(_c{row} % {8 * _BLOCK} div 8 as int) + 1, 1)), 16, 10) as int)")
+        often = often & (F.getbit(byte, F.expr(f"cast(_c{row} % 8 as int)")) == 1)
+    rows = rows.select(*columns, often.alias("often"))
 
     along = Window.partitionBy("conv_id").orderBy("depth")
     # A prefix of a tail may look shared by chance: the tail begins at the first that does not.
     alone = F.max(~F.col("often")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("often", often("p1")).withColumn("shared", ~alone)
+    rows = rows.withColumn("shared", ~alone)
     rows = rows.withColumns({"first": ~F.col("shared") & F.coalesce(F.lag("shared").over(along), F.lit(True)),
                              "tail": F.col("shared") & ~F.coalesce(F.lead("shared").over(along), F.lit(True))})
     return rows.drop("often")

@@ -3,7 +3,6 @@ import hashlib
 import random
 import zlib
 
-import numpy as np
 import pytest
 
 from conftest import SF001, SF01
@@ -96,15 +95,23 @@ def test_a_long_conversation(spark):
     assert next(r for r in got if r[1] == 0)[3:7] == (2, 1, 1, 2999)
 
 
-def test_estimates_never_fall_short():
-    rng = np.random.default_rng(3)
-    digests = rng.integers(-(1 << 63), (1 << 63) - 1, 4000)
-    for cells in (1 << 10, 1 << 16):
-        for row, at in P._cells(digests, cells):
-            assert at.min() >= 0 and at.max() < cells
-        counts = [np.bincount(at, minlength=cells)[at] for _, at in P._cells(digests, cells)]
-        assert (np.min(counts, axis=0) >= 1).all()
-    assert (np.min(counts, axis=0) == 1).mean() > 0.99
+def test_screening_proves_only_single_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(P, "_LEAST_CELLS", 1 << 10)
+    monkeypatch.setattr(P, "CELLS_EACH", 1)
+    rng = random.Random(3)
+    turns = [(c, d, rng.randint(0, 2) if d < 3 else rng.getrandbits(40), 0, 1) for c in range(500) for d in range(1, 6)]
+    rows = P.materialize_bucketed(P._prefixes(spark.createDataFrame(turns, "conv_id long, depth long, t1 long, t2 long, words long")), "conv_id")
+    screened = P._screened(rows)
+    plan = screened._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan               # tails are told apart where their rows lie
+    got = screened.collect()
+    counts = {}
+    for r in got:
+        counts[r.depth, r.p1, r.p2] = counts.get((r.depth, r.p1, r.p2), 0) + 1
+    single = [r for r in got if not r.shared]
+    assert all(counts[r.depth, r.p1, r.p2] == 1 for r in single) and len(single) > 500
+    assert sum(r.first for r in got) == len({r.conv_id for r in single}) and all(not r.shared for r in got if r.first)
+    assert all(r.shared for r in got if r.tail) and all(r.depth > 1 for r in single if not r.first)
 
 
 def test_odd_rows(spark):
