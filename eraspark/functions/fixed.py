@@ -75,6 +75,12 @@ SONG_TITLE_PREFIX = "เนื้อเพลง"              # song links: tit
 LYRICS_BLOCK_ID = "lyric-lyric"             # container of the lyric text
 GENRE_LABEL_MARKER = "หมวดเพลง"              # "song category" label
 SEARCH_YEAR_KEYWORD = "ปี"                  # "year", appended to year searches
+INDEX_PATH = "/หาศิลปิน/"                    # one index page a letter
+LYRICS_SEARCH_URL = "https://www.lyricsfreak.com/search.php?a=search&type=song&q="
+YEAR_SEARCH_URL = "https://duckduckgo.com/html/?q="
+CHECK_SEARCH_URL = "https://www.google.com/search?q="
+CHECK_YEAR_KEYWORDS = "เพลง ปี ออกปี"        # "song year released-year"
+RESULT_LINK_CLASS = "song"                  # search results: class of a hit's link
 THAI_INDEX_LETTERS = "กขฃคฅฆงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรฤลฦวศษสหฬอฮ"
 
 # --- fixed values: prediction payload keys (first usable key wins) -----------

@@ -92,8 +92,18 @@ def thai_digits(c) -> Column:
     return F.translate(_c(c), fixed.THAI_DIGITS, "0123456789")
 
 
+# Every decimal digit of Unicode in order of its value, by rule, for Python's int().
+_ALL_DIGITS = "".join(c for c in map(chr, range(0x110000)) if c.isdecimal() and not c.isascii())
+_THEIR_VALUES = "".join(str(int(c)) for c in _ALL_DIGITS)
+
+
+def ascii_digits(c) -> Column:
+    """Decimal digits of any script as 0-9."""
+    return F.translate(_c(c), _ALL_DIGITS, _THEIR_VALUES)
+
+
 def _be_to_ce(raw: Column) -> Column:
-    return (thai_digits(raw).cast("int") - fixed.BUDDHIST_ERA_OFFSET).cast("string")
+    return (ascii_digits(raw).cast("int") - fixed.BUDDHIST_ERA_OFFSET).cast("string")
 
 
 def _hit(c: Column, pattern: str) -> Column:
@@ -136,7 +146,7 @@ def extract_year(c, heavy: bool = False) -> Column:
     if heavy:
         r4a = _hit(t, YEAR_RULE4A)
         r4b = _hit(t, YEAR_RULE4B)
-        y4b = thai_digits(r4b).cast("int")
+        y4b = ascii_digits(r4b).cast("int")
         out = F.coalesce(
             out,
             F.when(r4a.isNotNull(), _be_to_ce(r4a)),
@@ -170,9 +180,9 @@ def genre_from_label(label) -> Column:
                   py_strip(F.element_at(F.split(lb, ":"), -1)))
 
 
-def absolute_url(href, base: str) -> Column:
+def absolute_url(href, base: str | Column) -> Column:
     h = _c(href)
-    return F.when(h.startswith("http"), h).otherwise(F.concat(F.lit(base), h))
+    return F.when(h.startswith("http"), h).otherwise(F.concat(F.lit(base) if isinstance(base, str) else base, h))
 
 
 def url_quote(c) -> Column:

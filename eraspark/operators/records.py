@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import epoch_format, py_strip
+from ..functions.text import epoch_format, overall_confidence, py_strip
 
 DEFAULT_SCRAPE_DATE = "2025-01-01 00:00:00"   # parameter, replaces the wall clock
 
@@ -138,12 +138,12 @@ def pick_first_key(df: DataFrame, col: str, keys, default: str, out: str) -> Dat
 PARSE_FLOAT_RE = "^[\\s]*([+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)"
 
 
-def pick_first_number(df: DataFrame, col: str, keys, default: int, out: str) -> DataFrame:
+def pick_first_number(df: DataFrame, col: str, keys, default: int | Column, out: str) -> DataFrame:
     """First finite number among alternative JSON keys (a JSON number, or a
     string whose leading part parses as a float), clamped and rounded to an
     integer 0..100; else default."""
     v = F.try_parse_json(F.col(col))
-    expr = F.lit(default)
+    expr = default if isinstance(default, Column) else F.lit(default)
     for k in reversed(list(keys)):
         raw = F.try_variant_get(v, f"$.{k}", "string")
         typ = F.schema_of_variant(F.variant_get(v, f"$.{k}", "variant"))
@@ -156,3 +156,15 @@ def pick_first_number(df: DataFrame, col: str, keys, default: int, out: str) ->
         clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(x + 0.5))).cast("int")
         expr = F.when(ok, clamped).otherwise(expr)
     return df.withColumn(out, expr)
+
+
+def map_prediction(df: DataFrame, col: str) -> DataFrame:
+    """A prediction payload (JSON text) as columns: era, genre, era_confidence,
+    genre_confidence, overall_confidence (integers 0..100). The overall one
+    falls back to the rounded mean of the other two, the rest to the defaults."""
+    out = pick_first_key(df, col, fixed.ERA_KEYS, fixed.DEFAULT_ERA, "era")
+    out = pick_first_key(out, col, fixed.GENRE_KEYS, fixed.DEFAULT_GENRE, "genre")
+    out = pick_first_number(out, col, fixed.ERA_CONFIDENCE_KEYS, 0, "era_confidence")
+    out = pick_first_number(out, col, fixed.GENRE_CONFIDENCE_KEYS, 0, "genre_confidence")
+    mean = overall_confidence("era_confidence", "genre_confidence")
+    return pick_first_number(out, col, fixed.OVERALL_CONFIDENCE_KEYS, mean, "overall_confidence")

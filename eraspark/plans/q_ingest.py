@@ -283,6 +283,58 @@ def q_extract_year(spark, sf_dir):
     return st.select("page_id", "source", TX.extract_year("text").alias("release_year"))
 
 
+# Rules 4a and 4b of the heavy search, RE2 forms.
+_R4A = rf"พ\.ศ\.?{_S}*(\p{{Nd}}{{4}})"
+_R4B = rf"\p{{Nd}}{{1,2}}{_S}*[ก-๙]+{_S}*(\p{{Nd}}{{4}})"
+
+
+def heavy_year_sql(x: str) -> str:
+    a, b = (f"nullif(regexp_extract({x}, '{r}', 1), '')" for r in (_R4A, _R4B))
+    b = f"CAST(translate({b}, '{fixed.THAI_DIGITS}', '0123456789') AS INTEGER)"
+    return (f"coalesce({year_sql(x)}, {_be_sql(a)}, "
+            f"CAST(CASE WHEN {b} >= 2500 THEN {b} - {fixed.BUDDHIST_ERA_OFFSET} ELSE {b} END AS VARCHAR))")
+
+
+HEAVY_FORMS = (" พ.ศ.{} {}", " 12 สิงหาคม {} ({})", " ๕ ก.ค. {} 3มกราคม {}", " {} {}")
+
+
+def heavy_texts(spark, sf_dir):
+    """The snippets; those without a year of the first rules get the forms of
+    the heavy search, in the Buddhist or the common era."""
+    st = search_texts(spark, sf_dir)
+    pid, src = F.col("page_id"), F.col("source")
+    era = F.when(pid % 3 == 0, (F.lit(1950) + (pid + src) % 70).cast("string")).otherwise((F.lit(2490) + (pid * 3 + src) % 80).cast("string"))
+    era = F.when(pid % 5 == 2, F.translate(era, "0123456789", fixed.THAI_DIGITS)).otherwise(era)
+    forms = [F.concat(*[x for p in f.split("{}") for x in (F.lit(p), era)][:-1]) for f in HEAVY_FORMS]
+    added = _case(pid % 7, list(enumerate(forms)), F.lit(""))
+    return st.select("page_id", "source", F.when((pid + src) % 6 == 5, F.concat("text", added)).otherwise(F.col("text")).alias("text"))
+
+
+def _forms_sql() -> str:
+    forms = [" || ".join(x for p in f.split("{}") for x in (S.q(p), "era"))[:-len(" || era")] for f in HEAVY_FORMS]
+    return _sql_case("page_id % 7", list(enumerate(forms)), "''")
+
+
+HEAVY_SQL = f"""{SEARCH_SQL},
+hv AS (SELECT *, CAST(CASE WHEN page_id % 3 = 0 THEN 1950 + (page_id + source) % 70 ELSE 2490 + (page_id * 3 + source) % 80 END AS VARCHAR) AS era0 FROM st),
+hv1 AS (SELECT *, CASE WHEN page_id % 5 = 2 THEN translate(era0, '0123456789', '{fixed.THAI_DIGITS}') ELSE era0 END AS era FROM hv),
+ht AS (SELECT page_id, source, CASE WHEN (page_id + source) % 6 = 5 THEN text || {_forms_sql()} ELSE text END AS text FROM hv1)"""
+
+
+@register("extract_year_heavy", f"WITH {HEAVY_SQL} SELECT page_id, source, {heavy_year_sql('text')} AS release_year FROM ht")
+def q_extract_year_heavy(spark, sf_dir):
+    """All rules, the two of the heavy search included."""
+    return heavy_texts(spark, sf_dir).select("page_id", "source", TX.extract_year("text", heavy=True).alias("release_year"))
+
+
+@register("extract_year_heavy_documents", f"SELECT doc_id, {heavy_year_sql('text')} AS release_year FROM documents")
+def q_extract_year_heavy_documents(spark, sf_dir):
+    """All rules over whole document texts."""
+    from ..operators.corpus import with_computed
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_computed(d, "release_year", TX.extract_year("text", heavy=True)).select("doc_id", "release_year")
+
+
 @register("thai_digits", f"""WITH {SEARCH_SQL}
 SELECT page_id, source, translate(text, '{fixed.THAI_DIGITS}', '0123456789') AS text FROM st""")
 def q_thai_digits(spark, sf_dir):
@@ -373,17 +425,6 @@ lx AS (SELECT page_id, base, generate_subscripts(hrefs, 1) AS pos, unnest(hrefs)
 links AS (SELECT page_id, CAST(pos AS BIGINT) AS pos, base, href, {S.strip('text0')} AS text FROM lx)"""
 
 
-@register("extract_links", f"""WITH {LINKS_SQL}
-SELECT page_id, pos, text, CASE WHEN starts_with(href, 'http') THEN href ELSE base || href END AS url
-FROM links WHERE starts_with(href, '/')""")
-def q_extract_links(spark, sf_dir):
-    """Anchors whose href starts with a prefix ('/'), with absolute urls."""
-    lk = links(spark, sf_dir).filter(F.col("href").startswith("/"))
-    return lk.select("page_id", "pos", "text",
-                     F.when(F.col("href").startswith("http"), F.col("href"))
-                      .otherwise(F.concat(F.col("base"), F.col("href"))).alias("url"))
-
-
 @register("absolute_url", f"""WITH {LINKS_SQL}
 SELECT page_id, pos, href, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://example.com' || href END AS url
 FROM links""")
@@ -466,7 +507,7 @@ def q_pad_truncate(spark, sf_dir):
 def _payload_spark(ev):
     k = F.col("event_id") % 6
     v100 = F.round(F.col("value") * 100).cast("long").cast("string")
-    et = F.col("event_type")
+    et, u = F.col("event_type"), F.col("user_id")
     lit = F.lit
     js = (F.when(k == 0, F.concat(lit('{"era": "'), et, lit('", "era_confidence": '), v100, lit("e-2}")))
           .when(k == 1, F.concat(lit('{"predicted_era": "  ", "eraConfidence": "'), v100, lit('e-2 pts"}')))
@@ -474,7 +515,8 @@ def _payload_spark(ev):
                                  v100, lit("}")))
           .when(k == 3, F.concat(lit('{"era_label": '), F.col("user_id").cast("string"),
                                  lit(', "era": "", "era_score": "'), v100, lit('"}')))
-          .when(k == 4, lit("{}"))
+          .when(k == 4, F.when(u % 3 == 0, lit("{}")).when(u % 3 == 1, F.concat(lit('{"predicted_genre": "'), et, lit('", "genre": " ", "genreConfidence": '), v100, lit("e-2}")))
+                .otherwise(F.concat(lit('{"genre_label": "g", "genre_score": "'), v100, lit('e-2", "overallConfidence": "x", "confidence": '), v100, lit("}"))))
           .otherwise(F.col("props")))
     return ev.select("event_id", js.alias("payload"))
 
@@ -485,7 +527,9 @@ _PAYLOAD_SQL = """pl AS (
     WHEN 1 THEN '{"predicted_era": "  ", "eraConfidence": "' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || 'e-2 pts"}'
     WHEN 2 THEN '{"predictedEra": "' || event_type || '", "era_score": "abc", "eraConfidence": ' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || '}'
     WHEN 3 THEN '{"era_label": ' || CAST(user_id AS VARCHAR) || ', "era": "", "era_score": "' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || '"}'
-    WHEN 4 THEN '{}'
+    WHEN 4 THEN CASE user_id % 3 WHEN 0 THEN '{}'
+      WHEN 1 THEN '{"predicted_genre": "' || event_type || '", "genre": " ", "genreConfidence": ' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || 'e-2}'
+      ELSE '{"genre_label": "g", "genre_score": "' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || 'e-2", "overallConfidence": "x", "confidence": ' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || '}' END
     ELSE props END AS payload FROM events)"""
 
 
@@ -514,14 +558,18 @@ def _pick_num_sql(keys, default):
     return out
 
 
-@register("pick_first_key", f"""WITH {_PAYLOAD_SQL}
-SELECT event_id, {_pick_str_sql(fixed.ERA_KEYS, fixed.DEFAULT_ERA)} AS era,
-       {_pick_num_sql(fixed.ERA_CONFIDENCE_KEYS, 0)} AS era_confidence FROM pl""")
+@register("pick_first_key", f"""WITH {_PAYLOAD_SQL},
+p1 AS (SELECT event_id, payload, {_pick_str_sql(fixed.ERA_KEYS, fixed.DEFAULT_ERA)} AS era,
+       {_pick_str_sql(fixed.GENRE_KEYS, fixed.DEFAULT_GENRE)} AS genre,
+       {_pick_num_sql(fixed.ERA_CONFIDENCE_KEYS, 0)} AS era_confidence,
+       {_pick_num_sql(fixed.GENRE_CONFIDENCE_KEYS, 0)} AS genre_confidence FROM pl)
+SELECT event_id, era, genre, era_confidence, genre_confidence,
+       {_pick_num_sql(fixed.OVERALL_CONFIDENCE_KEYS, "CAST(floor((era_confidence + genre_confidence) / 2 + 0.5) AS INTEGER)")} AS overall_confidence FROM p1""")
 def q_pick_first_key(spark, sf_dir):
-    pl = _payload_spark(table(spark, sf_dir, "events"))
-    out = R.pick_first_key(pl, "payload", fixed.ERA_KEYS, fixed.DEFAULT_ERA, "era")
-    out = R.pick_first_number(out, "payload", fixed.ERA_CONFIDENCE_KEYS, 0, "era_confidence")
-    return out.select("event_id", "era", "era_confidence")
+    """The whole prediction read from a payload: era, genre and their
+    confidences; the overall confidence falls back to the mean of the two."""
+    return R.map_prediction(_payload_spark(table(spark, sf_dir, "events")), "payload").select(
+        "event_id", "era", "genre", "era_confidence", "genre_confidence", "overall_confidence")
 
 
 def _track_json_spark(p):

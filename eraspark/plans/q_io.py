@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import analytics as A
 from ..operators import corpus as C
-from ..operators import pages as P
 from ..operators import records as R
 from ..operators import scoring as SC
 from ..operators import sinks as K
@@ -24,30 +23,9 @@ from .q_sampling import WITH_CLEAN
 from .q_scoring import MA, q_sql
 from .registry import QUERIES, register
 
-AS_OF_YEAR = 2026
 ERAS = fixed.ERA_LABELS
 
 
-# ---------------------------------------------------------------- pages
-def parsed_pages(spark, sf_dir):
-    return P.parse_pages(table(spark, sf_dir, "pages"), tag="article")
-
-
-@register("extract_block_text")
-def q_extract_block_text(spark, sf_dir):
-    return parsed_pages(spark, sf_dir).select("page_id", "block_text", "block_html")
-
-
-@register("page_text")
-def q_page_text(spark, sf_dir):
-    return parsed_pages(spark, sf_dir).select("page_id", "page_text")
-
-
-@register("page_to_record")
-def q_page_to_record(spark, sf_dir):
-    return P.page_to_record(parsed_pages(spark, sf_dir), AS_OF_YEAR, R.DEFAULT_SCRAPE_DATE)
-
-
 # ---------------------------------------------------------------- sinks
 def _era_docs(spark, sf_dir):
     return C.prepare_songs(songs(spark, sf_dir))

@@ -31,5 +31,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # Importing the modules registers their queries.
-    from . import q_corpus, q_features, q_ingest, q_io, q_models, q_sampling, q_scoring, q_variants  # noqa: F401
+    from . import q_corpus, q_features, q_ingest, q_io, q_links, q_models, q_sampling, q_scoring, q_variants  # noqa: F401
     return QUERIES

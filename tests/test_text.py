@@ -103,3 +103,21 @@ def test_pad_truncate(spark):
     got = df.select(p.alias("p"), m.alias("m")).collect()
     assert got[0].p == [1, 2, 3, 0] and got[0].m == [1, 1, 1, 0]
     assert got[1].p == [0, 0, 0, 0] and got[1].m == [0, 0, 0, 0]
+
+
+def test_heavy_year_rules(spark):
+    from eraspark.functions.text import extract_year
+    cases = [("พ.ศ.2540", "1997"), ("พ.ศ ๒๕๔๐ x", "1997"), ("พ.ศ. ٢٥٤٠", "1997"), ("12 สิงหาคม 2566", "2023"), ("5ม.ค. 2566", None),
+             ("3 มกราคม 1999", "1999"), ("๑๒ สิงหาคม๒๕๖๖", "2023"), ("2566", None), ("พศ 2540", None), ("release 2001 พ.ศ. 2540", "2001"), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i long, t string")
+    got = {r.i: r.y for r in df.select("i", extract_year("t", heavy=True).alias("y")).collect()}
+    assert [got[i] for i in range(len(cases))] == [y for _, y in cases]
+
+
+def test_map_prediction(spark):
+    from eraspark.operators.records import map_prediction
+    rows = [('{"era": "1990s", "genre_label": "pop", "era_confidence": 80.5, "genre_score": "60%"}',), ('{"overallConfidence": "x", "confidence": 7}',),
+            ("[1]",), (None,), ("{broken",), ('{"era": 5, "predictedEra": "  ", "era_label": "2000s", "eraConfidence": 1e9, "genreConfidence": -3}',)]
+    got = [tuple(r)[1:] for r in map_prediction(spark.createDataFrame(rows, "p string"), "p").collect()]
+    none = ("Unknown era", "Unknown genre", 0, 0, 0)
+    assert got == [("1990s", "pop", 81, 60, 71), ("Unknown era", "Unknown genre", 0, 0, 7), none, none, none, ("2000s", "Unknown genre", 100, 0, 50)]
