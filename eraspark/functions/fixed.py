@@ -97,7 +97,8 @@ CRAWL_PLATFORM_TYPE = "lyrics-site"
 CRAWL_CONTENT_TYPE = "lyrics"
 CRAWL_LANGUAGE_VARIANT = "Central Thai text"
 CRAWL_SCRAPER_MODULE = "meemodel_scraper.py"
-TOKEN_MAX_LEN = 256           # padded/truncated id length (512 for the year model)
+TOKEN_MAX_LEN = 256           # padded/truncated id length
+YEAR_TOKEN_MAX_LEN = 512      # that of the year model
 
 # --- fixed values: release-year extraction ---------------------------------------
 THAI_DIGITS = "๐๑๒๓๔๕๖๗๘๙"

@@ -15,16 +15,19 @@ per-term statistics.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams_1_2, remove_stopwords, tokenize_word
 from ..session import materialize
-from .ranking import exact_rank, term_bucket
+from .encode import HEAD, look_up
+from .ranking import range_rank
 
 # Vocabulary tables up to this many rows are broadcast to the term-weight
 # join; V (max features) bounds the vocabulary, so the check is on V.
 VOCAB_BROADCAST_MAX = 2_000_000
+# Counts that one step of the search for the vocabulary's cut-off brings to the driver.
+RADIX = 1 << 16
 
 
 def doc_terms(docs: DataFrame, doc: str, text: str, stop_words=None,
@@ -53,35 +56,50 @@ def vocab_topk(tdf: DataFrame, max_features: int | None, min_df: int = 1) -> Dat
     """Terms with df >= min_df, then the ``max_features`` with the largest
     total count (ties: term ascending).
 
-    No global sort: when there are more candidates than ``max_features``, a
-    histogram of totals (at most sqrt(2 * sum(total)) rows) locates the
-    cut-off total T; terms above T are kept, and only the tie group at T is
-    ranked, with :func:`exact_rank` on term prefixes. ``tdf`` should be
-    materialised (it is read several times); the driver reads two scalars."""
+    No global sort: when there are more candidates than ``max_features``, the
+    cut-off total is found by :func:`cutoff_total`; terms above it are kept,
+    and only the tie group at it is ranked. ``tdf`` should be materialised (it
+    is read several times)."""
     cand = tdf.filter(F.col("df") >= min_df)
     if max_features is None:
         return cand
     n_cand = cand.count()
     if n_cand <= max_features:
         return cand
-    hist = cand.groupBy("total").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("n_gt", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    cut = hist.filter((F.col("n_gt") < max_features)
-                      & (F.col("n_gt") + F.col("n") >= max_features)).first()
-    t_star, n_gt = cut["total"], cut["n_gt"]
-    above = cand.filter(F.col("total") > t_star)
-    tie = exact_rank(cand.filter(F.col("total") == t_star), [F.col("term")],
-                     term_bucket("term"), rank_col="_tr")
-    tie = tie.filter(F.col("_tr") <= max_features - n_gt).drop("_tr")
+    least, n_above = cutoff_total(cand, "total", max_features)
+    above = cand.filter(F.col("total") > least)
+    tie = range_rank(cand.filter(F.col("total") == least), ["term"], "_tr")
+    tie = tie.filter(F.col("_tr") <= max_features - n_above).drop("_tr")
     return above.unionByName(tie)
 
 
-def idf_table(tdf_vocab: DataFrame, n_docs) -> DataFrame:
-    """(term, idf) with smooth idf; ``n_docs`` is a Column (scalar) or int."""
-    n = n_docs if not isinstance(n_docs, int) else F.lit(n_docs)
-    return tdf_vocab.select(
-        "term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+def cutoff_total(rows: DataFrame, total: str, k: int) -> tuple[int, int]:
+    """(the k-th largest value of ``total``, a whole number from 1, of which
+    there are k at least; how many are larger).
+
+    Radix selection: a count by binary order of magnitude (64 classes at most)
+    finds the class of the k-th value, counts over ``RADIX`` equal parts of it
+    find its part, and so on until a part is one value: the second count does
+    it up to values of 2 * RADIX, each further one a factor of RADIX more."""
+    def counts(key: Column, where=None):
+        d = rows if where is None else rows.filter(where)
+        return sorted(((r["_b"], r["n"]) for r in d.groupBy(key.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+
+    def at(bins, larger):
+        for b, n in bins:
+            if larger + n >= k:
+                return b, larger
+            larger += n
+        raise ValueError("fewer values than asked for")
+
+    digits, larger = at(counts(F.length(F.bin(total))), 0)
+    low, width = 1 << (digits - 1), 1 << (digits - 1)
+    while width > 1:
+        step = -(-width // RADIX)
+        inside = F.col(total).between(low, low + width - 1)
+        part, larger = at(counts(F.expr(f"({total} - {low}L) div {step}L"), inside), larger)
+        low, width = low + part * step, step
+    return low, larger
 
 
 def tfidf(tf: DataFrame, idf: DataFrame, doc: str = "doc", sublinear: bool = False,
@@ -126,24 +144,20 @@ def transform_tfidf(docs: DataFrame, vocab: DataFrame, doc: str, text: str,
     return tfidf(tf, vocab.select("term", "idf"), doc, sublinear, max_features)
 
 
-def doc_embedding_mean(tokens: DataFrame, vectors: DataFrame, doc: str = "doc",
-                       token: str = "token", vec: str = "vector", dim: int | None = None) -> DataFrame:
+def doc_embedding_mean(pairs: DataFrame, vectors: DataFrame, doc: str = "doc", dim: int | None = None,
+                       head: int = HEAD) -> DataFrame:
     """Mean of the in-vocabulary word vectors of each document, zeros when
-    none is known. ``tokens`` = (doc, token) one row per occurrence;
-    ``vectors`` = (token, vector array<float|double>).
+    none is known. ``pairs`` = (doc, token, n), one row a distinct token of a
+    document; ``vectors`` = (token, n, vector array<float|double>).
 
-    Occurrences are first counted per (doc, token); the mean is then a
-    count-weighted ``Summarizer.mean`` over vectors (JVM-side, one row per
-    distinct token of a document, no per-dimension rows)."""
+    The mean is a use-weighted ``Summarizer.mean`` over vectors (JVM-side, one
+    row per distinct token of a document, no per-dimension rows)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    counts = tokens.groupBy(doc, token).agg(F.count(F.lit(1)).cast("double").alias("_c"))
-    known = counts.join(vectors.select(F.col(token), array_to_vector(F.col(vec)).alias("_v")),
-                        token, "inner")
+    words = vectors.select("token", "n", array_to_vector(F.col("vector")).alias("_v"))
+    known = look_up(pairs.select(doc, "token", F.col("n").cast("double").alias("_c")), words, "inner", head)
     means = known.groupBy(doc).agg(Summarizer.mean(F.col("_v"), F.col("_c")).alias("_m"))
-    out = means.select(doc, vector_to_array("_m").alias("embedding"))
-    all_docs = tokens.select(doc).distinct()
-    zeros = F.array_repeat(F.lit(0.0), dim) if dim else F.array().cast("array<double>")
-    return (all_docs.join(out, doc, "left")
-            .select(doc, F.coalesce("embedding", zeros).alias("embedding")))
+    zero = F.array_repeat(F.lit(0.0), dim) if dim else F.array().cast("array<double>")
+    return (pairs.select(doc).distinct().join(means, doc, "left")
+            .select(doc, F.coalesce(vector_to_array("_m"), zero).alias("embedding")))

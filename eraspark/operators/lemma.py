@@ -1,11 +1,13 @@
-"""Dictionary lemmatisation as a join: (word, lemma) table, unknown words
-unchanged, documents re-assembled in token order."""
+"""Dictionary lemmatisation: (word, lemma) table, unknown words unchanged,
+documents put together again in token order."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .encode import look_up, put_together
+
 
 def plural_lemma_table(vocab: DataFrame, col: str = "tok") -> DataFrame:
     """(word, lemma) for words ending in 's' (longer than 3 chars) whose
@@ -16,12 +18,12 @@ def plural_lemma_table(vocab: DataFrame, col: str = "tok") -> DataFrame:
     return cand.join(vocab.select(F.col(col).alias("lemma")), "lemma", "left_semi")
 
 
-def lemmatize(tokens: DataFrame, lemmas: DataFrame, doc: str = "id", pos: str = "pos",
-              tok: str = "tok") -> DataFrame:
-    """tokens = (doc, pos, tok) -> (doc, n_tokens, lemmas joined by ' ')."""
-    m = tokens.join(lemmas, tokens[tok] == lemmas["word"], "left") \
-        .select(doc, pos, F.coalesce("lemma", tok).alias("_l"))
-    return (m.groupBy(doc)
-            .agg(F.count(F.lit(1)).cast("int").alias("n_tokens"),
-                 F.sort_array(F.collect_list(F.struct(pos, "_l"))).alias("_s"))
-            .select(doc, "n_tokens", F.array_join(F.transform("_s", lambda s: s["_l"]), " ").alias("lemmas")))
+def lemmatize(pairs: DataFrame, lemmas: DataFrame, doc: str = "id") -> DataFrame:
+    """(doc, n_tokens, lemmas joined by ' ') from the pairs of
+    :func:`eraspark.operators.encode.token_pairs` and a (word, lemma) table;
+    a word is looked up once for each document it stands in."""
+    uses = pairs.groupBy("token").agg(F.sum("n").alias("n"))
+    words = uses.join(lemmas, uses["token"] == lemmas["word"]).select("token", "n", "lemma")
+    found = look_up(pairs, words, how="left").withColumn("lemma", F.coalesce("lemma", "token"))
+    return (put_together(found, doc, "lemma", "_l")
+            .select(doc, F.size("_l").alias("n_tokens"), F.array_join("_l", " ").alias("lemmas")))

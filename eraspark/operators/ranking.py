@@ -8,7 +8,8 @@ joined back by broadcast -- turns local ranks into global ones.
 
 With a ``limit`` (an int or a per-group column), buckets that start at or
 beyond the limit are dropped before any sorting, so "first n per group"
-only ranks the leading buckets.
+only ranks the leading buckets. Keys whose beginnings are not spread evenly
+(terms) are ranked by :func:`range_rank` instead.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # (group, bucket) count tables up to this many rows are broadcast.
 OFFSET_BROADCAST_ROWS = 2_000_000
 
@@ -55,7 +58,18 @@ def hex_bucket(hex_key: str, digits: int = 4) -> Column:
     return F.substring(F.col(hex_key), 1, digits)
 
 
-def term_bucket(term: str) -> Column:
-    """Ordered bucket of a term: its first six characters, which split the
-    words that share a common beginning."""
-    return F.substring(F.col(term), 1, 6)
+def range_rank(df: DataFrame, order: list[str], rank_col: str = "rank") -> DataFrame:
+    """Add ``rank_col`` = 1-based place of the row in the ascending order of the
+    columns ``order``, whatever their values: Spark cuts the table into ranges of
+    like size by sampled splitters, each range is sorted by itself, and a row's
+    place is its place in the range plus the rows of the ranges before, of which
+    there is one count a task."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id is the task's number shifted by 33 bits plus the row's place in the task.
+    rows = materialize(sorted_.withColumn("_row", F.monotonically_increasing_id()), keep_partitioning=False)
+    rows = rows.withColumn("_task", F.shiftright("_row", 33))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = rows.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    tasks = tasks.select("_task", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return (rows.join(F.broadcast(tasks), "_task").withColumn(rank_col, F.col("_row") + F.col("_shift"))
+            .drop("_task", "_row", "_shift"))

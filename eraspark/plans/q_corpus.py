@@ -368,8 +368,8 @@ def q_lemmatize_lookup(spark, sf_dir):
     """Plural-noun lemma table derived from the corpus vocabulary (word ending
     in 's' whose stem is also a word), applied with a join; unknown words
     stay unchanged."""
+    from ..operators.encode import token_pairs
     from ..operators.lemma import lemmatize, plural_lemma_table
     d = era_docs(spark, sf_dir).select("id", "clean_lyrics")
-    t = d.select("id", F.posexplode(TX.tokenize_word("clean_lyrics")).alias("pos", "tok"))
-    lem = plural_lemma_table(t.select("tok").distinct())
-    return lemmatize(t, lem)
+    pairs = token_pairs(d, "id", TX.tokenize_word("clean_lyrics"))
+    return lemmatize(pairs, plural_lemma_table(pairs.select("token").distinct(), "token"))

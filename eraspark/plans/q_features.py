@@ -137,10 +137,8 @@ _VEC_SQL = f"""WITH {S.CLEANED_CTE},
 toks AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(clean_lyrics), '{_WS_RE}+'),
                                        lambda x: x <> '')) AS token FROM era_docs),
 stats AS (SELECT token, count(*) AS total FROM toks GROUP BY token HAVING count(*) >= {_W2V_MIN_COUNT}),
-topv AS (SELECT token FROM (SELECT token, row_number() OVER (ORDER BY total DESC, token) AS rn FROM stats)
-         WHERE rn <= (SELECT count(*) FROM embeddings)),
-vocab AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS vec_id FROM topv),
-vecs AS (SELECT v.token, e.embedding FROM vocab v JOIN embeddings e ON e.vec_id = v.vec_id),
+vocab AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS w FROM stats),
+vecs AS (SELECT v.token, e.embedding FROM vocab v JOIN embeddings e ON e.vec_id = v.w % (SELECT count(*) FROM embeddings)),
 known AS (SELECT t.id, v.embedding FROM toks t JOIN vecs v USING (token))"""
 
 
@@ -149,14 +147,13 @@ n_all AS (SELECT id, count(*) AS n_tokens FROM toks GROUP BY id),
 n_known AS (SELECT id, count(*) AS n_known FROM known GROUP BY id)
 SELECT id, n_tokens, coalesce(n_known, 0) AS n_known FROM n_all LEFT JOIN n_known USING (id)""")
 def q_join_word_vectors(spark, sf_dir):
+    """Uses of each document's words, and of those that have a vector."""
     from ..operators import vectors as VX
-    docs = A.prepare_era_docs(songs(spark, sf_dir))
-    toks, vecs = VX.doc_tokens_and_vectors(spark, sf_dir, docs)
-    known = toks.join(vecs, "token", "inner")
-    n_all = toks.groupBy("id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    n_known = known.groupBy("id").agg(F.count(F.lit(1)).alias("n_known"))
-    return (n_all.join(n_known, "id", "left")
-            .select("id", "n_tokens", F.coalesce("n_known", F.lit(0)).alias("n_known")))
+    from ..operators.encode import look_up
+    pairs = VX.doc_words(A.prepare_era_docs(songs(spark, sf_dir)))
+    vecs = VX.word_vectors(spark, sf_dir, pairs)
+    found = look_up(pairs.drop("positions"), vecs, "left", VX.HEAD_VECTORS)
+    return found.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("vector").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"))
 
 
 @register("doc_embedding_mean", f"""{_VEC_SQL},
@@ -170,10 +167,9 @@ FROM (SELECT DISTINCT id FROM toks) d LEFT JOIN per_doc p USING (id)""")
 def q_doc_embedding_mean(spark, sf_dir):
     from ..operators import features as FE
     from ..operators import vectors as VX
-    docs = A.prepare_era_docs(songs(spark, sf_dir))
-    toks, vecs = VX.doc_tokens_and_vectors(spark, sf_dir, docs)
-    dim = VX.vector_dim(spark, sf_dir)
-    emb = FE.doc_embedding_mean(toks, vecs, doc="id", token="token", vec="vector", dim=dim)
+    pairs = VX.doc_words(A.prepare_era_docs(songs(spark, sf_dir)))
+    emb = FE.doc_embedding_mean(pairs, VX.word_vectors(spark, sf_dir, pairs), doc="id", dim=VX.vector_dim(spark, sf_dir),
+                                head=VX.HEAD_VECTORS)
     return emb.select(
         "id", F.size("embedding").alias("dim"),
         F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("l2"),

@@ -473,36 +473,45 @@ def q_char_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", TX.char_count("text").alias("n_chars"))
 
 
-@register("pad_truncate", f"""WITH {S.CLEANED_CTE},
+def _pad_sql(length: int) -> str:
+    return f"""WITH {S.CLEANED_CTE},
 t AS (SELECT id, generate_subscripts(toks, 1) AS pos, unnest(toks) AS tok FROM
         (SELECT id, regexp_extract_all(lower(clean_lyrics), '({S.W}{{2,}})', 1) AS toks FROM era_docs)),
 v AS (SELECT tok, row_number() OVER (ORDER BY tok) AS tid FROM (SELECT DISTINCT tok FROM t)),
 ids AS (SELECT t.id, list(v.tid ORDER BY t.pos) AS ids FROM t JOIN v USING (tok) GROUP BY t.id)
 SELECT e.id, CAST(coalesce(len(ids.ids), 0) AS INTEGER) AS n_tokens,
-       array_to_string(list_resize(coalesce(ids.ids, []), {fixed.TOKEN_MAX_LEN}, 0), ' ') AS input_ids,
-       CAST(least(coalesce(len(ids.ids), 0), {fixed.TOKEN_MAX_LEN}) AS INTEGER) AS mask_ones
-FROM era_docs e LEFT JOIN ids USING (id)""")
-def q_pad_truncate(spark, sf_dir):
+       array_to_string(list_resize(coalesce(ids.ids, []), {length}, 0), ' ') AS input_ids,
+       CAST(least(coalesce(len(ids.ids), 0), {length}) AS INTEGER) AS mask_ones
+FROM era_docs e LEFT JOIN ids USING (id)"""
+
+
+def _padded(spark, sf_dir, length: int):
     """Token ids (1-based alphabetical vocabulary, 0 = pad) cut or padded to
-    a fixed length with their attention mask."""
+    a fixed length with their attention mask. The vocabulary is that of all
+    tokens; only the tokens before the cut are looked up."""
     from ..operators import corpus as C
-    from ..operators.ranking import exact_rank, term_bucket
+    from ..operators import encode as EN
+    from ..session import materialize
     from ..sources.tables import songs
-    docs = C.prepare_songs(songs(spark, sf_dir)).select("id", "clean_lyrics")
-    t = docs.select("id", F.posexplode(TX.tokenize_word("clean_lyrics")).alias("pos", "tok"))
-    vocab = exact_rank(t.select("tok").distinct(), [F.col("tok")], term_bucket("tok"),
-                       rank_col="tid")
-    ids = (t.join(vocab, "tok").groupBy("id")
-           .agg(F.sort_array(F.collect_list(F.struct("pos", "tid"))).alias("_s"))
-           .select("id", F.transform("_s", lambda s: s["tid"]).alias("ids")))
-    j = docs.select("id").join(ids, "id", "left").withColumn(
-        "ids", F.coalesce("ids", F.array().cast("array<long>")))
-    padded, mask = TX.pad_truncate("ids", fixed.TOKEN_MAX_LEN)
-    return j.select("id", F.size("ids").alias("n_tokens"),
-                    F.array_join(padded.cast("array<string>"), " ").alias("input_ids"),
+    docs = materialize(C.prepare_songs(songs(spark, sf_dir)).select("id", TX.tokenize_word("clean_lyrics").alias("tokens")), keep_partitioning=False)
+    words = EN.dictionary(docs.select(F.explode("tokens").alias("token"), F.lit(1).alias("n")), id_col="_w").withColumn("tid", F.col("_w") + 1)
+    j = EN.encode(docs, "id", F.col("tokens"), words, "tid", "ids", first=length)
+    padded, mask = TX.pad_truncate("ids", length)
+    return j.select("id", "n_tokens", F.array_join(padded.cast("array<string>"), " ").alias("input_ids"),
                     F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("mask_ones"))
 
 
+@register("pad_truncate", _pad_sql(fixed.TOKEN_MAX_LEN))
+def q_pad_truncate(spark, sf_dir):
+    return _padded(spark, sf_dir, fixed.TOKEN_MAX_LEN)
+
+
+@register("pad_truncate_long", _pad_sql(fixed.YEAR_TOKEN_MAX_LEN))
+def q_pad_truncate_long(spark, sf_dir):
+    """The year model's length."""
+    return _padded(spark, sf_dir, fixed.YEAR_TOKEN_MAX_LEN)
+
+
 # ---------------------------------------------------------------- JSON payloads
 def _payload_spark(ev):
     k = F.col("event_id") % 6

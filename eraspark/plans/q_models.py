@@ -14,8 +14,10 @@ from ..operators import analytics as A
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import scoring as SC
+from ..operators.encode import token_pairs
 from ..operators.features import doc_embedding_mean, fit_tfidf, transform_tfidf
 from ..operators.sampling import ovr_fair_negatives, ovr_with_replacement, split_stratified
+from ..operators.vectors import HEAD_VECTORS
 from ..session import materialize, materialize_bucketed
 from ..sources.tables import songs, table
 from .registry import register
@@ -170,8 +172,9 @@ def q_fit_w2v_logreg(spark, sf_dir):
             return None
         vectors = ML.fit_word2vec(train, "toks").getVectors().select(
             F.col("word").alias("token"), ML.vector_to_array("vector").alias("vector"))
-        occ = d.select("id", F.explode("toks").alias("token"))
-        emb = doc_embedding_mean(occ, vectors, doc="id", token="token", vec="vector", dim=768)
+        pairs = token_pairs(d, "id", F.col("toks"))
+        uses = pairs.groupBy("token").agg(F.sum("n").alias("n"))
+        emb = doc_embedding_mean(pairs, uses.join(vectors, "token"), doc="id", dim=768, head=HEAD_VECTORS)
         data = materialize(emb.join(d.drop("toks"), "id").select(
             "id", "split", F.col("is_target").cast("double").alias("y"), "embedding"), keep_partitioning=False)
         data = data.withColumn("features", array_to_vector("embedding"))

@@ -1,5 +1,7 @@
 import math
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from eraspark.operators import features as FE
@@ -52,7 +54,18 @@ def test_vocab_cap_ties(spark):
 
 
 def test_doc_embedding_mean(spark):
-    toks = spark.createDataFrame([(1, "a"), (1, "zzz"), (2, "zzz"), (3, "a"), (3, "b")], "doc long, token string")
-    vecs = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "token string, vector array<double>")
-    got = {r.doc: r.embedding for r in FE.doc_embedding_mean(toks, vecs, dim=2).collect()}
-    assert got == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [2.0, 3.0]}
+    pairs = spark.createDataFrame([(1, "a", 1), (1, "zzz", 1), (2, "zzz", 1), (3, "a", 2), (3, "b", 1)], "doc long, token string, n long")
+    vecs = spark.createDataFrame([("a", 3, [1.0, 2.0]), ("b", 1, [4.0, 5.0])], "token string, n long, vector array<double>")
+    for head in (1, 2, 100):
+        got = {r.doc: r.embedding for r in FE.doc_embedding_mean(pairs, vecs, dim=2, head=head).collect()}
+        assert got == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [2.0, 3.0]}
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(totals=st.lists(st.one_of(st.integers(1, 40), st.integers(1, 2**62)), min_size=1, max_size=30), radix=st.sampled_from([2, 5, 1 << 16]))
+def test_cutoff_total_equals_a_sort(spark, monkeypatch, totals, radix):
+    monkeypatch.setattr(FE, "RADIX", radix if max(totals) < 1000 else 1 << 16)
+    df = spark.createDataFrame([(t,) for t in totals], "total long").coalesce(1)
+    k = 1 + len(totals) // 2
+    want = sorted(totals, reverse=True)[k - 1]
+    assert FE.cutoff_total(df, "total", k) == (want, sum(t > want for t in totals))
