@@ -158,6 +158,7 @@ def doc_embedding_mean(pairs: DataFrame, vectors: DataFrame, doc: str = "doc", d
     words = vectors.select("token", "n", array_to_vector(F.col("vector")).alias("_v"))
     known = look_up(pairs.select(doc, "token", F.col("n").cast("double").alias("_c")), words, "inner", head)
     means = known.groupBy(doc).agg(Summarizer.mean(F.col("_v"), F.col("_c")).alias("_m"))
+    means = means.select(doc, vector_to_array("_m").alias("_m"))
     zero = F.array_repeat(F.lit(0.0), dim) if dim else F.array().cast("array<double>")
     return (pairs.select(doc).distinct().join(means, doc, "left")
-            .select(doc, F.coalesce(vector_to_array("_m"), zero).alias("embedding")))
+            .select(doc, F.coalesce("_m", zero).alias("embedding")))

@@ -19,6 +19,7 @@ from ..sources.tables import SONGS_SQL, songs, songs_from_documents, table
 from ..streaming import ingest as ST
 from . import sqltext as S
 from .q_ingest import NORM, RAW_SQL, raw_records
+from .q_links import page_records
 from .q_sampling import WITH_CLEAN
 from .q_scoring import MA, q_sql
 from .registry import QUERIES, register
@@ -102,6 +103,14 @@ def q_stream_ingest_records(spark, sf_dir):
     return ST.read_sink(spark, sink)
 
 
+@register("stream_ingest_pages", QUERIES["page_to_record"].sql)
+def q_stream_ingest_pages(spark, sf_dir):
+    """Arriving pages through the page parser: the crawl's records, each url once."""
+    sink, ck = shared_path(spark, "stream_pages"), shared_path(spark, "stream_pages_ck")
+    ST.ingest_records(spark, f"{sf_dir}/pages.parquet", _schema(spark, sf_dir, "pages"), page_records, sink, ck)
+    return ST.read_sink(spark, sink)
+
+
 @register("stream_score")
 def q_stream_score(spark, sf_dir):
     from ..functions.text import clean_lyrics

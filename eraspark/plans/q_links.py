@@ -155,6 +155,10 @@ RECORD_SQL = f"""SELECT md5(url) AS id, '{fixed.CRAWL_PLATFORM}' AS platform, '{
 
 @register("page_to_record", f"WITH {PARSED_SQL} {RECORD_SQL}")
 def q_page_to_record(spark, sf_dir):
+    return page_records(table(spark, sf_dir, "pages"))
+
+
+def page_records(pages):
     """Crawl records of the pages; the year as text, since no page may have one."""
-    records = P.page_to_record(parsed_pages(spark, sf_dir), AS_OF_YEAR, R.DEFAULT_SCRAPE_DATE)
+    records = P.page_to_record(P.parse_pages(pages, tag="article"), AS_OF_YEAR, R.DEFAULT_SCRAPE_DATE)
     return records.withColumn("release_year", F.col("release_year").cast("string"))

@@ -12,13 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .url_index import UrlIndex
+
 BATCH = "batch_id"
 
 
-def _stream(spark: SparkSession, path: str, schema) -> DataFrame:
+def _stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
     """Stream a folder of Parquet files. ``path`` may also name a single file
     (``dir/name.parquet``): its folder is watched and only it is taken."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
         return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
@@ -42,23 +45,28 @@ def read_latest(spark: SparkSession, sink: str) -> DataFrame:
 
 
 def ingest_records(spark: SparkSession, source: str, schema, to_records, sink: str,
-                   checkpoint: str) -> None:
+                   checkpoint: str, files_per_batch: int = 1000, index: UrlIndex | None = None) -> None:
     """New pages -> records -> keep each url once -> append to ``sink``.
 
-    De-duplication state is the sink itself: each micro-batch keeps the least
-    record of a url and drops urls that other batches have stored (left anti
-    join with the sink's url column), so no unbounded streaming state is kept
-    and a restart from the checkpoint gives the same table as one batch run."""
+    Each micro-batch keeps the least record of a url and drops urls that other
+    batches have stored, by an index of their keys next to the sink of which it
+    reads only the parts that its urls fall into. No streaming state is kept, and
+    a restart from the checkpoint gives the same table as one batch run. A sink
+    without an index (or one that lacks a batch) is indexed first."""
+    index = index or UrlIndex(spark, f"{sink}-urls")
     empty = to_records(spark.createDataFrame([], schema))
     empty.write.mode("ignore").parquet(f"{sink}/{BATCH}=-1")       # so that the sink can always be read
 
     def one(batch: DataFrame, batch_id: int) -> None:
+        if not index.is_complete(batch_id):
+            index.rebuild(spark.read.parquet(sink).filter(F.col(BATCH) != batch_id), batch_id)
         recs = to_records(batch)
         recs = recs.groupBy("url").agg(F.min(F.struct(*recs.columns)).alias("_r")).select("_r.*")
-        seen = spark.read.parquet(sink).filter(F.col(BATCH) != batch_id).select("url")
-        write_batch(recs.join(seen, "url", "left_anti").select(*empty.columns), batch_id, sink)
+        recs = materialize(recs, keep_partitioning=False)          # pages are parsed once
+        write_batch(index.unseen(recs, batch_id).select(*empty.columns), batch_id, sink)
+        index.add(spark.read.parquet(f"{sink}/{BATCH}={batch_id}").select("url"), batch_id)
 
-    _run(_stream(spark, source, schema).writeStream, one, checkpoint)
+    _run(_stream(spark, source, schema, files_per_batch).writeStream, one, checkpoint)
 
 
 def _run(writer, one, checkpoint: str) -> None:
