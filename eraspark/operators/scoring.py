@@ -9,7 +9,7 @@ joined on ``term``, one row for each term.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sigmoid
@@ -81,14 +81,46 @@ def score_wide(scores: DataFrame, preds: DataFrame, doc: str, classes, method: s
     return wide.join(preds.select(doc, F.col(pred).alias(f"pred_{method}")), doc, "left")
 
 
+def compare_scores(methods: dict[str, DataFrame], doc: str, classes, cls: str = "class") -> DataFrame:
+    """Several methods' scores side by side, a row a document: conf_<method>_<class>
+    of every method, then pred_<method>, the class each method gives the highest
+    score. Documents that one method lacks have nulls there.
+
+    One shuffle by document: the methods' long rows are put under each other and
+    pivoted over the given classes."""
+    classes = list(classes)
+    rows = None
+    for i, scores in enumerate(methods.values()):
+        part = scores.select(doc, F.col(cls).alias("_c"), F.col("score").alias("_s"), F.lit(i).alias("_m"))
+        rows = part if rows is None else rows.unionByName(part)
+    confs, preds = [], []
+    for i, name in enumerate(methods):
+        mine = F.col("_m") == i
+        confs += [F.max(F.when(mine & (F.col("_c") == c), F.col("_s"))).alias(f"conf_{name}_{c}") for c in classes]
+        usable = F.when(mine & F.col("_c").isin(classes) & ~F.isnan("_s"), F.struct((-F.col("_s")).alias("n"), F.col("_c").alias("c")))
+        preds.append(F.min(usable)["c"].alias(f"pred_{name}"))
+    return rows.groupBy(doc).agg(*confs, *preds)
+
+
 def score_ensemble(a: DataFrame, b: DataFrame, doc: str, wa: float, wb: float,
                    cls: str = "class", digits: int = SCORE_DIGITS) -> DataFrame:
-    """(doc, class, score_a, score_b, score_mix) with mix = wa*A + wb*B."""
+    """(doc, class, score_a, score_b, score_mix) with mix = wa*A + wb*B;
+    :func:`ensemble_labels` adds what each of the three decides."""
     j = a.select(doc, cls, F.col("score").alias("score_a")).join(
         b.select(doc, cls, F.col("score").alias("score_b")), [doc, cls], "inner")
     return j.withColumn("score_mix", F.round(wa * F.col("score_a") + wb * F.col("score_b"), digits))
 
 
+def ensemble_labels(mixed: DataFrame, doc: str, cls: str = "class") -> DataFrame:
+    """``mixed`` with pred_a, pred_b and pred_mix, the classes of the document's
+    highest score_a, score_b and score_mix (ties: first class), in one grouping."""
+    names = ("a", "b", "mix")
+    best = [F.min(F.struct((-F.col(f"score_{n}")).alias("s"), F.col(cls).alias("c")))["c"].alias(f"pred_{n}") for n in names]
+    rows = F.collect_list(F.struct(cls, *(f"score_{n}" for n in names))).alias("_r")        # one for each class
+    return (mixed.groupBy(doc).agg(rows, *best).select(doc, F.explode("_r").alias("_r"), *(f"pred_{n}" for n in names))
+            .select(doc, "_r.*", *(f"pred_{n}" for n in names)))
+
+
 def max_score(scores: DataFrame, doc: str, score: str = "score") -> DataFrame:
     """Largest finite score per document; null when there is none."""
     s = F.col(score)
@@ -110,14 +142,22 @@ def model_width_check(coef: DataFrame, vocab: DataFrame, cls: str = "class") ->
 
 def scan_models(coef: DataFrame, vocab: DataFrame, cls: str = "class") -> DataFrame:
     """Model registry: classes that have both a coefficient table and a
-    vocabulary (a class lacking either part is skipped), sorted."""
+    vocabulary (a class lacking either part is skipped), sorted. Without any
+    complete class there is no model to score with: an error."""
     have_coef = coef.select(cls).distinct()
     have_vocab = vocab.select(cls).distinct()
-    return have_coef.join(have_vocab, cls, "left_semi").orderBy(cls)
-
-
-def pct(score) -> Column:
-    return F.round(F.col(score) * 100, 2) if isinstance(score, str) else F.round(score * 100, 2)
+    found = have_coef.join(have_vocab, cls, "left_semi").orderBy(cls)
+    if found.isEmpty():
+        raise ValueError("no class has both coefficients and a vocabulary")
+    return found
+
+
+def load_models(spark, path: str, cls: str = "class") -> tuple[DataFrame, DataFrame]:
+    """(coef, vocab) of a model folder as :func:`eraspark.operators.sinks.write_model`
+    writes it, of the complete classes only."""
+    coef, vocab = spark.read.parquet(f"{path}/coef"), spark.read.parquet(f"{path}/vocab")
+    classes = F.broadcast(scan_models(coef, vocab, cls))            # one row a class
+    return coef.join(classes, cls, "left_semi"), vocab.join(classes, cls, "left_semi")
 
 
 SCORERS: dict = {}

@@ -10,7 +10,7 @@ from ..functions import text as TX
 from ..operators import analytics as A
 from ..operators import metrics as M
 from ..operators import scoring as SC
-from ..operators.features import fit_tfidf
+from ..operators.features import fit_tfidf, transform_tfidf
 from ..operators.sampling import split_random
 from ..session import materialize, materialize_bucketed
 from ..sources.tables import songs
@@ -135,16 +135,30 @@ def q_scores_topk(spark, sf_dir):
     return SC.scores_topk(Ctx(spark, sf_dir).scores(), "id", TOPK)
 
 
-def _wide_sql(method: str, scores: str, pred: str) -> str:
-    cols = ", ".join(f"max(CASE WHEN s.class = '{e}' THEN s.score END) AS conf_{method}_{e}" for e in ERAS)
-    return (f"SELECT s.id, {cols}, any_value(p.predicted) AS pred_{method} "
-            f"FROM {scores} s LEFT JOIN {pred} p USING (id) GROUP BY s.id")
+def _side_by_side_sql(methods: dict[str, str], classes) -> str:
+    """conf_<method>_<class> and pred_<method> of ({p}scores, {p}pred) pairs."""
+    first = next(iter(methods.values()))
+    cols = ", ".join(f"(SELECT max(s.score) FROM {p}scores s WHERE s.id = d.id AND s.class = '{c}') AS conf_{m}_{c}"
+                     for m, p in methods.items() for c in classes)
+    preds = ", ".join(f"(SELECT max(q.predicted) FROM {p}pred q WHERE q.id = d.id) AS pred_{m}" for m, p in methods.items())
+    return f"SELECT d.id, {cols}, {preds} FROM (SELECT DISTINCT id FROM {first}scores) d"
 
 
-@register("score_wide", q_sql(MA) + " " + _wide_sql("multi", "a_scores", "a_pred"))
+MGS = model_sql("h_", "tag", "docs", sublinear=True, classes=GENRES)
+
+
+@register("score_wide", q_sql(MG, MGS) + " " + _side_by_side_sql({"bin": "h_", "multi": "g_"}, GENRES))
 def q_score_wide(spark, sf_dir):
-    sc = Ctx(spark, sf_dir).scores()
-    return SC.score_wide(sc, SC.argmax_label(sc, "id"), "id", ERAS, "multi")
+    """Both methods' confidences a genre side by side: "bin" on sublinear
+    features, "multi" on plain ones."""
+    ctx = Ctx(spark, sf_dir)
+    return SC.compare_scores({"bin": ctx.scores("tag", GENRES, sublinear=True), "multi": ctx.scores("tag", GENRES)}, "id", GENRES)
+
+
+@register("score_wide_eras", q_sql(MA, MB) + " " + _side_by_side_sql({"bin": "b_", "multi": "a_"}, ERAS))
+def q_score_wide_eras(spark, sf_dir):
+    ctx = Ctx(spark, sf_dir)
+    return SC.compare_scores({"bin": ctx.scores(sublinear=True), "multi": ctx.scores()}, "id", ERAS)
 
 
 @register("max_score", q_sql(MA) + """
@@ -210,22 +224,27 @@ def q_join_scores_two_models(spark, sf_dir):
     return a.join(b, ["id", "class"], "inner")
 
 
-@register("score_ensemble", _TWO + f"""
-SELECT id, class, score_a, score_b, round({WA} * score_a + {WB} * score_b, 9) AS score_mix FROM ab""")
-def q_score_ensemble(spark, sf_dir):
-    ctx = Ctx(spark, sf_dir)
-    return SC.score_ensemble(ctx.scores(), ctx.scores(sublinear=True), "id", WA, WB)
-
-
 def _pred_from(col: str) -> str:
     return f"""(SELECT id, class AS predicted FROM (
   SELECT id, class, row_number() OVER (PARTITION BY id ORDER BY {col} DESC, class) AS rn FROM mix)
   WHERE rn = 1)"""
 
 
+_MIX = f"""mix AS (SELECT id, class, score_a, score_b, round({WA} * score_a + {WB} * score_b, 9) AS score_mix FROM ab)"""
+_LABELS = f"""pa AS {_pred_from('score_a')}, pb AS {_pred_from('score_b')}, pm AS {_pred_from('score_mix')}"""
+
+
+@register("score_ensemble", _TWO + f""", {_MIX}, {_LABELS}
+SELECT m.id, m.class, score_a, score_b, score_mix, pa.predicted AS pred_a, pb.predicted AS pred_b, pm.predicted AS pred_mix
+FROM mix m JOIN pa USING (id) JOIN pb USING (id) JOIN pm USING (id)""")
+def q_score_ensemble(spark, sf_dir):
+    """Weighted scores of two models and the labels that A, B and the mix give."""
+    ctx = Ctx(spark, sf_dir)
+    return SC.ensemble_labels(SC.score_ensemble(ctx.scores(), ctx.scores(sublinear=True), "id", WA, WB), "id")
+
+
 @register("compare_methods", _TWO + f""",
-mix AS (SELECT id, class, score_a, score_b, round({WA} * score_a + {WB} * score_b, 9) AS score_mix FROM ab),
-pa AS {_pred_from('score_a')}, pb AS {_pred_from('score_b')}, pm AS {_pred_from('score_mix')}
+{_MIX}, {_LABELS}
 SELECT m.id,
   {', '.join(f"max(CASE WHEN m.class = '{e}' THEN m.{c} END) AS conf_{n}_{e}"
              for n, c in (('a', 'score_a'), ('b', 'score_b'), ('mix', 'score_mix')) for e in ERAS)},
@@ -234,12 +253,7 @@ FROM mix m JOIN pa USING (id) JOIN pb USING (id) JOIN pm USING (id) GROUP BY m.i
 def q_compare_methods(spark, sf_dir):
     ctx = Ctx(spark, sf_dir)
     mix = SC.score_ensemble(ctx.scores(), ctx.scores(sublinear=True), "id", WA, WB)
-    out = None
-    for name, col in (("a", "score_a"), ("b", "score_b"), ("mix", "score_mix")):
-        sc = mix.select("id", "class", F.col(col).alias("score"))
-        wide = SC.score_wide(sc, SC.argmax_label(sc, "id"), "id", ERAS, name)
-        out = wide if out is None else out.join(wide, "id", "inner")
-    return out
+    return SC.compare_scores({n: mix.select("id", "class", F.col(f"score_{n}").alias("score")) for n in ("a", "b", "mix")}, "id", ERAS)
 
 
 @register("score_feature_align", q_sql(MA) + f""",
@@ -272,13 +286,18 @@ def q_model_width_check(spark, sf_dir):
         "class", F.col("model_width").cast("long"), F.col("vectorizer_width").cast("long"), "widths_match")
 
 
-@register("scan_models", q_sql(MA) + """
-SELECT DISTINCT class FROM a_coef WHERE class IN (SELECT class FROM a_icpt)""")
+@register("scan_models", q_sql(MA) + f"""
+SELECT DISTINCT class FROM a_coef WHERE class <> '{ERAS[0]}' AND class <> '{ERAS[-1]}'""")
 def q_scan_models(spark, sf_dir):
-    ctx = Ctx(spark, sf_dir)
-    _, vocab, coef, icpt = ctx.model()
-    per_class_vocab = icpt.select("class")  # one shared vectoriser serves every class
-    return SC.scan_models(coef, per_class_vocab)
+    """The registry over a written model of which one class lacks its
+    vocabulary and another its coefficients."""
+    from ..operators import sinks as K
+    from ..session import shared_path
+    _, vocab, coef, icpt = Ctx(spark, sf_dir).model()
+    parts = vocab.select("term", "idf").withColumn("class", F.explode(F.array(*[F.lit(x) for x in ERAS[1:]])))
+    path = shared_path(spark, "registry")
+    K.write_model(coef.filter(F.col("class") != ERAS[-1]), parts, path)
+    return SC.load_models(spark, path)[0].select("class").distinct()
 
 
 # ---------------------------------------------------------------- metrics
@@ -338,23 +357,46 @@ def q_accuracy_f1(spark, sf_dir):
     return M.accuracy_f1(_labels_pred(spark, sf_dir), "song_era", "predicted", ERAS)
 
 
-_SPLIT = f"""sp AS (
+# Features and model of the training rows alone; every row scored with them.
+HELD_SQL = f"""sp AS (
   SELECT id, CASE WHEN r <= nt THEN 'test' WHEN r <= nt + nv THEN 'val' ELSE 'train' END AS split FROM
     (SELECT id, row_number() OVER (ORDER BY md5('{fixed.SEED}|' || CAST(id AS VARCHAR)), id) AS r FROM docs),
     (SELECT nt, ceil(CAST(0.1 AS DOUBLE) * (n - nt)) AS nv FROM
        (SELECT ceil(CAST(0.1 AS DOUBLE) * count(*)) AS nt, count(*) AS n FROM docs))),
-pas AS (SELECT pa.*, sp.split FROM pa JOIN sp USING (id))"""
-
-
-@register("evaluate_splits", q_sql(MA, PRED_A, _SPLIT, _prf_sql("pas", "split")) + """
+sdocs AS (SELECT docs.*, sp.split FROM docs JOIN sp USING (id)),
+tdocs AS (SELECT * FROM sdocs WHERE split = 'train'),
+{S.tfidf_ctes('tdocs', 'id', 'clean_lyrics', V, MIN_DF, extra='song_era', prefix='t_')},
+t_ncls AS (SELECT song_era AS class, count(*) AS nc FROM tdocs GROUP BY song_era),
+t_coef AS (SELECT w.song_era AS class, term, round(sum(weight) / any_value(nc), 9) AS coef
+           FROM t_w w JOIN t_ncls c ON c.class = w.song_era GROUP BY w.song_era, term),
+t_icpt AS (SELECT class, round(ln(nc / (SELECT count(*) FROM tdocs)), 9) AS intercept FROM t_ncls),
+e_toks AS (SELECT id AS doc, {S.tokens('clean_lyrics')} AS t FROM sdocs),
+e_grams AS (SELECT doc, unnest({S.grams('t')}) AS term FROM e_toks),
+e_tf AS (SELECT doc, term, count(*) AS tf FROM e_grams GROUP BY ALL),
+e_w0 AS (SELECT e_tf.doc, e_tf.term, e_tf.tf * v.idf AS w FROM e_tf JOIN t_vocab v USING (term)),
+e_w AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS weight FROM e_w0),
+e_dots AS (SELECT w.doc AS id, c.class, sum(w.weight * c.coef) AS dot FROM e_w w JOIN t_coef c USING (term) GROUP BY ALL),
+e_scores AS (SELECT d.id, i.class, round(1 / (1 + exp(-(coalesce(dt.dot, 0) + i.intercept))), 9) AS score
+  FROM sdocs d CROSS JOIN t_icpt i LEFT JOIN e_dots dt ON dt.id = d.id AND dt.class = i.class),
+pas AS (SELECT d.id, d.song_era, d.split, p.class AS predicted FROM sdocs d JOIN (
+  SELECT id, class, row_number() OVER (PARTITION BY id ORDER BY score DESC, class) AS rn FROM e_scores) p ON p.id = d.id AND p.rn = 1)"""
+
+
+@register("evaluate_splits", q_sql(HELD_SQL, _prf_sql("pas", "split")) + """
 SELECT split, round(sum(tp) / sum(support), 6) AS accuracy,
        round(sum(f1 * support) / sum(support), 6) AS f1_weighted, round(avg(f1), 6) AS f1_macro
 FROM prf GROUP BY split""")
 def q_evaluate_splits(spark, sf_dir):
-    ctx = Ctx(spark, sf_dir)
-    _, pred = predictions(ctx)
-    sp = split_random(ctx.docs.select("id"))
-    return M.accuracy_f1(pred.join(sp, "id"), "song_era", "predicted", ERAS, by=("split",))
+    """Metrics of each split, the features and the model fitted on the training
+    rows only: val and test are rows that neither has seen."""
+    docs = materialize_bucketed(split_random(A.prepare_era_docs(songs(spark, sf_dir))), "text_key")
+    train = docs.filter("split = 'train'")
+    w, vocab = fit_tfidf(train, "text_key", "clean_lyrics", V, MIN_DF, keep=("song_era",))
+    vocab = materialize(vocab, keep_partitioning=False)
+    coef, icpt = SC.centroid_model(materialize(w, keep_partitioning=False), train, "song_era")
+    seen = transform_tfidf(docs, vocab, "text_key", "clean_lyrics", max_features=V, keep=("id",))
+    pred = SC.argmax_label(SC.score_linear(seen, materialize(coef, keep_partitioning=False), icpt, docs, "id", ERAS), "id")
+    return M.accuracy_f1(pred.join(docs.select("id", "song_era", "split"), "id"), "song_era", "predicted", ERAS, by=("split",))
 
 
 _MID = " + ".join(f"CASE WHEN class = '{e}' THEN {int(e[:4]) + 5} ELSE 0 END" for e in ERAS)
