@@ -201,49 +201,64 @@ def ovr_fair_negatives(df: DataFrame, cls: str, cap: int = fixed.OVR_NEGATIVE_CA
 
 def ovr_with_replacement(df: DataFrame, cls: str, classes, n: int, key: str = "id",
                          seed: int = fixed.SEED) -> DataFrame:
-    """Per class: n positives and n negatives drawn *with* replacement.
-    Draw j of (class, side) picks pool row 1 + (h(seed|class|side|j) mod pool
-    size), h = first 15 hex digits of md5; pools are ranked once, draws are
-    generated by ``range`` across the cluster and joined on (class, side, row)."""
+    """Per class: n positives and n negatives drawn *with* replacement. Returns
+    (target, is_target, draw, *df columns); a side without rows has no draws.
+
+    Draws by the inverse of the cumulative class sizes: every row is ranked
+    once, within its own class (md5 order). The negatives of a class are the
+    other classes one after the other in ascending order, those without a class
+    first. Draw j of a side takes place h(seed|class|side|j) modulo the side's
+    size, h being the first 15 hex digits of md5; where that lies among the
+    cumulative sizes gives the class and the rank in it, on which the draw is
+    joined. The sizes are one row a class and collected."""
     spark = df.sparkSession
-    tagged = explode_targets(df, classes).withColumn(
-        "is_target", F.coalesce((F.col(cls) == F.col("target")).cast("int"), F.lit(0)))
-    h = tagged.withColumn("_h", sha_order(seed, F.concat_ws("|", "target", F.col(key).cast("string"))))
-    pool = exact_rank(h, [F.col("_h"), F.col(key)], hex_bucket("_h"), ["target", "is_target"],
-                      "_pos", n_groups_hint=2 * len(classes)).drop("_h")
-    sizes = pool.groupBy("target", "is_target").agg(F.count(F.lit(1)).alias("_size"))
-    sides = F.array(*[F.struct(F.lit(c).alias("target"), F.lit(s).alias("is_target"))
-                      for c in classes for s in (1, 0)])
+    labelled = df.withColumn("_cls", F.coalesce(F.col(cls), F.lit(NO_CLASS)))
+    sizes = {r["_cls"]: r["n"] for r in labelled.groupBy("_cls").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sides = []
+    for target in classes:
+        for side, members in ((1, [target]), (0, sorted(c for c in sizes if c != target))):
+            segments, total = [], 0
+            for c in members:
+                if sizes.get(c):
+                    segments.append((c, total))
+                    total += sizes[c]
+            if total:
+                sides.append((target, side, total, segments))
+    schema = "target string, is_target int, _size long, _segments array<struct<c: string, below: long>>"
     draws = (spark.range(1, n + 1).withColumnRenamed("id", "draw")
-             .select("draw", F.inline(sides))
-             .join(F.broadcast(sizes), ["target", "is_target"], "inner"))
-    hx = F.md5(F.concat_ws("|", F.lit(str(seed)), "target", F.col("is_target").cast("string"),
-                           F.col("draw").cast("string")))
-    draws = draws.withColumn("_pos", F.pmod(F.conv(F.substring(hx, 1, 15), 16, 10).cast("long"),
-                                            F.col("_size")) + 1)
-    return (draws.join(pool, ["target", "is_target", "_pos"], "inner")
-            .drop("_pos", "_size"))
+             .select("draw", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(s).alias("is_target")) for t, s, _, _ in sides])).alias("_s"))
+             .select("draw", "_s.*") if sides else spark.createDataFrame([], "draw long, target string, is_target int"))
+    draws = draws.join(F.broadcast(spark.createDataFrame(sides, schema)), ["target", "is_target"])       # two rows a class
+    at = F.pmod(_hash15(F.lit(str(seed)), F.col("target"), F.col("is_target").cast("string"), F.col("draw").cast("string")), F.col("_size"))
+    draws = draws.withColumn("_u", at).withColumn("_seg", F.element_at(F.filter("_segments", lambda s: s["below"] <= F.col("_u")), -1))
+    draws = draws.select("target", "is_target", "draw", F.col("_seg.c").alias("_cls"), (F.col("_u") - F.col("_seg.below") + 1).alias("_pos"))
+    ranked = rank_in_class(labelled, "_cls", key, seed, "_pos")
+    return draws.join(ranked, ["_cls", "_pos"]).drop("_cls", "_pos")
+
+
+#: Stands for a missing class, before all others.
+NO_CLASS = "\0"
+
+
+def _hash15(*parts) -> Column:
+    """The first 15 hex digits of md5('part|part|...') as a long."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
 
 def weighted_sample_replace(df: DataFrame, cls: str, n: int | None = None, key: str = "id",
                             seed: int = fixed.SEED) -> DataFrame:
     """n draws (default: as many as rows) with replacement, row weight
-    1 / class size (so every class is equally likely): draw a class
-    uniformly, then a row uniformly in it."""
+    1 / class size (so every class is equally likely): draw j takes the class
+    whose number is h(seed|c|j) modulo the classes, in ascending order, and in
+    it the rank h(seed|r|j) modulo its size, h as above. Rows without a class
+    are never drawn. Every row is ranked once."""
     spark = df.sparkSession
-    if n is None:
-        n = df.filter(F.col(cls).isNotNull()).count()
-    ranked = rank_in_class(df.filter(F.col(cls).isNotNull()), cls, key, seed, "_pos")
-    sizes = ranked.groupBy(cls).agg(F.count(F.lit(1)).alias("_size"))
-    cls_ids = sizes.select(cls, "_size", (F.row_number().over(Window.orderBy(cls)) - 1).alias("_ci"))
-    k = F.count(F.lit(1)).over(Window.partitionBy())
-    cls_ids = cls_ids.withColumn("_k", k)
+    rows = df.filter(F.col(cls).isNotNull())
+    sizes = sorted((r[cls], r["n"]) for r in rows.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).collect())
+    n = sum(s for _, s in sizes) if n is None else n
+    numbered = spark.createDataFrame([(i, c, s) for i, (c, s) in enumerate(sizes)], f"_ci long, {cls} {df.schema[cls].dataType.simpleString()}, _size long")
+    j = F.col("draw").cast("string")
     draws = spark.range(1, n + 1).withColumnRenamed("id", "draw")
-    hx1 = F.md5(F.concat_ws("|", F.lit(f"{seed}|c"), F.col("draw").cast("string")))
-    hx2 = F.md5(F.concat_ws("|", F.lit(f"{seed}|r"), F.col("draw").cast("string")))
-    n_cls = cls_ids.count()
-    draws = draws.withColumn("_ci", F.pmod(F.conv(F.substring(hx1, 1, 15), 16, 10).cast("long"), F.lit(n_cls)))
-    draws = draws.join(F.broadcast(cls_ids), "_ci", "inner")
-    draws = draws.withColumn("_pos", F.pmod(F.conv(F.substring(hx2, 1, 15), 16, 10).cast("long"),
-                                            F.col("_size")) + 1)
-    return draws.join(ranked, [cls, "_pos"], "inner").drop("_pos", "_size", "_ci", "_k")
+    draws = draws.withColumn("_ci", F.pmod(_hash15(F.lit(f"{seed}|c"), j), F.lit(max(1, len(sizes)))))
+    draws = draws.join(F.broadcast(numbered), "_ci").withColumn("_pos", F.pmod(_hash15(F.lit(f"{seed}|r"), j), F.col("_size")) + 1)
+    return draws.join(rank_in_class(rows, cls, key, seed, "_pos"), [cls, "_pos"]).drop("_pos", "_size", "_ci")

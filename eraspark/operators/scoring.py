@@ -71,16 +71,6 @@ def scores_topk(scores: DataFrame, doc: str, k: int, cls: str = "class",
                     F.round(F.col(score) * 100, 2).alias("pct")))
 
 
-def score_wide(scores: DataFrame, preds: DataFrame, doc: str, classes, method: str,
-               cls: str = "class", score: str = "score", pred: str = "predicted") -> DataFrame:
-    """Long scores -> conf_<method>_<class> columns + pred_<method>
-    (pivot with the explicit class list: no extra job to find values)."""
-    wide = scores.groupBy(doc).pivot(cls, list(classes)).agg(F.first(score))
-    for c in classes:
-        wide = wide.withColumnRenamed(c, f"conf_{method}_{c}")
-    return wide.join(preds.select(doc, F.col(pred).alias(f"pred_{method}")), doc, "left")
-
-
 def compare_scores(methods: dict[str, DataFrame], doc: str, classes, cls: str = "class") -> DataFrame:
     """Several methods' scores side by side, a row a document: conf_<method>_<class>
     of every method, then pred_<method>, the class each method gives the highest

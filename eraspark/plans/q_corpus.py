@@ -29,6 +29,17 @@ def q_scan_songs(spark, sf_dir):
     return songs(spark, sf_dir)
 
 
+@register("scan_songs_csv", f"WITH {S.SONGS_CTE} SELECT * FROM songs")
+def q_scan_songs_csv(spark, sf_dir):
+    """The songs through CSV files, the form the raw corpus comes in: texts with
+    newlines, quotes and separators, missing fields."""
+    from ..session import shared_path
+    from ..sources.tables import scan_songs_csv, write_songs_csv
+    path = shared_path(spark, "songs_csv")
+    write_songs_csv(songs(spark, sf_dir), path)
+    return scan_songs_csv(spark, path)
+
+
 @register("scan_required_columns",
           f"WITH {S.SONGS_CTE} SELECT id, lyrics AS clean_lyrics, tag FROM songs")
 def q_scan_required_columns(spark, sf_dir):

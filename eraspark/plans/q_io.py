@@ -20,7 +20,7 @@ from ..streaming import ingest as ST
 from . import sqltext as S
 from .q_ingest import NORM, RAW_SQL, raw_records
 from .q_links import page_records
-from .q_sampling import WITH_CLEAN
+from .q_sampling import WITH_CLEAN, split_by_target_sql
 from .q_scoring import MA, q_sql
 from .registry import QUERIES, register
 
@@ -39,7 +39,7 @@ def q_sink_splits(spark, sf_dir):
     return spark.read.parquet(path).select("id", "song_era", "split")
 
 
-@register("sink_era_binary")
+@register("sink_era_binary", f"WITH f AS ({QUERIES['ovr_fair_negatives'].sql}), {split_by_target_sql('f')} SELECT target, split, id, is_target FROM bt")
 def q_sink_era_binary(spark, sf_dir):
     path = shared_path(spark, "era_binary")
     sets = ovr_fair_negatives(_era_docs(spark, sf_dir).select("id", "song_era", "clean_lyrics"),
@@ -111,7 +111,17 @@ def q_stream_ingest_pages(spark, sf_dir):
     return ST.read_sink(spark, sink)
 
 
-@register("stream_score")
+@register("stream_score", q_sql(MA) + f""",
+s_docs AS (SELECT item_id AS id, {S.clean_lyrics('text')} AS clean_lyrics FROM benchmark),
+s_toks AS (SELECT id, {S.tokens('clean_lyrics')} AS t FROM s_docs),
+s_tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({S.grams('t')}) AS term FROM s_toks) GROUP BY ALL),
+s_w0 AS (SELECT id, term, tf * idf AS w FROM s_tf JOIN a_vocab USING (term)),
+s_w AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM s_w0),
+s_dots AS (SELECT id, class, sum(weight * coef) AS dot FROM s_w JOIN a_coef USING (term) GROUP BY ALL),
+s_scores AS (SELECT d.id, i.class, round(1 / (1 + exp(-(coalesce(x.dot, 0) + i.intercept))), 9) AS score
+             FROM s_docs d CROSS JOIN a_icpt i LEFT JOIN s_dots x ON x.id = d.id AND x.class = i.class)
+SELECT id, class AS predicted, score AS top_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, class) AS rn FROM s_scores) WHERE rn = 1""")
 def q_stream_score(spark, sf_dir):
     from ..functions.text import clean_lyrics
     from .q_scoring import Ctx

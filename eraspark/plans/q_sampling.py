@@ -127,33 +127,45 @@ def q_ovr_fair_negatives(spark, sf_dir):
 _N_DRAWS = fixed.GENRE_DRAWS_PER_CLASS
 
 
+def hash15(x: str) -> str:
+    """SQL form of a draw's hash."""
+    return f"('0x' || substr(md5({x}), 1, 15))::BIGINT"
+
+
+# Ranks within the own class; a side's classes lie one after the other.
 @register("ovr_with_replacement", f"""WITH {S.SONGS_CTE},
-g AS (SELECT id, tag FROM songs WHERE tag IN {S.in_list(fixed.GENRES)}),
-pool AS (
-  SELECT tg.target, CAST(coalesce(g.tag = tg.target, false) AS INTEGER) AS is_target, g.id,
-         row_number() OVER (PARTITION BY tg.target, coalesce(g.tag = tg.target, false)
-                            ORDER BY {H("tg.target || '|' || CAST(g.id AS VARCHAR)")}, g.id) AS pos
-  FROM g, {targets_sql(fixed.GENRES)}),
-sizes AS (SELECT target, is_target, count(*) AS size FROM pool GROUP BY ALL),
+g AS (SELECT id, tag, row_number() OVER (PARTITION BY tag ORDER BY {H("CAST(id AS VARCHAR)")}, id) AS pos
+      FROM songs WHERE tag IN {S.in_list(fixed.GENRES)}),
+sizes AS (SELECT tag, count(*) AS n FROM g GROUP BY tag),
+seg AS (SELECT tg.target, CAST(s.tag = tg.target AS INTEGER) AS is_target, s.tag, s.n,
+               coalesce(sum(s.n) OVER (PARTITION BY tg.target, s.tag = tg.target ORDER BY s.tag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+        FROM sizes s, {targets_sql(fixed.GENRES)}),
+sides AS (SELECT target, is_target, sum(n) AS size FROM seg GROUP BY ALL),
 draws AS (
   SELECT s.target, s.is_target, r.draw,
-         ('0x' || substr(md5('{SEED}|' || s.target || '|' || CAST(s.is_target AS VARCHAR) || '|'
-                              || CAST(r.draw AS VARCHAR)), 1, 15))::BIGINT % s.size + 1 AS pos
-  FROM sizes s, (SELECT range AS draw FROM range(1, {_N_DRAWS} + 1)) r)
-SELECT draws.target, draws.is_target, draws.draw, pool.id
-FROM draws JOIN pool USING (target, is_target, pos)""")
+         {hash15(f"'{SEED}|' || s.target || '|' || CAST(s.is_target AS VARCHAR) || '|' || CAST(r.draw AS VARCHAR)")} % s.size AS u
+  FROM sides s, (SELECT range AS draw FROM range(1, {_N_DRAWS} + 1)) r)
+SELECT d.target, d.is_target, d.draw, g.id
+FROM draws d JOIN seg ON seg.target = d.target AND seg.is_target = d.is_target AND d.u >= seg.below AND d.u < seg.below + seg.n
+JOIN g ON g.tag = seg.tag AND g.pos = d.u - seg.below + 1""")
 def q_ovr_with_replacement(spark, sf_dir):
     g = C.filter_in_genres(songs(spark, sf_dir)).select("id", "tag")
     return SM.ovr_with_replacement(g, "tag", fixed.GENRES, _N_DRAWS).select(
         "target", "is_target", "draw", "id")
 
 
-@register("weighted_sample_replace")
+@register("weighted_sample_replace", f"""{WITH_CLEAN},
+d AS (SELECT id, song_era, year, row_number() OVER (PARTITION BY song_era ORDER BY {H('CAST(id AS VARCHAR)')}, id) AS pos
+      FROM era_docs WHERE song_era IS NOT NULL),
+sizes AS (SELECT song_era, count(*) AS size, row_number() OVER (ORDER BY song_era) - 1 AS ci FROM d GROUP BY song_era),
+draws AS (SELECT r.draw, {hash15(f"'{SEED}|c|' || CAST(r.draw AS VARCHAR)")} % (SELECT count(*) FROM sizes) AS ci
+          FROM (SELECT unnest(range(1, (SELECT count(*) FROM d) + 1)) AS draw) r)
+SELECT draws.draw, d.id, d.song_era, d.year FROM draws JOIN sizes USING (ci)
+JOIN d ON d.song_era = sizes.song_era AND d.pos = {hash15(f"'{SEED}|r|' || CAST(draws.draw AS VARCHAR)")} % sizes.size + 1""")
 def q_weighted_sample_replace(spark, sf_dir):
-    """Year-regression training draws: rows-only check (pytest checks the
-    class balance of the draws)."""
+    """Year-regression training draws, every era equally likely."""
     d = C.prepare_songs(songs(spark, sf_dir)).select("id", "song_era", "year")
-    return SM.weighted_sample_replace(d, "song_era")
+    return SM.weighted_sample_replace(d, "song_era").select("draw", "id", "song_era", "year")
 
 
 @register("sample_n_report", f"""{WITH_CLEAN},
@@ -163,3 +175,23 @@ def q_sample_n_report(spark, sf_dir):
     """The 1 000-row sample the method comparison is run on."""
     d = C.prepare_songs(songs(spark, sf_dir)).select("id", "song_era")
     return SM.sample_n(d, fixed.REPORT_SAMPLE_N)
+
+
+def split_by_target_sql(src: str) -> str:
+    """CTEs up to ``bt``: rows of ``src`` (target, is_target, id) with the
+    stratified split of each target's set."""
+    def shares(table, count, draws, out, keep):
+        return f"""(SELECT {keep}, fl + CASE WHEN rk <= need THEN 1 ELSE 0 END AS {out} FROM (
+  SELECT *, floor(cont) AS fl, {draws} - sum(floor(cont)) OVER (PARTITION BY target) AS need,
+         row_number() OVER (PARTITION BY target ORDER BY cont - floor(cont) DESC, is_target) AS rk
+  FROM (SELECT *, {count} / sum({count}) OVER (PARTITION BY target) * {draws} AS cont FROM {table})))"""
+    return f"""br AS (SELECT target, is_target, id, row_number() OVER (PARTITION BY target, is_target
+         ORDER BY {H("target || '|' || CAST(id AS VARCHAR)")}, id) AS r FROM {src}),
+bc AS (SELECT *, ceil(CAST(0.1 AS DOUBLE) * sum(c) OVER (PARTITION BY target)) AS nt_all
+       FROM (SELECT target, is_target, count(*) AS c FROM {src} GROUP BY ALL)),
+b1 AS {shares('bc', 'c', 'nt_all', 'nt', 'target, is_target, c')},
+b2 AS (SELECT *, ceil(CAST(0.1 AS DOUBLE) * sum(c - nt) OVER (PARTITION BY target)) AS nv_all, c - nt AS rest FROM b1),
+b3 AS {shares('b2', 'rest', 'nv_all', 'nv', 'target, is_target, nt')},
+bt AS (SELECT br.target, br.is_target, br.id,
+  CASE WHEN br.r <= b3.nt THEN 'test' WHEN br.r <= b3.nt + b3.nv THEN 'val' ELSE 'train' END AS split
+  FROM br JOIN b3 USING (target, is_target))"""

@@ -20,13 +20,6 @@ SONGS_SCHEMA = T.StructType([
     T.StructField("tag", T.StringType()),
 ])
 
-GENRE_SONGS_SCHEMA = T.StructType([
-    T.StructField("clean_lyrics", T.StringType()),
-    T.StructField("tag", T.StringType()),
-    T.StructField("lyrics", T.StringType()),
-])
-
-
 # Tables whose rows carry long text: per-row work on them is regex-heavy.
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id",
                "conversations": "conv_id", "benchmark": "item_id"}

@@ -72,3 +72,31 @@ def test_weighted_sample_replace_classes_even(spark):
     out = SM.weighted_sample_replace(df, "song_era", n=4000)
     c = {r.song_era: r["count"] for r in out.groupBy("song_era").count().collect()}
     assert out.count() == 4000 and abs(c["big"] - c["small"]) < 400
+
+
+def test_draws_with_replacement_by_cumulative_sizes(spark):
+    import hashlib
+    rows = [(i, "abc"[0 if i < 400 else 1 + i % 2]) for i in range(500)] + [(500 + i, None) for i in range(7)]
+    df = spark.createDataFrame(rows, "id long, cls string")
+    got = SM.ovr_with_replacement(df, "cls", ["a", "b", "none"], 200)
+    place = sorted(rows, key=lambda r: (r[1] or "\0", hashlib.md5(f"42|{r[0]}".encode()).hexdigest()))
+    want = set()
+    for target in ("a", "b"):
+        for side in (1, 0):
+            pool = [r[0] for r in place if (r[1] == target) == bool(side)]
+            for j in range(1, 201):
+                h = int(hashlib.md5(f"42|{target}|{side}|{j}".encode()).hexdigest()[:15], 16)
+                want.add((target, side, j, pool[h % len(pool)]))
+    mine = {(r.target, r.is_target, r.draw, r.id) for r in got.filter("target != 'none'").collect()}
+    assert mine == want
+    assert got.filter("target = 'none'").select("is_target").distinct().collect() == [(0,)]
+    # Every row is ranked once: no copies of the table by class.
+    assert "Generate explode" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[-1]
+
+
+def test_weighted_draws_are_even_over_classes(spark):
+    df = spark.createDataFrame([(i, "big" if i < 900 else "small") for i in range(1000)] + [(2000, None)], "id long, cls string")
+    got = SM.weighted_sample_replace(df, "cls")
+    counts = {r.cls: r["count"] for r in got.groupBy("cls").count().collect()}
+    assert sum(counts.values()) == 1000 and abs(counts["big"] - 500) < 80
+    assert SM.weighted_sample_replace(df, "cls", n=5).select("draw").distinct().count() == 5

@@ -30,3 +30,38 @@ def test_regression_metrics(spark):
     df = spark.createDataFrame([(1.0, 1.5), (2.0, 2.0), (3.0, 2.5)], "y double, yhat double")
     r = M.regression_metrics(df, "y", "yhat").first()
     assert abs(r.mae - 1 / 3) < 1e-6 and abs(r.mse - 1 / 6) < 1e-6 and abs(r.r2 - 0.75) < 1e-6
+
+
+def test_methods_side_by_side(spark):
+    from eraspark.operators import scoring as SC
+    a = spark.createDataFrame([(1, "x", 0.2), (1, "y", 0.2), (2, "x", float("nan")), (2, "y", 0.1)], "id long, class string, score double")
+    b = spark.createDataFrame([(1, "x", 0.9), (1, "y", 0.95), (3, "y", 0.5)], "id long, class string, score double")
+    got = {r.id: r for r in SC.compare_scores({"bin": a, "multi": b}, "id", ["x", "y"]).collect()}
+    assert (got[1].pred_bin, got[1].pred_multi, got[1].conf_bin_x, got[1].conf_multi_y) == ("x", "y", 0.2, 0.95)
+    assert (got[2].pred_bin, got[2].pred_multi, got[2].conf_multi_x) == ("y", None, None)
+    assert (got[3].pred_bin, got[3].pred_multi, got[3].conf_bin_y) == (None, "y", None)
+
+
+def test_ensemble_labels(spark):
+    from eraspark.operators import scoring as SC
+    kinds = "id long, class string, score double"
+    a = spark.createDataFrame([(1, "x", 0.9), (1, "y", 0.1)], kinds)
+    b = spark.createDataFrame([(1, "x", 0.1), (1, "y", 0.8)], kinds)
+    for wa, wb, mix in ((0.6, 0.4, "x"), (0.3, 0.7, "y")):
+        rows = SC.ensemble_labels(SC.score_ensemble(a, b, "id", wa, wb), "id").collect()
+        assert [(r.pred_a, r.pred_b, r.pred_mix) for r in rows] == [("x", "y", mix)] * 2
+
+
+def test_registry_skips_incomplete_classes(spark, tmp_path):
+    import pytest
+
+    from eraspark.operators import scoring as SC
+    from eraspark.operators import sinks as K
+    coef = spark.createDataFrame([("a", "t", 1.0), ("b", "t", 2.0)], "class string, term string, coef double")
+    vocab = spark.createDataFrame([("b", "t", 1.0), ("c", "t", 1.0)], "class string, term string, idf double")
+    assert [r["class"] for r in SC.scan_models(coef, vocab).collect()] == ["b"]
+    K.write_model(coef, vocab, str(tmp_path / "m"))
+    c, v = SC.load_models(spark, str(tmp_path / "m"))
+    assert [r.coef for r in c.collect()] == [2.0] and [r["class"] for r in v.collect()] == ["b"]
+    with pytest.raises(ValueError):
+        SC.scan_models(coef, vocab.filter("class = 'c'"))
