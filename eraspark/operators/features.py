@@ -46,10 +46,11 @@ def term_frequencies(docs: DataFrame, doc: str = "doc", text: str = "text",
             .groupBy(doc, *keep, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def term_doc_freq(tf: DataFrame) -> DataFrame:
-    """(term, df, total): documents containing the term and its total count."""
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"),
-                                  F.sum("tf").cast("long").alias("total"))
+def term_doc_freq(tf: DataFrame, weight: str | None = None) -> DataFrame:
+    """(term, df, total): documents containing the term and its total count.
+    With ``weight`` (a whole number) a document counts that many times."""
+    m = F.col(weight) if weight else F.lit(1)
+    return tf.groupBy("term").agg(F.sum(m).cast("long").alias("df"), F.sum(F.col("tf") * m).cast("long").alias("total"))
 
 
 def vocab_topk(tdf: DataFrame, max_features: int | None, min_df: int = 1) -> DataFrame:
@@ -117,7 +118,7 @@ def tfidf(tf: DataFrame, idf: DataFrame, doc: str = "doc", sublinear: bool = Fal
 
 def fit_tfidf(docs: DataFrame, doc: str, text: str, max_features: int | None,
               min_df: int = 1, stop_words=None, sublinear: bool = False,
-              keep=(), n_docs: int | None = None) -> tuple[DataFrame, DataFrame]:
+              keep=(), n_docs: int | None = None, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Fit on ``docs`` and transform them: returns (weights, vocab) where
     vocab = (term, df, total, idf).
 
@@ -125,11 +126,14 @@ def fit_tfidf(docs: DataFrame, doc: str, text: str, max_features: int | None,
     :func:`eraspark.session.materialize_bucketed`): term counts and norms
     per document then read co-partitioned buckets and need no shuffle. They
     are computed twice (statistics, weights): storing the term-count table
-    (about 3x the text) measured no faster."""
-    tf = term_frequencies(docs, doc, text, stop_words, 2, keep)
-    stats = materialize(term_doc_freq(tf).filter(F.col("df") >= min_df), keep_partitioning=False)
+    (about 3x the text) measured no faster.
+
+    With ``weight``, a column of whole numbers, the vocabulary and its idf are
+    those of a corpus in which each document stands that many times."""
+    tf = term_frequencies(docs, doc, text, stop_words, 2, keep if weight is None or weight in keep else (*keep, weight))
+    stats = materialize(term_doc_freq(tf, weight).filter(F.col("df") >= min_df), keep_partitioning=False)
     vocab = vocab_topk(stats, max_features, min_df)
-    n = docs.count() if n_docs is None else n_docs
+    n = n_docs if n_docs is not None else docs.agg(F.sum(weight)).first()[0] or 0 if weight else docs.count()
     vocab = vocab.withColumn("idf", F.log(F.lit(float(1 + n)) / (1 + F.col("df"))) + 1)
     weights = tfidf(tf, vocab.select("term", "idf"), doc, sublinear, max_features)
     return weights, vocab

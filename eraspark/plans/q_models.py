@@ -13,6 +13,7 @@ from ..functions.text import clean_lyrics, tokenize_ws
 from ..operators import analytics as A
 from ..operators import metrics as M
 from ..operators import models as ML
+from ..operators import newton as N
 from ..operators import scoring as SC
 from ..operators.encode import token_pairs
 from ..operators.features import doc_embedding_mean, fit_tfidf, transform_tfidf
@@ -44,19 +45,21 @@ def _features(docs, V, sublinear=False, train_filter=None):
     return ML.to_vectors(w, idx, docs, "text_key", size), size
 
 
-def _binary_scores(vec, labels, col, C, max_iter):
-    """One balanced binary model per label, fitted concurrently (each fit is
-    a chain of small distributed jobs): long (id, split, class, score)."""
-    def fit(lab):
-        data = vec.withColumn("y", (F.col(col) == lab).cast("double"))
-        m = ML.fit_binary(data.filter(F.col("split") == "train"), "y", C, max_iter)
-        return ML.positive_prob(m.transform(data)).select(
-            "id", "split", F.lit(lab).alias("class"), F.col("p").alias("score"))
-    parts = ML.fit_many(fit, list(labels))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _train(vec):
+    return vec.filter(F.col("split") == "train")
+
+
+def _one_vs_rest(vec, size, docs, col, classes, C=1.0, penalise_intercept=True):
+    """All classes fitted together, every row scored; report per split."""
+    model = N.fit(_train(vec), col, classes, size, C, penalise_intercept=penalise_intercept)
+    pred = SC.argmax_label(N.scores(vec, model, ["id"]), "id").join(docs.select("id", col, "split"), "id")
+    return M.classification_report(pred, col, "predicted", classes, by=("split",))
+
+
+def _present(docs, col, classes):
+    """The classes that have training rows, in their own order."""
+    there = {r[0] for r in _train(docs).select(col).distinct().collect()}
+    return [c for c in classes if c in there]
 
 
 @register("fit_ovr_logreg")
@@ -64,10 +67,8 @@ def q_fit_ovr_logreg(spark, sf_dir):
     """Shared TF-IDF (V 50k), one balanced binary LR per era, argmax;
     report per split."""
     docs = _docs(spark, sf_dir)
-    vec, _ = _features(docs, fixed.OVR_ERA_V)
-    sc = _binary_scores(vec, ERAS, "song_era", 1.0, 500)
-    pred = SC.argmax_label(sc, "id").join(docs.select("id", "song_era", "split"), "id")
-    return M.classification_report(pred, "song_era", "predicted", ERAS, by=("split",))
+    vec, size = _features(docs, fixed.OVR_ERA_V)
+    return _one_vs_rest(vec, size, docs, "song_era", _present(docs, "song_era", ERAS))
 
 
 @register("fit_binary_per_era")
@@ -77,21 +78,24 @@ def q_fit_binary_per_era(spark, sf_dir):
     base = A.prepare_era_docs(songs(spark, sf_dir))
     sets = materialize_bucketed(split_stratified(ovr_fair_negatives(base, "song_era"), "is_target",
                                                  by=("target",)), "text_key")
+
     def per_era(era):
         d = sets.filter(F.col("target") == era)
-        if d.limit(1).count() == 0:
+        if _train(d).select("is_target").distinct().count() < 2:
             return None
-        vec, _ = _features(d, fixed.PER_ERA_V)
-        data = vec.withColumn("y", F.col("is_target").cast("double"))
-        m = ML.fit_binary(data.filter(F.col("split") == "train"), "y", 1.0, 1500)
-        pred = m.transform(data).select("split", F.col("y").cast("int").cast("string").alias("t"),
-                                        F.col("prediction").cast("int").cast("string").alias("p"))
-        return M.accuracy_f1(pred, "t", "p", ("0", "1"), positive="1", by=("split",)) \
+        vec, size = _features(d, fixed.PER_ERA_V)
+        model = N.fit(_train(vec), "is_target", [1], size)
+        return _binary_report(N.decide(N.scores(vec, model, ["split", "is_target"]), ["split", "is_target"]), "is_target", by=("split",)) \
             .withColumn("target", F.lit(era))
 
     return _union([r for r in ML.fit_many(per_era, list(ERAS)) if r is not None])
 
 
+def _binary_report(pred, truth, by=()):
+    rows = pred.select(*by, F.col(truth).cast("int").cast("string").alias("t"), F.col("prediction").cast("string").alias("p"))
+    return M.accuracy_f1(rows, "t", "p", ("0", "1"), positive="1", by=by)
+
+
 def _union(parts):
     out = parts[0]
     for p in parts[1:]:
@@ -106,53 +110,51 @@ def q_fit_binary_per_genre(spark, sf_dir):
     docs = materialize_bucketed(split_stratified(
         A.prepare_era_docs(songs(spark, sf_dir), extra=("tag",)).filter(F.col("tag").isin(*GENRES)),
         "tag"), "text_key")
-    vec, _ = _features(docs, fixed.GENRE_BINARY_V, sublinear=True)
-    sc = _binary_scores(vec, GENRES, "tag", 2.0, 2000)
-    pred = SC.argmax_label(sc, "id").join(docs.select("id", "tag", "split"), "id")
-    return M.classification_report(pred, "tag", "predicted", GENRES, by=("split",))
+    vec, size = _features(docs, fixed.GENRE_BINARY_V, sublinear=True)
+    return _one_vs_rest(vec, size, docs, "tag", _present(docs, "tag", GENRES), C=2.0, penalise_intercept=False)
 
 
 @register("fit_genre_balanced")
 def q_fit_genre_balanced(spark, sf_dir):
-    """Per genre: with-replacement balanced training draws (train split
-    only), sublinear TF-IDF (V 500k) fitted on train, balanced LR C=1;
-    evaluated on the untouched test split."""
+    """Per genre: with-replacement balanced training draws (train split only),
+    sublinear TF-IDF (V 500k) of the drawn texts, balanced LR C=1; evaluated on
+    the untouched test split. A text drawn m times is one row of weight m, in
+    the vocabulary's counts as in the fit."""
     docs = materialize_bucketed(split_stratified(
         A.prepare_era_docs(songs(spark, sf_dir), extra=("tag",)).filter(F.col("tag").isin(*GENRES)),
         "tag"), "text_key")
-    vec, _ = _features(docs, fixed.GENRE_BALANCED_V, sublinear=True)
-    train_ids = docs.filter(F.col("split") == "train").select("id", "tag")
-    draws = materialize(ovr_with_replacement(train_ids, "tag", GENRES, fixed.GENRE_DRAWS_PER_CLASS))
+    genres = _present(docs, "tag", GENRES)
+    draws = ovr_with_replacement(_train(docs).select("id", "tag"), "tag", genres, fixed.GENRE_DRAWS_PER_CLASS)
+    times = materialize(draws.groupBy("target", "id").agg(F.count(F.lit(1)).alias("m")), keep_partitioning=False)
+
     def per_genre(g):
-        tr = draws.filter(F.col("target") == g).join(vec.select("id", "features"), "id") \
-            .withColumn("y", F.col("is_target").cast("double"))
-        m = ML.fit_binary(tr, "y", 1.0, 10000)
-        test = vec.filter(F.col("split") == "test").withColumn("y", (F.col("tag") == g).cast("double"))
-        pred = m.transform(test).select(F.col("y").cast("int").cast("string").alias("t"),
-                                        F.col("prediction").cast("int").cast("string").alias("p"))
-        return M.accuracy_f1(pred, "t", "p", ("0", "1"), positive="1").withColumn("genre", F.lit(g))
+        drawn = docs.join(times.filter(F.col("target") == g).select("id", "m"), "id")
+        return genre_fit(drawn, docs.filter("split = 'test'"), g).withColumn("genre", F.lit(g))
 
-    return _union(ML.fit_many(per_genre, list(GENRES)))
+    return _union(ML.fit_many(per_genre, genres))
+
+
+def genre_fit(drawn, test, genre, V=fixed.GENRE_BALANCED_V, min_df=MIN_DF):
+    """Fit on ``drawn`` (with multiplicities ``m``), report on ``test``."""
+    _, vocab = fit_tfidf(drawn, "text_key", "clean_lyrics", V, min_df, sublinear=True, weight="m")
+    vocab = materialize(vocab, keep_partitioning=False)
+    idx = materialize(ML.vocab_index(vocab), keep_partitioning=False)
+    both = materialize_bucketed(drawn.select("text_key", "clean_lyrics", "tag", "split", "m")
+                                .unionByName(test.select("text_key", "clean_lyrics", "tag", "split", F.lit(0).cast("long").alias("m"))), "text_key")
+    w = transform_tfidf(both, vocab, "text_key", "clean_lyrics", sublinear=True, max_features=V)
+    size = idx.count()
+    vec = ML.to_vectors(w, idx, both, "text_key", size)
+    model = N.fit(vec.filter("m > 0"), "tag", [genre], size, weight="m", penalise_intercept=False)
+    pred = N.decide(N.scores(vec.filter("m = 0"), model, ["tag"]), ["tag"])
+    return _binary_report(pred.withColumn("y", F.col("tag") == genre), "y")
 
 
 @register("fit_multiclass_logreg")
 def q_fit_multiclass_logreg(spark, sf_dir):
     """One-vs-rest LR over the era labels (V 120k), balanced weights."""
-    from ..operators.labels import label_encode, label_table
     docs = _docs(spark, sf_dir)
-    vec, _ = _features(docs, fixed.MULTICLASS_V)
-    labels = label_table(docs, "song_era")
-    data = ML.balanced_weights(label_encode(vec, labels, "song_era").withColumn(
-        "label", F.col("label_id").cast("double")), "label")
-    from pyspark.ml.classification import OneVsRest
-    n = data.filter(F.col("split") == "train").count()
-    ovr = OneVsRest(classifier=ML.logreg("label", 1.0, n, 2000, plain=True), labelCol="label",
-                    featuresCol="features", weightCol="weight", parallelism=len(ERAS))
-    m = ovr.fit(data.filter(F.col("split") == "train"))
-    pred = m.transform(data).join(F.broadcast(labels.select(F.col("label_id").cast("double").alias("prediction"),
-                                                            F.col("label").alias("predicted"))),
-                                  "prediction", "left")
-    return M.classification_report(pred, "song_era", "predicted", ERAS, by=("split",))
+    vec, size = _features(docs, fixed.MULTICLASS_V)
+    return _one_vs_rest(vec, size, docs, "song_era", _present(docs, "song_era", ERAS))
 
 
 @register("fit_w2v_logreg")
@@ -178,10 +180,8 @@ def q_fit_w2v_logreg(spark, sf_dir):
         data = materialize(emb.join(d.drop("toks"), "id").select(
             "id", "split", F.col("is_target").cast("double").alias("y"), "embedding"), keep_partitioning=False)
         data = data.withColumn("features", array_to_vector("embedding"))
-        m = ML.fit_binary(data.filter(F.col("split") == "train"), "y", 1.0, 1500)
-        pred = m.transform(data).select("split", F.col("y").cast("int").cast("string").alias("t"),
-                                        F.col("prediction").cast("int").cast("string").alias("p"))
-        return M.accuracy_f1(pred, "t", "p", ("0", "1"), positive="1", by=("split",)) \
+        model = N.fit(_train(data), "y", [1.0], 768)
+        return _binary_report(N.decide(N.scores(data, model, ["split", "y"]), ["split", "y"]), "y", by=("split",)) \
             .withColumn("target", F.lit(era))
 
     return _union([r for r in ML.fit_many(per_era, list(ERAS), max_workers=2) if r is not None])
@@ -230,13 +230,8 @@ def q_score_binary_models(spark, sf_dir):
         clean_lyrics(F.coalesce("text", F.lit(""))).alias("clean_lyrics"), "text")
     bw = transform_tfidf(b, vocab, "doc", "clean_lyrics", max_features=fixed.OVR_ERA_V)
     bv = ML.to_vectors(bw, idx, b, "doc", size)
-    def per_era(era):
-        data = tv.withColumn("y", (F.col("song_era") == era).cast("double"))
-        m = ML.fit_binary(data, "y", 1.0, 500)
-        return ML.positive_prob(m.transform(bv)).select("item_id", F.lit(era).alias("class"),
-                                                        F.round("p", 9).alias("score"))
-
-    out = _union(ML.fit_many(per_era, list(ERAS)))
+    model = N.fit(tv, "song_era", _present(docs, "song_era", ERAS), size)
+    out = N.scores(bv, model, ["item_id"]).withColumn("score", F.round("score", 9))
     best = SC.argmax_label(out, "item_id").select("item_id", "predicted")
     empty = F.coalesce(F.trim(F.col("text")), F.lit("")) == ""
     return (out.join(best, "item_id").join(b.select("item_id", "text"), "item_id")
