@@ -32,13 +32,13 @@ def corpus(spark, monkeypatch):
     return df
 
 
-@pytest.mark.parametrize("name, classes", [("fit_ovr_logreg", 6), ("fit_multiclass_logreg", 6), ("fit_binary_per_genre", 5)])
+@pytest.mark.parametrize("name, classes", [("fit_ovr_logreg", 6), ("fit_multiclass_logreg", 6), ("fit_binary_per_genre", 5), ("fit_mlp_tfidf", 6)])
 def test_reports_beat_the_majority(spark, corpus, name, classes):
     rows = {(r.split, r.label): r for r in getattr(Q, f"q_{name}")(spark, "").collect()}
     for split in ("val", "test"):
         n = rows[split, "accuracy"].support
         most = max(r.support for (s, label), r in rows.items() if s == split and label not in ("accuracy", "macro avg", "weighted avg"))
-        assert rows[split, "accuracy"].f1 > max(0.8, most / n)
+        assert rows[split, "accuracy"].f1 > max(0.8 if "logreg" in name else 0.6, most / n)
         assert sum(r.support for (s, label), r in rows.items() if s == split and label not in ("accuracy", "macro avg", "weighted avg")) == n
     assert len(rows) == 3 * (classes + 3)
 
