@@ -18,6 +18,8 @@ Lines of recurring templates are dropped everywhere.
 All steps are DataFrame expressions. Texts that are equal count once. A line
 that very many documents share is summed up before every shuffle by its key,
 and the joins that put results back are of the kind that skew handling splits.
+They are sort-merge joins at every size: tables that grow with the texts are not
+broadcast while they happen to be small.
 """
 
 from __future__ import annotations
@@ -78,7 +80,7 @@ def _generalised(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFr
              .filter("lo != hi").select("leaf"))
     mixed = materialize(mixed, keep_partitioning=False)
     # Only texts with such a line are cut into lines again, and only its lines move.
-    texts = lines.join(mixed, "leaf", "left_semi").select("t1").distinct()
+    texts = lines.join(mixed.hint("merge"), "leaf", "left_semi").select("t1").distinct()
     texts = _maybe_in(docs, "t1", _bits(texts, "t1")).filter("_in").drop("_in")
     some = _maybe_in(_lines(texts).select(*_LINE, "tokens"), "leaf", _bits(mixed, "leaf")).filter("_in")
     # A line moves as one string, as no token holds a blank. A leaf that the bit
@@ -93,7 +95,7 @@ def _generalised(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFr
     constants = (constant.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "top.token"))).alias("_c"))
                  .select("leaf", F.col("_c.token").alias("constants")))
     same = F.expr(f"least(size(tokens), {DEPTH})") + F.size(F.filter(F.zip_with(rest, "constants", lambda t, c: t == c), lambda x: x))
-    agree = kinds.join(constants, "leaf").filter(same >= F.lit(similarity) * F.size("tokens"))
+    agree = kinds.join(constants.hint("merge"), "leaf").filter(same >= F.lit(similarity) * F.size("tokens"))
     return agree.select(*_LINE)
 
 
@@ -102,7 +104,7 @@ def templates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts, ``code`` being 0 for the leaf's template, else the line's own."""
     lines = materialize(_lines(docs).select(*_TEXT, "i", *_LINE).distinct(), keep_partitioning=False)
     general = _generalised(docs, lines, similarity).withColumn("general", F.lit(True))
-    return (lines.join(general, _LINE, "left")
+    return (lines.join(general.hint("merge"), _LINE, "left")
             .select(*_TEXT, "i", "leaf", F.when(F.col("general"), F.lit(0).cast("long")).otherwise(F.col("line_key")).alias("code")))
 
 
@@ -115,10 +117,10 @@ def _found_in(lines: DataFrame, min_docs: int) -> DataFrame:
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(leaf, code) of the recurring templates."""
     frequent = _found_in(lines, min_docs).withColumn("frequent", F.lit(True))
-    marked = materialize(lines.join(frequent, _TEMPLATE, "left"), keep_partitioning=False)
+    marked = materialize(lines.join(frequent.hint("merge"), _TEMPLATE, "left"), keep_partitioning=False)
     own = (marked.groupBy(*_TEXT).agg(F.count(F.lit(1)).alias("n"), F.count("frequent").alias("shared"))
            .filter("2 * shared <= n and shared > 0").select(*_TEXT))
-    return _found_in(marked.filter("frequent").join(own, _TEXT, "left_semi"), min_docs)
+    return _found_in(marked.filter("frequent").join(own.hint("merge"), _TEXT, "left_semi"), min_docs)
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY,
@@ -135,13 +137,13 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity:
     keys = {"t1": F.xxhash64("text"), "t2": F.hash("text")}
     texts = docs.select(F.col(text_col).alias("text")).filter("text is not null").withColumns(keys)
     lines = materialize(templates(texts, similarity), keep_partitioning=False)
-    gone = (lines.join(recurring(lines, min_docs).select(*_TEMPLATE), _TEMPLATE)
+    gone = (lines.join(recurring(lines, min_docs).select(*_TEMPLATE).hint("merge"), _TEMPLATE)
             .groupBy(*_TEXT).agg(F.collect_list("i").alias("_gone")))
     gone = materialize(gone, keep_partitioning=False)
     rows = docs.drop("n_lines", "n_dropped").withColumns({"_t1": F.coalesce(F.xxhash64(text_col), F.lit(0).cast("long")), "_t2": F.hash(text_col)})
     # Only the texts that may lose lines are moved to the list of those lines.
     rows = _maybe_in(rows, "_t1", _bits(gone, "t1")).withColumn("_in", F.col("_in") & F.col(text_col).isNotNull())
-    lost = rows.filter("_in").join(gone.withColumnsRenamed({"t1": "_g1", "t2": "_g2"}),
+    lost = rows.filter("_in").join(gone.withColumnsRenamed({"t1": "_g1", "t2": "_g2"}).hint("merge"),
                                    (F.col("_t1") == F.col("_g1")) & (F.col("_t2") == F.col("_g2")), "left").drop("_g1", "_g2")
     rows = lost.unionByName(rows.filter("not _in").withColumn("_gone", F.lit(None).cast("array<int>")))
     parts = F.split(text_col, "\n")
