@@ -28,6 +28,20 @@ def slices(batch, column: str):
         yield batch.slice(lo)
 
 
+def returning(run, column: str):
+    """``run`` over a task's Arrow batches, cut by :func:`slices` of ``column``; what
+    it freed goes back to the machine at the end, since a Python worker that
+    waits for its next task would keep it."""
+    def task(batches):
+        import ctypes
+
+        import pyarrow as pa
+        yield from run(part for batch in batches for part in slices(batch, column))
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+    return task
+
+
 def utf8(column) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as the empty text."""
     import pyarrow as pa

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import slices, utf8
+from .common import returning, slices, utf8
 from .components import components
 from .suffix_dedup import SYMBOLS, bit_table, in_table, mix, powers
 
@@ -164,7 +164,7 @@ def members(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         if (used := np.flatnonzero(count)).size:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), pa.nulls(len(used), pa.binary()), pa.array(count[used]), pa.nulls(len(used), cut),
                                               pa.array(used, pa.int32())], names=names)
-    both = materialize(docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, n_shingles long, slices array<int>, bucket int"), keep_partitioning=False)
+    both = materialize(docs.mapInArrow(returning(run, "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, n_shingles long, slices array<int>, bucket int"), keep_partitioning=False)
     rows = both.filter("bucket is not null").groupBy("bucket").agg(F.sum("n_shingles").alias("n")).toPandas()
     count = np.zeros(BUCKETS, np.int64)
     count[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
@@ -201,7 +201,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, count) -> DataFrame:
                 found, n = np.unique(np.concatenate(held), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["token", "n"])
                 held = []
-    several = (docs.select("text").mapInArrow(tokens, "token long, n long")
+    several = (docs.select("text").mapInArrow(returning(tokens, "text"), "token long, n long")
                .groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1"))
     table = docs.sparkSession.sparkContext.broadcast(bit_table(several, "token", TABLE_BITS))
 
@@ -218,7 +218,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, count) -> DataFrame:
                     [pa.array(np.concatenate(rows[0])), pa.array([x for r in rows[1] for x in r], pa.binary()),
                      pa.array(np.concatenate(rows[2])), pa.array(np.concatenate(rows[3]))], names=["token", "node", "n", "pos"])
                 rows = [[], [], [], []]
-    return docs.select("text").mapInArrow(run, "token long, node binary, n int, pos int")
+    return docs.select("text").mapInArrow(returning(run, "text"), "token long, node binary, n int, pos int")
 
 
 def _fits(percent: int, a: str, b: str):
@@ -248,7 +248,7 @@ def _sets_of(docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
                 new = [i for i, node in enumerate(nodes) if node not in done and not done.add(node)]
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in new], pa.binary()),
                                                   pa.array([sets[i] for i in new], pa.list_(pa.int64()))], names=["node", "shingles"])
-    return docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "node binary, shingles array<long>")
+    return docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(returning(run, "text"), "node binary, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, member: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -352,7 +352,7 @@ def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80,
                 sets = shingle_sets(utf8(b.column(text)), words)
                 nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.binary())], names=[*b.schema.names, "node"])
-    tagged = rows.mapInArrow(run, rows.withColumn("node", F.lit(None).cast("binary")).schema)
+    tagged = rows.mapInArrow(returning(run, text), rows.withColumn("node", F.lit(None).cast("binary")).schema)
     # Classes that several rows share in the chosen id keep one row only.
     several = placed.filter("n_shingles > 0").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
     kept = tagged.join(stay.hint("shuffle_hash"), tagged[key].eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")), "left_semi")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import slices, utf8
+from .common import returning, utf8
 
 LENGTH = 100
 CORE = 40
@@ -163,25 +163,6 @@ def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (word >> (hashes.view(_U) >> _U(58))) & _U(1) == 1
 
 
-def _returning(run):
-    """``run`` over a task's batches, cut to a few MB of text or bytes; what it
-    freed goes back to the machine at the end, since a Python worker that waits
-    for its next task would keep it."""
-    def task(batches):
-        import ctypes
-        import pyarrow as pa
-        column = None
-        def parts():
-            nonlocal column
-            for batch in batches:
-                column = column or ("text" if "text" in batch.schema.names else "bytes")
-                yield from slices(batch, column)
-        yield from run(parts())
-        pa.default_memory_pool().release_unused()
-        ctypes.CDLL(None).malloc_trim(0)
-    return task
-
-
 def _listed(values, kind):
     import pyarrow as pa
     return pa.array(values, kind)
@@ -230,7 +211,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 found, n = np.unique(trigger, return_counts=True)
                 yield pa.RecordBatch.from_arrays([_listed(found, pa.int64()), _listed(n, pa.int64())], names=["trigger", "n"])
     once = docs.select("text") if unique else docs.select("doc_id", "text").distinct().select("text")
-    several = (once.mapInArrow(_returning(triggers), "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")).filter("n > 1"))
+    several = (once.mapInArrow(returning(triggers, "text"), "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")).filter("n > 1"))
     table = spark.sparkContext.broadcast(bit_table(several, "trigger", TABLE_BITS))
 
     def shared(trigger):
@@ -246,7 +227,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(trigger[on]), pa.array(phrase[on]), batch.column("doc_id").take(rows), batch.column("twin").take(rows),
                          pa.array(lo[on] << 8 | n[on])], names=["trigger", "phrase", "doc_id", "twin", "place"])
-    occurrences = docs.mapInArrow(_returning(parse), "trigger long, phrase long, doc_id long, twin long, place long")
+    occurrences = docs.mapInArrow(returning(parse, "text"), "trigger long, phrase long, doc_id long, twin long, place long")
     entries = (occurrences.groupBy("trigger", "phrase").agg(F.min(F.struct("doc_id", "twin", "place")).alias("first"))
                .select("trigger", "first.*"))
     entries = materialize(entries, keep_partitioning=False)
@@ -296,7 +277,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         if held:
             yield settle(_columns(held))
     slices_ = bytes_of.repartition("trigger", "deal").sortWithinPartitions("trigger", "deal")
-    found = materialize(slices_.mapInArrow(_returning(order), "trigger long, code long, doc_id long, twin long, first long, last long"), keep_partitioning=False)
+    found = materialize(slices_.mapInArrow(returning(order, "bytes"), "trigger long, code long, doc_id long, twin long, first long, last long"), keep_partitioning=False)
     open_ = found.filter("code is not null")
     least = (open_.groupBy("trigger", "code").agg(F.min(F.struct("doc_id", "twin", "first")).alias("least"), F.count(F.lit(1)).alias("n"))
              .filter("n > 1").drop("n"))
@@ -344,7 +325,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     kinds = dict(full.dtypes)
     schema = ", ".join(["doc_id long, n_bytes long, spans array<struct<start: long, end: long>>", "kept " + ("string" if as_text else "binary"),
                         *(f"{n} {kinds[n]}" for n in carried.values())])
-    return whole.select("doc_id", "text", "places", "first", "last", *carried.values()).mapInArrow(_returning(cut), schema).withColumnsRenamed(
+    return whole.select("doc_id", "text", "places", "first", "last", *carried.values()).mapInArrow(returning(cut, "text"), schema).withColumnsRenamed(
         {n: c for c, n in carried.items()})
 
 
