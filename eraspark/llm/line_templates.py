@@ -2,18 +2,21 @@
 
 A line is parsed down a tree of fixed depth: its token count, then its
 ``DEPTH`` leading tokens, tokens with a digit counting as a variable field.
-What ends in one leaf and agrees on enough positions is one template: at each
-position the leaf's most frequent token is the template's constant, and a line
-belongs to the template when it has at least ``SIMILARITY`` of the constants;
-the other positions are variable fields. A line that differs more is a
-template of its own.
+Within a leaf, a group of lines votes: at each position the group's most
+frequent token is a constant of its template, and a line belongs to the
+template when it has at least ``SIMILARITY`` of the constants; the other
+positions are variable fields. The lines left over are divided by their token
+at the position where they hold the fewest different ones, and each part votes
+again, until every line has its template. So a leaf holds as many templates as
+its lines need, in at most as many rounds as a line has tokens.
 
 A template is frequent when it is found in at least ``min_docs`` different
 texts, and it recurs when that many of them are not copies, a copy being a
-text more than half of whose lines are of frequent templates. So boilerplate
-is told from the lines of copied and nearly copied documents, which bring
-their whole surroundings along: those are left to document deduplication.
-Lines of recurring templates are dropped everywhere.
+text with ``COPY`` or more of its tokens in lines of frequent templates, the
+similarity at which documents count as near copies. So boilerplate is told from
+the lines of copied and nearly copied documents, which bring their whole
+surroundings along: those are left to document deduplication. Lines of
+recurring templates are dropped everywhere.
 
 All steps are DataFrame expressions. Texts that are equal count once. A line
 that very many documents share is summed up before every shuffle by its key,
@@ -32,6 +35,7 @@ from ..session import materialize
 DEPTH = 3
 SIMILARITY = 0.8
 MIN_DOCS = 10
+COPY = 0.8
 
 _TEXT = ["t1", "t2"]
 _LINE = ["leaf", "line_key"]
@@ -74,8 +78,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _generalised(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, line_key) of the lines that belong to their leaf's template,
-    from the leaves that hold different lines."""
+    """(leaf, line_key, code) of the lines in leaves that hold different lines,
+    ``code`` being the line's template within the leaf."""
     mixed = (lines.groupBy("leaf").agg(F.min("line_key").alias("lo"), F.max("line_key").alias("hi"))
              .filter("lo != hi").select("leaf"))
     mixed = materialize(mixed, keep_partitioning=False)
@@ -89,23 +93,37 @@ def _generalised(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFr
     kinds = materialize(kinds, keep_partitioning=False).withColumn("tokens", F.split("line", " ")).drop("line")
     # The leading tokens are the leaf's own: the vote is on the places after them.
     rest = F.expr(f"slice(tokens, {DEPTH + 1}, greatest(size(tokens) - {DEPTH}, 0))")
-    votes = (kinds.select("leaf", F.posexplode(rest).alias("at", "token"))
-             .groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n")))
-    constant = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"))
-    constants = (constant.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "top.token"))).alias("_c"))
-                 .select("leaf", F.col("_c.token").alias("constants")))
-    same = F.expr(f"least(size(tokens), {DEPTH})") + F.size(F.filter(F.zip_with(rest, "constants", lambda t, c: t == c), lambda x: x))
-    agree = kinds.join(constants.hint("merge"), "leaf").filter(same >= F.lit(similarity) * F.size("tokens"))
-    return agree.select(*_LINE)
+    group, left, placed = ["leaf", "code"], kinds.withColumn("code", F.lit(0).cast("long")), None
+    while placed is None or not left.isEmpty():
+        votes = (left.select(*group, F.posexplode(rest).alias("at", "token"))
+                 .groupBy(*group, "at", "token").agg(F.count(F.lit(1)).alias("n")))
+        constant = votes.groupBy(*group, "at").agg(F.max(F.struct("n", "token")).alias("top"))
+        constants = (constant.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("at", "top.token"))).alias("_c"))
+                     .select(*group, F.col("_c.token").alias("constants")))
+        same = F.expr(f"least(size(tokens), {DEPTH})") + F.size(F.filter(F.zip_with(rest, "constants", lambda t, c: t == c), lambda x: x))
+        judged = left.join(constants.hint("merge"), group).withColumn("agrees", same >= F.lit(similarity) * F.size("tokens"))
+        judged = materialize(judged.select(*_LINE, "code", "agrees", F.when(~F.col("agrees"), F.col("tokens")).alias("tokens")), keep_partitioning=False)
+        found = judged.filter("agrees").select(*_LINE, "code")
+        placed = found if placed is None else placed.union(found)
+        # The others part by their token at the place that holds the fewest kinds.
+        others = judged.filter("not agrees").drop("agrees")
+        kinds_at = (others.select(*group, F.posexplode(rest).alias("at", "token")).distinct()
+                    .groupBy(*group, "at").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        divide = kinds_at.groupBy(*group).agg(F.min(F.struct("n", "at")).alias("_d")).select(*group, F.col("_d.at").alias("at"))
+        left = others.join(divide.hint("merge"), group).select(
+            *_LINE, F.expr(f"xxhash64(code, at, tokens[at + {DEPTH}])").alias("code"), "tokens")
+        left = materialize(left, keep_partitioning=False)
+    return placed
 
 
 def templates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(t1, t2, i, leaf, code): the template of every line of the distinct
-    texts, ``code`` being 0 for the leaf's template, else the line's own."""
-    lines = materialize(_lines(docs).select(*_TEXT, "i", *_LINE).distinct(), keep_partitioning=False)
-    general = _generalised(docs, lines, similarity).withColumn("general", F.lit(True))
+    """(t1, t2, i, size, leaf, code): the template of every line of the distinct
+    texts with the line's token count. ``code`` tells the templates of a leaf
+    apart; it is the line's own where the leaf holds one line only."""
+    lines = materialize(_lines(docs).select(*_TEXT, "i", F.size("tokens").alias("size"), *_LINE).distinct(), keep_partitioning=False)
+    general = _generalised(docs, lines, similarity)
     return (lines.join(general.hint("merge"), _LINE, "left")
-            .select(*_TEXT, "i", "leaf", F.when(F.col("general"), F.lit(0).cast("long")).otherwise(F.col("line_key")).alias("code")))
+            .select(*_TEXT, "i", "size", "leaf", F.coalesce("code", "line_key").alias("code")))
 
 
 def _found_in(lines: DataFrame, min_docs: int) -> DataFrame:
@@ -118,8 +136,8 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(leaf, code) of the recurring templates."""
     frequent = _found_in(lines, min_docs).withColumn("frequent", F.lit(True))
     marked = materialize(lines.join(frequent.hint("merge"), _TEMPLATE, "left"), keep_partitioning=False)
-    own = (marked.groupBy(*_TEXT).agg(F.count(F.lit(1)).alias("n"), F.count("frequent").alias("shared"))
-           .filter("2 * shared <= n and shared > 0").select(*_TEXT))
+    own = (marked.groupBy(*_TEXT).agg(F.sum("size").alias("n"), F.sum(F.when(F.col("frequent"), F.col("size"))).alias("shared"))
+           .filter(F.col("shared") < COPY * F.col("n")).select(*_TEXT))
     return _found_in(marked.filter("frequent").join(own.hint("merge"), _TEXT, "left_semi"), min_docs)
 
 
@@ -157,7 +175,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity:
 
 #: The same for ``documents`` in DuckDB: doc_id, n_lines, n_dropped, kept_sha256.
 SQL = rf"""
-WITH lines AS (
+WITH RECURSIVE lines AS (
     SELECT text, i, list_transform(list_filter(string_split_regex(line, '[ \t\x0B\f\r]+'), lambda t: t <> ''),
                                    lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
     FROM (SELECT text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
@@ -165,16 +183,24 @@ WITH lines AS (
 keyed AS (SELECT text, i, tokens, (len(tokens), tokens[1:{DEPTH}]) AS leaf FROM lines WHERE len(tokens) > 0),
 kinds AS (SELECT DISTINCT leaf, tokens FROM keyed),
 mixed AS (SELECT leaf FROM kinds GROUP BY leaf HAVING count(*) > 1),
-parts AS (SELECT leaf, tokens, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM kinds SEMI JOIN mixed USING (leaf)),
-votes AS (SELECT leaf, place, token, count(*) AS n FROM parts GROUP BY ALL),
-constants AS (SELECT leaf, place, max((n, token)) AS top FROM votes GROUP BY ALL),
-general AS (SELECT leaf, tokens FROM parts JOIN constants USING (leaf, place) GROUP BY leaf, tokens
-            HAVING count(*) FILTER (token = top[2]) >= CAST({SIMILARITY} AS DOUBLE) * count(*)),
-placed AS (SELECT k.text, k.i, k.leaf, CASE WHEN g.tokens IS NULL THEN k.tokens ELSE ['', ''] END AS code
-           FROM keyed k LEFT JOIN general g ON k.leaf = g.leaf AND k.tokens = g.tokens),
+rounds AS (
+    SELECT leaf, []::VARCHAR[] AS code, tokens, FALSE AS agrees FROM kinds SEMI JOIN mixed USING (leaf)
+    UNION ALL
+    (WITH parts AS (SELECT leaf, code, tokens, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM rounds WHERE NOT agrees),
+    votes AS (SELECT leaf, code, place, token, count(*) AS n FROM parts GROUP BY ALL),
+    constants AS (SELECT leaf, code, place, max((n, token)) AS top FROM votes GROUP BY ALL),
+    judged AS (SELECT leaf, code, tokens, count(*) FILTER (token = top[2]) >= CAST({SIMILARITY} AS DOUBLE) * count(*) AS agrees
+               FROM parts JOIN constants USING (leaf, code, place) GROUP BY leaf, code, tokens),
+    kinds_at AS (SELECT leaf, code, place, count(DISTINCT token) AS n FROM parts JOIN judged USING (leaf, code, tokens)
+                 WHERE NOT agrees GROUP BY leaf, code, place HAVING count(DISTINCT token) > 1),
+    divide AS (SELECT leaf, code, min((n, place)) AS least FROM kinds_at GROUP BY ALL)
+    SELECT j.leaf, CASE WHEN j.agrees THEN j.code ELSE list_append(list_append(j.code, CAST(least[2] AS VARCHAR)), j.tokens[least[2]]) END, j.tokens, j.agrees
+    FROM judged j LEFT JOIN divide d ON j.leaf = d.leaf AND j.code = d.code)),
+placed AS (SELECT k.text, k.i, len(k.tokens) AS size, k.leaf, coalesce(r.code, k.tokens) AS code
+           FROM keyed k LEFT JOIN rounds r ON k.leaf = r.leaf AND k.tokens = r.tokens AND r.agrees),
 frequent AS (SELECT leaf, code FROM placed GROUP BY leaf, code HAVING count(DISTINCT text) >= {MIN_DOCS}),
 marked AS (SELECT p.*, f.code IS NOT NULL AS frequent FROM placed p LEFT JOIN frequent f ON p.leaf = f.leaf AND p.code = f.code),
-own AS (SELECT text FROM marked GROUP BY text HAVING 2 * count(*) FILTER (frequent) <= count(*)),
+own AS (SELECT text FROM marked GROUP BY text HAVING sum(CASE WHEN frequent THEN size ELSE 0 END) < CAST({COPY} AS DOUBLE) * sum(size)),
 recurring AS (SELECT leaf, code FROM marked SEMI JOIN own USING (text) WHERE frequent
               GROUP BY leaf, code HAVING count(DISTINCT text) >= {MIN_DOCS}),
 gone AS (SELECT text, list(i) AS gone FROM placed SEMI JOIN recurring USING (leaf, code) GROUP BY text)

@@ -67,3 +67,33 @@ def test_variable_field_without_digits_after_three_tokens(spark):
     for d, text in rows:
         first, second, _, last = text.split("\n")
         assert got[d].text == f"{first}\n{second}\n{last}" and got[d].n_dropped == 1
+
+
+def test_two_templates_in_one_leaf(spark):
+    rng = random.Random(8)
+    word = lambda i: "".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(4)) + "q" * i
+    rows = []
+    for i in range(30):
+        rows.append((i, f"{prose(rng, 40)}\nFiled under the heading of {word(i)} in our old archive room"))
+        rows.append((100 + i, f"{prose(rng, 40)}\nFiled under the name {word(i)} by some clerk long gone now"))
+    got = {r.doc_id: r for r in rows_of(spark, rows).collect()}
+    assert [(got[d].text, got[d].n_dropped) for d, _ in rows] == [(t.split("\n")[0], 1) for _, t in rows]
+
+
+def test_pages_that_are_mostly_boilerplate(spark):
+    rng = random.Random(9)
+    shared = [prose(rng, 8) for _ in range(6)]
+    rows = [(i, "\n".join(shared[:3] + [prose(rng, 9) for _ in range(4)] + shared[3:])) for i in range(40)]
+    got = {r.doc_id: r for r in rows_of(spark, rows).collect()}
+    assert [(got[d].text.split("\n"), got[d].n_dropped) for d, _ in rows] == [(t.split("\n")[3:7], 6) for _, t in rows]
+
+
+def test_same_rows_as_sql_with_many_templates_a_leaf(spark):
+    rng = random.Random(10)
+    rows = [(i, "\n".join([prose(rng, 12) for _ in range(3)] + [" ".join(["a", "b", "c", *(rng.choice("xy") for _ in range(rng.choice([4, 6])))]) for _ in range(4)]))
+            for i in range(150)]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    want = sorted(duckdb.sql(T.SQL).fetchall())
+    got = rows_of(spark, rows).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got) == want
+    assert sum(r[2] for r in want) > 20
