@@ -1,7 +1,7 @@
 """A training corpus from raw documents, in five stages.
 
 1. ``language_id``: string-kernel language identification; documents without a
-   letter, or from which no language can be told, go.
+   letter, or whose n-grams are like none of the learnt languages, go.
 2. ``line_dedup``: lines of recurring templates are taken out.
 3. ``near_duplicates``: n-gram Jaccard join; of each group of near and exact
    copies the document with the smallest id stays.
@@ -28,16 +28,18 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told. Learns from the documents' own
-    ``lang`` values (rows not held out); without any, nothing is known and
-    only texts without a letter go."""
+    """Documents that are accepted as one of the languages learnt from the
+    documents' own ``lang`` values (rows not held out). A language with few
+    labelled rows accepts every text it is predicted for; without any labelled
+    rows nothing is known and only texts without a letter go. Null and empty
+    texts go, equal texts fare alike, an empty table gives no rows."""
     configure(spark)
     columns = docs.columns
     model = langid.fit(docs.filter(~held_out()))
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     named = langid.identify(docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(columns) if c != "text"}), model)
-    return (named.filter(F.col("lang_pred") != langid.UNKNOWN).drop("lang_pred", "score")
+    return (named.filter("accepted").drop("lang_pred", "score", "accepted")
             .withColumnsRenamed({f"_{i}": c for i, c in enumerate(columns)}).select(*columns))
 
 
@@ -60,7 +62,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that an earlier 100-byte string covers. A
     character of which a byte is cut goes whole; a document that loses
-    everything goes."""
+    everything goes, one that was empty stays. Null text stays null,
+    repeated rows fare alike, an empty table gives no rows."""
     configure(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text", "kept")]
     cut = suffix_dedup.repeated_spans(docs, carry=others, as_text=True)
@@ -69,7 +72,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 4096 tokens, with their ids."""
+    """Pieces of the documents in windows of 4096 tokens, with their ids. Null
+    and empty texts are their end token alone, repeated rows are packed each,
+    texts longer than a window lie in several, an empty table gives no rows."""
     configure(spark)
     return packing.pack(docs, TOKENIZER, end_id=2)
 
