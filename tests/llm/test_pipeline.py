@@ -1,12 +1,13 @@
 """The pipeline: each stage judged on its own input, against plain versions."""
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from conftest import SF001
+from conftest import SF001, SF01
 from eraspark.session import materialize
 
 
@@ -35,6 +36,19 @@ def test_language_stage_keeps_all_with_letters(stages):
     assert {r.doc_id for r in out.collect()} == want
 
 
+def test_language_stage_drops_unlearnt_languages(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    odd = ["Быстрая коричневая лиса прыгает через ленивую собаку и потом долго спит под деревом. " * 5,
+           "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。何でも薄暗い所で泣いていた事だけは記憶している。" * 3]
+    # Their lang is null, or (held out by its id) one that nothing was learnt of.
+    held = next(i for i in range(10**6, 10**6 + 99) if zlib.crc32(str(i).encode()) % 4 == 2)
+    extra = spark.createDataFrame([(10**7, odd[0], None, "web", 1), (held, odd[1], "ja", "web", 1)], docs.schema)
+    out = C.language_id(spark, docs.unionByName(extra), SF01)
+    want = {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+    got = {r.doc_id for r in out.collect()}
+    assert got <= want and len(want - got) <= 0.005 * len(want)
+
+
 def test_line_stage(stages):
     docs, out = stages[1]
     before = {r.doc_id: r for r in docs.collect()}
