@@ -112,7 +112,7 @@ def test_planted_near_copies_are_found(spark):
     # 500 words, 11 of them changed: 441 of 551 different shingles in common.
     rng = random.Random(3)
     rows = []
-    for k in range(120):
+    for k in range(400):
         words = [f"w{rng.randrange(10**9)}" for _ in range(500)]
         rows.append((k, 0, " ".join(words)))
         for place in range(20, 500, 45):
@@ -123,4 +123,4 @@ def test_planted_near_copies_are_found(spark):
     found = simhash.within(prints.filter("form = 1"), prints.filter("form = 0"))
     pairs = (found.join(prints.filter("form = 0").select("k", F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo")), ["q_hi", "q_lo"])
              .join(prints.filter("form = 1").select(F.col("k").alias("other"), "hi", "lo"), ["hi", "lo"]).collect())
-    assert all(r.k == r.other for r in pairs) and len(pairs) >= 0.88 * 120
+    assert all(r.k == r.other for r in pairs) and len(pairs) >= 0.9 * 400, len(pairs)
