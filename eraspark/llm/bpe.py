@@ -249,9 +249,10 @@ def spec_of(spark, path: str):
 def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids",
            library_merges: bool = False, decoded_col: str | None = None) -> DataFrame:
     """``df`` with ``ids_col`` (binary, little-endian unsigned 32-bit) next to
-    its own columns; with ``decoded_col``, also what those ids decode to. Null text encodes as the empty text; a column already
-    named ``ids_col`` is replaced. Every row is encoded by itself, so repeated
-    rows and any order give the same ids."""
+    its own columns; with ``decoded_col``, also what those ids decode to. Null
+    text encodes as the empty text; columns already named so are replaced. Every
+    row is encoded by itself and whole, however long, so repeated rows and any
+    order give the same ids. An empty table gives no rows."""
     import pyarrow as pa
     from .common import slices
     more = [ids_col] + [decoded_col] * bool(decoded_col)
@@ -274,7 +275,9 @@ def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str =
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``df`` with the text of its packed ids; null ids decode as empty."""
+    """``df`` with the text of its packed ids; null ids decode as empty. A column
+    already named ``out_col`` is replaced. Every row is decoded by itself and
+    whole. An empty table gives no rows."""
     import pyarrow as pa
     from .common import slices
     df = df.drop(out_col)

@@ -21,8 +21,9 @@ and is read on the other, where it has not seen the positives.
 The weights are the mean of the later steps, whose rate falls to zero.
 Nothing is sampled: statistics, quantiles, prior and every gradient are sums
 over all rows that Spark computes and adds up; the driver sees one number for
-each weight. Sums are added as integers, so the result does not depend on the
-order in which tasks end.
+each weight. Sums are added as integers, whatever the order in which tasks end;
+the quantiles are Spark's approximate ones, which may differ a little with that
+order once a statistic has more distinct values than their accuracy.
 """
 
 from __future__ import annotations

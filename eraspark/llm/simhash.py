@@ -111,7 +111,9 @@ def _masks(a: int, b: int) -> tuple[int, int]:
 def within(fingerprints_: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All (q_hi, q_lo, hi, lo, distance) with a distance of at most
     ``radius``, from the distinct fingerprints (hi, lo) of both tables; each
-    pair comes once, from the first block on which it nearly agrees."""
+    pair comes once, from the first block on which it nearly agrees. Repeated
+    rows count once, other columns are ignored, and where either table is empty
+    there are no pairs."""
     flips = 0 if radius <= EQUAL_RADIUS else FLIPS
     n = radius // (flips + 1) + 1
     cuts = _cuts(n)

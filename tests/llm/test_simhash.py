@@ -124,3 +124,10 @@ def test_planted_near_copies_are_found(spark):
     pairs = (found.join(prints.filter("form = 0").select("k", F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo")), ["q_hi", "q_lo"])
              .join(prints.filter("form = 1").select(F.col("k").alias("other"), "hi", "lo"), ["hi", "lo"]).collect())
     assert all(r.k == r.other for r in pairs) and len(pairs) >= 0.9 * 400, len(pairs)
+
+
+def test_search_in_empty_repeated_and_wider_tables(spark):
+    df = spark.createDataFrame([(1, 2, "x", 7), (1, 2, "x", 8), (-1, 5, None, 9)], "hi long, lo long, blocks string, distance int")
+    got = [(r.q_hi, r.q_lo, r.hi, r.lo, r.distance) for r in simhash.within(df, df).collect()]
+    assert sorted(got) == [(-1, 5, -1, 5, 0), (1, 2, 1, 2, 0)]
+    assert simhash.within(df.limit(0), df).count() == 0 and simhash.within(df, df.limit(0)).count() == 0
