@@ -38,58 +38,104 @@ def test_base_rules_random():
         assert P.base_rules(text.encode()) == base(text)
 
 
-def kneser_ney(texts):
-    """P(symbol | three before) of interpolated modified Kneser-Ney, by definition."""
-    grams = Counter()
-    for t in texts:
-        code, _ = P.codes([t])
-        for c in code.tolist():
-            grams[tuple(c >> (6 * (3 - j)) & 63 for j in range(4))] += 1
-    counts = {4: grams}
-    for k in (3, 2, 1):
+def symbols(text):
+    """Symbols of a text by the docstring's rules, four start symbols before."""
+    out = [0] * 4
+    for ch in text.encode():
+        ch = ord("0") if chr(ch) in "0123456789" and ch < 128 else 32 if ch in (9, 11, 12, 13) else ch or 1
+        if len(out) > 4 and ch == out[-1] and ch < 128 and not chr(ch).isalnum():
+            continue
+        out.append(ch)
+    return tuple(out)
+
+
+def bits_by_definition(texts):
+    """Mean bits of every text: interpolated modified Kneser-Ney over document
+    counts, the text's own count taken out of the highest order."""
+    rows = [symbols(t) for t in texts]
+    grams = [Counter(r[i:i + 5] for i in range(len(r) - 4)) for r in rows]
+    counts = {5: Counter(g for row in grams for g in row)}
+    for k in (4, 3, 2, 1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
-    disc = {}
+    disc = {k: P.discounts([sum(n == i for n in c.values()) for i in (1, 2, 3, 4)]) for k, c in counts.items()}
+    extensions = {k: defaultdict(list) for k in counts}
     for k, c in counts.items():
-        disc[k] = P._discounts(np.asarray(list(c.values())))
-    total, kinds = {}, {}
-    for k, c in counts.items():
-        total[k], kinds[k] = Counter(), defaultdict(lambda: [0, 0, 0, 0])
         for g, n in c.items():
-            total[k][g[:-1]] += n
-            kinds[k][g[:-1]][min(n, 3)] += 1
+            extensions[k][g[:-1]].append((g, n))
 
-    def prob(g):
+    def prob(g, own=0):
         if not g:
-            return 1 / 64
-        k, c = len(g), counts[len(g)]
-        h = g[:-1]
-        if h not in total[k]:
+            return 1 / 256
+        k = len(g)
+        d = disc[k]
+        ns = [n - own * (h == g) for h, n in extensions[k][g[:-1]]]
+        if not sum(ns):
             return prob(g[1:])
-        n = c.get(g, 0)
-        gamma = sum(disc[k][i] * kinds[k][h][i] for i in (1, 2, 3)) / total[k][h]
-        return (n - disc[k][min(n, 3)]) / total[k][h] + gamma * prob(g[1:])
-    return prob
+        n = counts[k][g] - own
+        return (n - d[min(n, 3)]) / sum(ns) + sum(d[min(m, 3)] for m in ns) / sum(ns) * prob(g[1:])
+    return [sum(-np.log2(prob(g, 1)) * n for g, n in row.items()) / sum(row.values()) if row else None for row in grams]
+
+
+def random_texts(rng, n):
+    return ["".join(rng.choice("abcDE  fg.\n\té12語") for _ in range(rng.randint(0, 90))) for _ in range(n)]
 
 
-def test_model_against_definition():
-    rng = random.Random(1)
-    texts = ["".join(rng.choice("abcde  fg.\n") for _ in range(rng.randint(0, 90))).encode() for _ in range(60)]
-    code, _ = P.codes(texts)
-    n = np.bincount(code, minlength=64 ** 4)
-    used = np.flatnonzero(n)
-    model, prob = P.Model(used, n[used]), kneser_ney(texts)
-    probe = np.concatenate([used[:300], np.random.default_rng(0).integers(0, 64 ** 4, 200), used[:200] ^ 5])
-    want = [np.log2(prob(tuple(c >> (6 * (3 - j)) & 63 for j in range(4)))) for c in probe.tolist()]
-    assert np.allclose(model.log2(probe), want)
-    assert np.allclose([(2 ** model.log2((c << 6) + np.arange(64))).sum() for c in (used[:20] >> 6).tolist()], 1)
+@pytest.mark.parametrize("block_bytes", [1, 400, 8 << 20])
+def test_bits_by_definition(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(P, "BLOCK_BYTES", block_bytes)
+    texts = random_texts(random.Random(1), 60) + ["", "\0a  b", "same text twice", "same text twice"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.bits for r in P.score(docs).collect()}
+    for i, want in enumerate(bits_by_definition(texts)):
+        assert got[i] is None if want is None else got[i] == pytest.approx(want, rel=1e-5)
+
+
+def test_probabilities_sum_to_one():
+    """Where every pair was seen, order 2 is a distribution over the 256
+    symbols (pairs not seen are never looked up and have no entry)."""
+    rng = np.random.default_rng(0)
+    common = P.Shared(rng.integers(1, 5, (256, 256)), {k: [9, 5, 3, 2] for k in (3, 4, 5)})
+    assert np.allclose(common.two.sum(axis=1), 1)
 
 
 def test_counts_cover_all_documents(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
-    code, n = P.count(docs)
-    want, _ = P.codes([(r.text or "").encode() for r in docs.collect()])
-    total = np.bincount(want, minlength=64 ** 4)
-    assert code.tolist() == np.flatnonzero(total).tolist() and n.tolist() == total[code].tolist()
+    pairs = P.model(P.blocks(docs).filter("pair >= 0"))
+    got = {}
+    for r in pairs.collect():
+        got |= dict(zip((r.pair << 24 | P._ints(r.grams)).tolist(), np.frombuffer(r.n, "<i8").tolist()))
+    want = Counter(c for r in docs.collect() for c in set(P.codes((r.text or "").encode()).tolist()))
+    assert got == want
+
+
+def test_model_grows_with_the_corpus(spark):
+    """Twice the texts of unrelated letters give about twice the 5-grams."""
+    rng = np.random.default_rng(3)
+    texts = [(i, "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 400)))) for i in range(40)]
+    sizes = [sum(len(r.grams) for r in P.model(P.blocks(spark.createDataFrame(texts[:n], "doc_id long, text string")).filter("pair >= 0")).collect())
+             for n in (20, 40)]
+    assert sizes[1] > 1.8 * sizes[0]
+
+
+def test_shuffled_and_foreign_texts_are_rejected(spark):
+    """Probes made from documents labelled good: their words in random order,
+    random letters, other scripts. The good documents themselves stay."""
+    rng = random.Random(5)
+    rows = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text", "lang").collect()
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF01}/labels.parquet").collect()}
+    good = [r for r in rows if quality.get(r.doc_id) == 1 and len((r.text or "").split()) >= 40]
+    probes = {"shuffled": [], "letters": [], "cyrillic": []}
+    for r in rng.sample(good, 20):
+        words = r.text.split()
+        probes["letters"].append((" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in w) for w in words), r.lang))
+        probes["cyrillic"].append((" ".join("".join(chr(rng.randint(0x430, 0x44F)) for _ in w) for w in words), r.lang))
+        rng.shuffle(words)
+        probes["shuffled"].append((" ".join(words), r.lang))
+    extra = [(-1 - i, t, lang) for i, (t, lang) in enumerate(x for kind in probes.values() for x in kind)]
+    kept = {r.doc_id: r.kept for r in P.quality_rules(spark.createDataFrame([tuple(r) for r in rows] + extra, "doc_id long, text string, lang string")).collect()}
+    share = [sum(kept[-1 - i] for i in range(k, k + 20)) / 20 for k in (0, 20, 40)]
+    assert share[0] <= 0.3 and share[1] <= 0.1 and share[2] <= 0.1, share
+    assert sum(kept[r.doc_id] for r in good) >= 0.95 * len(good)
 
 
 def test_query_base_figures_and_verdict(spark):
