@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import materialize, materialize_bucketed
 from .common import returning, utf8
 from .jaccard import word_hashes
 
@@ -202,7 +202,7 @@ def blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for k, c in enumerate(FIGURES):
                 part = part.append_column(c, pa.array([r[k] for r in rules], pa.int64()))
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                 out.write_table(part)
             code, n = document_counts(texts)
             pair, lo = np.unique(code >> 24, return_index=True)
@@ -312,13 +312,14 @@ def score(docs: DataFrame, text_col: str = "text") -> DataFrame:
     (mean negative log2 probability of a symbol; null for texts without one)."""
     import pyarrow as pa
     docs = docs.drop(*FIGURES, "bits", "base_failed", "kept")
-    table = materialize(blocks(docs, text_col), keep_partitioning=False)
+    # Bucketed by block, so that the documents stay where they are and only
+    # the answers are shuffled to them.
+    table = materialize_bucketed(blocks(docs, text_col), "block")
     asked = table.filter("pair >= 0").select("block", "pair", "grams", "n")
     pairs = materialize(model(asked), keep_partitioning=False)
-    replies = answers(pairs, asked, shared(pairs))
-    rows = (replies.withColumn("payload", F.lit(None).cast("binary"))
-            .unionByName(table.filter("pair < 0").select("block", "pair", F.lit(None).cast("binary").alias("logp"), "payload"))
-            .repartition("block").sortWithinPartitions("block", "pair"))
+    replies = (answers(pairs, asked, shared(pairs)).groupBy("block")
+               .agg(F.sort_array(F.collect_list(F.struct("pair", "logp"))).getField("logp").alias("logp")))
+    rows = table.filter("pair < 0").select("block", "payload").join(replies.hint("merge"), "block", "left").select("payload", "logp")
     schema = T.StructType([f for f in docs.schema if f.name != text_col]
                           + [T.StructField(c, T.LongType()) for c in FIGURES] + [T.StructField("bits", T.DoubleType())])
 
@@ -331,17 +332,9 @@ def score(docs: DataFrame, text_col: str = "text") -> DataFrame:
         yield from part.drop_columns([text_col]).append_column("bits", pa.array(bits, pa.float64())).to_batches()
 
     def run(batches):
-        payload, logp = None, []
         for batch in batches:
-            for p, values in zip(batch.column("payload"), batch.column("logp")):
-                if p.is_valid:
-                    if payload is not None:
-                        yield from scored(payload, logp)
-                    payload, logp = p.as_py(), []
-                else:
-                    logp.append(values.as_py())
-        if payload is not None:
-            yield from scored(payload, logp)
+            for payload, logp in zip(batch.column("payload"), batch.column("logp")):
+                yield from scored(payload.as_py(), logp.as_py() or [])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return rows.mapInArrow(returning(run, "payload"), schema).withColumn("base_failed", failed)
 
