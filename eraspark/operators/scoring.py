@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.text import sigmoid
 
 SCORE_DIGITS = 9
+# Coefficients of all classes broadcast to the weights, at most: 16 MB and the terms.
+COEF_BROADCAST_MAX = 2_000_000
 
 
 def centroid_model(weights: DataFrame, docs: DataFrame, cls: str, digits: int = SCORE_DIGITS):
@@ -34,15 +36,18 @@ def centroid_model(weights: DataFrame, docs: DataFrame, cls: str, digits: int =
 
 
 def score_linear(weights: DataFrame, coef: DataFrame, intercept: DataFrame, docs: DataFrame,
-                 doc: str, classes, digits: int = SCORE_DIGITS) -> DataFrame:
+                 doc: str, classes, digits: int = SCORE_DIGITS, max_features: int | None = None) -> DataFrame:
     """(doc, class, score) for every document and every model class.
-    Documents without a known term still get sigmoid(intercept)."""
+    Documents without a known term still get sigmoid(intercept). A model has one
+    row for each vocabulary term: when their number is bounded (by ``max_features``)
+    they are broadcast, and the (doc, term) rows stay where they are."""
     classes = list(classes)
+    small = max_features is not None and max_features * len(classes) <= COEF_BROADCAST_MAX
     # One row for each term with its coefficients in class order, so a (doc,
     # term) row stays one row: k sums for a document, then k scores.
     by_class = [F.sum(F.when(F.col("class") == c, F.col("coef")).otherwise(0.0)).alias(f"_c{i}") for i, c in enumerate(classes)]
     c = coef.filter(F.col("class").isin(*classes)).groupBy("term").agg(*by_class)
-    dots = (weights.select(doc, "term", "weight").join(c, "term", "inner").groupBy(doc)
+    dots = (weights.select(doc, "term", "weight").join(F.broadcast(c) if small else c, "term", "inner").groupBy(doc)
             .agg(*(F.sum(F.col("weight") * F.col(f"_c{i}")).alias(f"_d{i}") for i in range(len(classes)))))
     each = F.array(*(F.struct(F.lit(c).alias("class"), F.coalesce(F.col(f"_d{i}"), F.lit(0.0)).alias("dot")) for i, c in enumerate(classes)))
     rows = docs.select(doc).join(dots, doc, "left").select(doc, F.explode(each).alias("_s")).select(doc, "_s.*")

@@ -10,7 +10,7 @@ from ..functions import text as TX
 from ..operators import analytics as A
 from ..operators import metrics as M
 from ..operators import scoring as SC
-from ..operators.features import fit_tfidf, transform_tfidf
+from ..operators.features import fit_tfidf, term_stats, transform_tfidf
 from ..operators.sampling import split_random
 from ..session import materialize, materialize_bucketed
 from ..sources.tables import songs
@@ -28,21 +28,34 @@ TOPK = 3
 class Ctx:
     """Documents, TF-IDF features and the derived linear models of one run."""
 
-    def __init__(self, spark, sf_dir):
+    def __init__(self, spark, sf_dir, both=False):
+        """``both``: plain and sublinear features will be asked for."""
         self.docs = materialize_bucketed(A.prepare_era_docs(songs(spark, sf_dir), extra=("tag",)),
                                          "text_key")
         self.n_docs = self.docs.count()
+        self.both = both
         self._cache = {}
 
+    def stats(self):
+        """Term statistics, which the fits of any vocabulary size share."""
+        if "stats" not in self._cache:
+            self._cache["stats"] = term_stats(self.docs, "text_key", "clean_lyrics", MIN_DF)
+        return self._cache["stats"]
+
     def weights(self, sublinear=False):
         """TF-IDF rows, materialised: the model fit and the scoring both
-        read them, so documents are tokenised once per feature variant."""
+        read them, so documents are tokenised once, for both feature variants
+        together where both are used."""
         key = ("w", sublinear)
         if key not in self._cache:
             w, vocab = fit_tfidf(self.docs, "text_key", "clean_lyrics", V, MIN_DF,
                                  keep=("id", "song_era", "tag"), sublinear=sublinear,
-                                 n_docs=self.n_docs)
-            self._cache[key] = (materialize(w, keep_partitioning=False), vocab)
+                                 n_docs=self.n_docs, stats=self.stats(), also="other" if self.both else None)
+            columns = ["id", "song_era", "tag", "term"]
+            w = materialize(w.select(*columns, "weight", *(["other"] if self.both else [])), keep_partitioning=False)
+            self._cache[key] = (w.select(*columns, "weight"), vocab)
+            if self.both:
+                self._cache["w", not sublinear] = (w.select(*columns, F.col("other").alias("weight")), vocab)
         return self._cache[key]
 
     def model(self, cls="song_era", classes=ERAS, sublinear=False):
@@ -58,7 +71,7 @@ class Ctx:
 
     def scores(self, cls="song_era", classes=ERAS, sublinear=False):
         lw, _, coef, icpt = self.model(cls, classes, sublinear)
-        return SC.score_linear(lw, coef, icpt, self.labelled(cls, classes), "id", classes)
+        return SC.score_linear(lw, coef, icpt, self.labelled(cls, classes), "id", classes, max_features=V)
 
 
 def predictions(ctx, sublinear=False):
@@ -151,13 +164,13 @@ MGS = model_sql("h_", "tag", "docs", sublinear=True, classes=GENRES)
 def q_score_wide(spark, sf_dir):
     """Both methods' confidences a genre side by side: "bin" on sublinear
     features, "multi" on plain ones."""
-    ctx = Ctx(spark, sf_dir)
+    ctx = Ctx(spark, sf_dir, both=True)
     return SC.compare_scores({"bin": ctx.scores("tag", GENRES, sublinear=True), "multi": ctx.scores("tag", GENRES)}, "id", GENRES)
 
 
 @register("score_wide_eras", q_sql(MA, MB) + " " + _side_by_side_sql({"bin": "b_", "multi": "a_"}, ERAS))
 def q_score_wide_eras(spark, sf_dir):
-    ctx = Ctx(spark, sf_dir)
+    ctx = Ctx(spark, sf_dir, both=True)
     return SC.compare_scores({"bin": ctx.scores(sublinear=True), "multi": ctx.scores()}, "id", ERAS)
 
 
@@ -218,7 +231,7 @@ ab AS (SELECT a.id, a.class, a.score AS score_a, b.score AS score_b FROM a_score
 
 @register("join_scores_two_models", _TWO + " SELECT id, class, score_a, score_b FROM ab")
 def q_join_scores_two_models(spark, sf_dir):
-    ctx = Ctx(spark, sf_dir)
+    ctx = Ctx(spark, sf_dir, both=True)
     a = ctx.scores().select("id", "class", F.col("score").alias("score_a"))
     b = ctx.scores(sublinear=True).select("id", "class", F.col("score").alias("score_b"))
     return a.join(b, ["id", "class"], "inner")
@@ -239,7 +252,7 @@ SELECT m.id, m.class, score_a, score_b, score_mix, pa.predicted AS pred_a, pb.pr
 FROM mix m JOIN pa USING (id) JOIN pb USING (id) JOIN pm USING (id)""")
 def q_score_ensemble(spark, sf_dir):
     """Weighted scores of two models and the labels that A, B and the mix give."""
-    ctx = Ctx(spark, sf_dir)
+    ctx = Ctx(spark, sf_dir, both=True)
     return SC.ensemble_labels(SC.score_ensemble(ctx.scores(), ctx.scores(sublinear=True), "id", WA, WB), "id")
 
 
@@ -251,7 +264,7 @@ SELECT m.id,
   any_value(pa.predicted) AS pred_a, any_value(pb.predicted) AS pred_b, any_value(pm.predicted) AS pred_mix
 FROM mix m JOIN pa USING (id) JOIN pb USING (id) JOIN pm USING (id) GROUP BY m.id""")
 def q_compare_methods(spark, sf_dir):
-    ctx = Ctx(spark, sf_dir)
+    ctx = Ctx(spark, sf_dir, both=True)
     mix = SC.score_ensemble(ctx.scores(), ctx.scores(sublinear=True), "id", WA, WB)
     return SC.compare_scores({n: mix.select("id", "class", F.col(f"score_{n}").alias("score")) for n in ("a", "b", "mix")}, "id", ERAS)
 
@@ -267,8 +280,8 @@ def q_score_feature_align(spark, sf_dir):
     ctx = Ctx(spark, sf_dir)
     _, _, coef, icpt = ctx.model()
     w_small, _ = fit_tfidf(ctx.docs, "text_key", "clean_lyrics", fixed.OVR_ERA_V, MIN_DF,
-                           keep=("id",), n_docs=ctx.n_docs)
-    return SC.score_linear(w_small, coef, icpt, ctx.docs, "id", ERAS)
+                           keep=("id",), n_docs=ctx.n_docs, stats=ctx.stats())
+    return SC.score_linear(w_small, coef, icpt, ctx.docs, "id", ERAS, max_features=V)
 
 
 @register("model_width_check", q_sql(MA) + """
@@ -395,7 +408,7 @@ def q_evaluate_splits(spark, sf_dir):
     vocab = materialize(vocab, keep_partitioning=False)
     coef, icpt = SC.centroid_model(materialize(w, keep_partitioning=False), train, "song_era")
     seen = transform_tfidf(docs, vocab, "text_key", "clean_lyrics", max_features=V, keep=("id",))
-    pred = SC.argmax_label(SC.score_linear(seen, materialize(coef, keep_partitioning=False), icpt, docs, "id", ERAS), "id")
+    pred = SC.argmax_label(SC.score_linear(seen, materialize(coef, keep_partitioning=False), icpt, docs, "id", ERAS, max_features=V), "id")
     return M.accuracy_f1(pred.join(docs.select("id", "song_era", "split"), "id"), "song_era", "predicted", ERAS, by=("split",))
 
 

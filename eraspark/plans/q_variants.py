@@ -20,7 +20,7 @@ from . import sqltext as S
 from .q_features import MIN_DF, _stats, _TF
 from .q_ingest import SEARCH_SQL, search_texts, year_sql
 from .q_sampling import D, H, WITH_CLEAN, era_docs, targets_sql
-from .q_scoring import ERAS, Ctx, MA, fit_tfidf, q_sql
+from .q_scoring import ERAS, V, Ctx, MA, fit_tfidf, q_sql
 from .registry import register
 
 SMALL_CAP = 20
@@ -103,8 +103,8 @@ def q_score_feature_align_smaller(spark, sf_dir):
     """Features of a vocabulary of 300 terms under a model of all terms."""
     ctx = Ctx(spark, sf_dir)
     _, _, coef, icpt = ctx.model()
-    w, _ = fit_tfidf(ctx.docs, "text_key", "clean_lyrics", SMALL_V, MIN_DF, keep=("id",), n_docs=ctx.n_docs)
-    return SC.score_linear(w, coef, icpt, ctx.docs, "id", ERAS)
+    w, _ = fit_tfidf(ctx.docs, "text_key", "clean_lyrics", SMALL_V, MIN_DF, keep=("id",), n_docs=ctx.n_docs, stats=ctx.stats())
+    return SC.score_linear(w, coef, icpt, ctx.docs, "id", ERAS, max_features=V)
 
 
 @register("coalesce_sources_none_found", f"""WITH {SEARCH_SQL},

@@ -65,3 +65,34 @@ def test_registry_skips_incomplete_classes(spark, tmp_path):
     assert [r.coef for r in c.collect()] == [2.0] and [r["class"] for r in v.collect()] == ["b"]
     with pytest.raises(ValueError):
         SC.scan_models(coef, vocab.filter("class = 'c'"))
+
+
+def test_both_feature_kinds_from_one_pass(spark):
+    """Equal to two fits; the terms are counted once for any number of fits."""
+    from eraspark.operators import features as FE
+    docs = spark.createDataFrame([(f"d{i}", " ".join(f"word{chr(97 + (i * j) % 7)}" for j in range(1, 9))) for i in range(12)], "doc string, text string")
+    stats = FE.term_stats(docs, "doc", "text", 2)
+    both, vocab = FE.fit_tfidf(docs, "doc", "text", 20, 2, stats=stats, also="other")
+    got = {(r.doc, r.term): (r.weight, r.other) for r in both.collect()}
+    for i, sublinear in enumerate((False, True)):
+        w, v = FE.fit_tfidf(docs, "doc", "text", 20, 2, sublinear=sublinear)
+        want = {(r.doc, r.term): r.weight for r in w.collect()}
+        assert want.keys() == got.keys() and all(abs(want[k] - got[k][i]) < 1e-12 for k in want)
+        assert sorted(v.collect()) == sorted(vocab.collect())
+
+
+def test_weights_stay_where_they_are_under_a_bounded_model(spark):
+    """Only a document's sums are shuffled, and a model too large to broadcast gives the same scores."""
+    from eraspark.operators import scoring as SC
+    w = spark.createDataFrame([(i, f"t{j}", (i + j) / 10) for i in range(5) for j in range(4)], "id long, term string, weight double")
+    coef = spark.createDataFrame([(c, f"t{j}", j * k / 7) for k, c in ((1, "a"), (-1, "b")) for j in range(3)], "class string, term string, coef double")
+    icpt = spark.createDataFrame([("a", -0.5), ("b", -0.9)], "class string, intercept double")
+    docs = spark.range(6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain, bounded = (SC.score_linear(w, coef, icpt, docs, "id", ["a", "b"], max_features=m) for m in (None, 10))
+        shuffles = [d._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(term") for d in (plain, bounded)]
+        assert shuffles[0] == 2 and shuffles[1] == 1            # the coefficients' own grouping
+        assert sorted(plain.collect()) == sorted(bounded.collect()) and bounded.count() == 12
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
