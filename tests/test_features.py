@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -69,3 +70,26 @@ def test_cutoff_total_equals_a_sort(spark, monkeypatch, totals, radix):
     k = 1 + len(totals) // 2
     want = sorted(totals, reverse=True)[k - 1]
     assert FE.cutoff_total(df, "total", k) == (want, sum(t > want for t in totals))
+
+
+def test_doc_embedding_mean_sends_no_vector_per_pair(spark, monkeypatch):
+    """Documents of rare words, null ids and words without a vector, in tasks of
+    a few documents: the means by definition, and no vector column summed by document."""
+    rng = np.random.default_rng(3)
+    words = {f"w{i}": rng.normal(size=5).tolist() for i in range(300)}
+    docs = {d: {f"w{i}": int(c) for i, c in zip(rng.choice(330, 40, replace=False), rng.integers(1, 4, 40))} for d in [None, *range(60)]}
+    docs[60] = {"x": 2}
+    pairs = spark.createDataFrame([(d, w, c) for d, ws in docs.items() for w, c in ws.items()], "doc long, token string, n long")
+    vecs = spark.createDataFrame([(w, 50 if w == "w7" else 1, v) for w, v in words.items()], "token string, n long, vector array<float>")
+    monkeypatch.setattr(FE, "SUM_BYTES", 8 * 5 * 4)
+    single = {w: np.asarray(v, np.float32).astype(float) for w, v in words.items()}
+    for head in (1, 20, 1000):
+        out = FE.doc_embedding_mean(pairs, vecs, dim=5, head=head)
+        assert "aggregate_metrics" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.doc: r.embedding for r in out.collect()}
+        assert set(got) == set(docs) and got[60] == got[None] == [0.0] * 5
+        for d, ws in docs.items():
+            mine = [(c, single[w]) for w, c in ws.items() if w in single]
+            if mine and d is not None:
+                want = sum(c * v for c, v in mine) / sum(c for c, _ in mine)
+                assert np.allclose(got[d], want, atol=1e-12)
