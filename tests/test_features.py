@@ -80,16 +80,22 @@ def test_doc_embedding_mean_sends_no_vector_per_pair(spark, monkeypatch):
     docs = {d: {f"w{i}": int(c) for i, c in zip(rng.choice(330, 40, replace=False), rng.integers(1, 4, 40))} for d in [None, *range(60)]}
     docs[60] = {"x": 2}
     pairs = spark.createDataFrame([(d, w, c) for d, ws in docs.items() for w, c in ws.items()], "doc long, token string, n long")
-    vecs = spark.createDataFrame([(w, 50 if w == "w7" else 1, v) for w, v in words.items()], "token string, n long, vector array<float>")
+    vecs = spark.createDataFrame([(w, 50 if w == "w7" else 1, v) for w, v in words.items()]
+                                 + [("w8", 1, [9.0] * 5), ("w9", 1, [7.0] * 5), ("w9", 1, [-1.0] * 5), ("x", 1, None)], "token string, n long, vector array<float>")
     monkeypatch.setattr(FE, "SUM_BYTES", 8 * 5 * 4)
-    single = {w: np.asarray(v, np.float32).astype(float) for w, v in words.items()}
-    for head in (1, 20, 1000):
+    single = {w: [np.asarray(v, np.float32).astype(float)] for w, v in words.items()}
+    single["w8"].append(np.full(5, 9.0))
+    single["w9"] += [np.full(5, 7.0), np.full(5, -1.0)]
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for head, size in ((1, 3), (20, 7), (1000, 2000)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
         out = FE.doc_embedding_mean(pairs, vecs, dim=5, head=head)
         assert "aggregate_metrics" not in out._jdf.queryExecution().executedPlan().toString()
         got = {r.doc: r.embedding for r in out.collect()}
         assert set(got) == set(docs) and got[60] == got[None] == [0.0] * 5
         for d, ws in docs.items():
-            mine = [(c, single[w]) for w, c in ws.items() if w in single]
+            mine = [(c, v) for w, c in ws.items() for v in single.get(w, [])]
             if mine and d is not None:
                 want = sum(c * v for c, v in mine) / sum(c for c, _ in mine)
                 assert np.allclose(got[d], want, atol=1e-12)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
