@@ -63,8 +63,8 @@ def pack(ids: np.ndarray, doc_ids: list, doc_ends: list) -> bytes:
     rest = ids.astype(_kind(levels))
     for level in range(levels):
         bits = (rest & rest.dtype.type(1 << (levels - 1 - level))).astype(bool)
-        ones = np.add.reduceat(bits, np.arange(0, n, BLOCK_BITS), dtype=np.int64) if n else np.zeros(0, np.int64)
-        before = np.concatenate([[0], np.cumsum(ones)]).astype("<i8")
+        ones = [np.count_nonzero(bits[k:k + BLOCK_BITS]) for k in range(0, n, BLOCK_BITS)]
+        before = np.cumsum([0, *ones]).astype("<i8")
         plane = np.packbits(bits).tobytes()
         blocks = [squeeze(plane[k:k + BLOCK_BITS // 8]) for k in range(0, len(plane), BLOCK_BITS // 8)]
         put(f"ones{level}", before.tobytes())
