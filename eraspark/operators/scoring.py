@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sigmoid
+from ..session import materialize
 
 SCORE_DIGITS = 9
 # Coefficients of all classes broadcast to the weights, at most: 16 MB and the terms.
@@ -24,15 +25,22 @@ def centroid_model(weights: DataFrame, docs: DataFrame, cls: str, digits: int =
     mean weight of the term over the class's documents (nearest-centroid
     scoring), intercept = ln(class share). Returns (coef, intercept) tables
     (class, term, coef) and (class, intercept)."""
+    coefs, intercept = centroid_models(weights, docs, cls, ["weight"], digits)
+    return coefs.select("class", "term", F.col("weight").alias("coef")), intercept
+
+
+def centroid_models(weights: DataFrame, docs: DataFrame, cls: str, columns, digits: int = SCORE_DIGITS):
+    """:func:`centroid_model` on each of the weights' ``columns`` from one pass:
+    (class, term, *columns) and (class, intercept)."""
     n_cls = docs.filter(F.col(cls).isNotNull()).groupBy(F.col(cls).alias("class")) \
         .agg(F.count(F.lit(1)).alias("_nc"))
     n_all = docs.filter(F.col(cls).isNotNull()).select(F.count(F.lit(1))).scalar()
     sums = weights.filter(F.col(cls).isNotNull()).groupBy(F.col(cls).alias("class"), "term") \
-        .agg(F.sum("weight").alias("_s"))
-    coef = sums.join(F.broadcast(n_cls), "class", "inner").select(
-        "class", "term", F.round(F.col("_s") / F.col("_nc"), digits).alias("coef"))
+        .agg(*(F.sum(c).alias(c) for c in columns))
+    coefs = sums.join(F.broadcast(n_cls), "class", "inner").select(
+        "class", "term", *(F.round(F.col(c) / F.col("_nc"), digits).alias(c) for c in columns))
     intercept = n_cls.select("class", F.round(F.log(F.col("_nc") / n_all), digits).alias("intercept"))
-    return coef, intercept
+    return coefs, intercept
 
 
 def score_linear(weights: DataFrame, coef: DataFrame, intercept: DataFrame, docs: DataFrame,
@@ -41,19 +49,34 @@ def score_linear(weights: DataFrame, coef: DataFrame, intercept: DataFrame, docs
     Documents without a known term still get sigmoid(intercept). A model has one
     row for each vocabulary term: when their number is bounded (by ``max_features``)
     they are broadcast, and the (doc, term) rows stay where they are."""
-    classes = list(classes)
-    small = max_features is not None and max_features * len(classes) <= COEF_BROADCAST_MAX
+    coefs = coef.withColumnRenamed("coef", "weight")
+    return score_linears(weights.select(doc, "term", "weight"), coefs, intercept, docs, doc, classes, digits, max_features)["weight"]
+
+
+def score_linears(weights: DataFrame, coefs: DataFrame, intercept: DataFrame, docs: DataFrame,
+                  doc: str, classes, digits: int = SCORE_DIGITS, max_features: int | None = None) -> dict[str, DataFrame]:
+    """The scores of several models of the same classes and terms, by name: a
+    model has a column of that name in ``weights`` (doc, term, ...) and in
+    ``coefs`` (class, term, ...). The rows are summed once for all models, and
+    kept when there are several."""
+    classes, models = list(classes), [c for c in weights.columns if c in coefs.columns and c not in (doc, "class", "term")]
+    small = max_features is not None and max_features * len(classes) * len(models) <= COEF_BROADCAST_MAX
     # One row for each term with its coefficients in class order, so a (doc,
     # term) row stays one row: k sums for a document, then k scores.
-    by_class = [F.sum(F.when(F.col("class") == c, F.col("coef")).otherwise(0.0)).alias(f"_c{i}") for i, c in enumerate(classes)]
-    c = coef.filter(F.col("class").isin(*classes)).groupBy("term").agg(*by_class)
-    dots = (weights.select(doc, "term", "weight").join(F.broadcast(c) if small else c, "term", "inner").groupBy(doc)
-            .agg(*(F.sum(F.col("weight") * F.col(f"_c{i}")).alias(f"_d{i}") for i in range(len(classes)))))
-    each = F.array(*(F.struct(F.lit(c).alias("class"), F.coalesce(F.col(f"_d{i}"), F.lit(0.0)).alias("dot")) for i, c in enumerate(classes)))
-    rows = docs.select(doc).join(dots, doc, "left").select(doc, F.explode(each).alias("_s")).select(doc, "_s.*")
-    # A row for each class: broadcast. A class without training rows has no intercept, so no score.
-    return (rows.join(F.broadcast(intercept), "class", "inner")
-            .select(doc, "class", F.round(sigmoid(F.col("dot") + F.col("intercept")), digits).alias("score")))
+    places = [(m, i, c) for m in models for i, c in enumerate(classes)]
+    by_class = [F.sum(F.when(F.col("class") == c, F.col(m)).otherwise(0.0)).alias(f"_c{i}_{m}") for m, i, c in places]
+    c = coefs.filter(F.col("class").isin(*classes)).groupBy("term").agg(*by_class)
+    dots = (weights.select(doc, "term", *models).join(F.broadcast(c) if small else c, "term", "inner").groupBy(doc)
+            .agg(*(F.sum(F.col(m) * F.col(f"_c{i}_{m}")).alias(f"_d{i}_{m}") for m, i, _ in places)))
+    dots = materialize(dots, keep_partitioning=False) if len(models) > 1 else dots
+    out = {}
+    for m in models:
+        each = F.array(*(F.struct(F.lit(c).alias("class"), F.coalesce(F.col(f"_d{i}_{m}"), F.lit(0.0)).alias("dot")) for i, c in enumerate(classes)))
+        rows = docs.select(doc).join(dots, doc, "left").select(doc, F.explode(each).alias("_s")).select(doc, "_s.*")
+        # A row for each class: broadcast. A class without training rows has no intercept, so no score.
+        out[m] = (rows.join(F.broadcast(intercept), "class", "inner")
+                  .select(doc, "class", F.round(sigmoid(F.col("dot") + F.col("intercept")), digits).alias("score")))
+    return out
 
 
 def argmax_label(scores: DataFrame, doc: str, cls: str = "class", score: str = "score",

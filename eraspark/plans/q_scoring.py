@@ -10,7 +10,7 @@ from ..functions import text as TX
 from ..operators import analytics as A
 from ..operators import metrics as M
 from ..operators import scoring as SC
-from ..operators.features import fit_tfidf, term_stats, transform_tfidf
+from ..operators.features import distinct_term_stats, fit_tfidf, tfidf_arrays, transform_tfidf
 from ..operators.sampling import split_random
 from ..session import materialize, materialize_bucketed
 from ..sources.tables import songs
@@ -39,39 +39,61 @@ class Ctx:
     def stats(self):
         """Term statistics, which the fits of any vocabulary size share."""
         if "stats" not in self._cache:
-            self._cache["stats"] = term_stats(self.docs, "text_key", "clean_lyrics", MIN_DF)
+            self._cache["stats"] = distinct_term_stats(self.docs, "clean_lyrics", MIN_DF)
         return self._cache["stats"]
 
-    def weights(self, sublinear=False):
-        """TF-IDF rows, materialised: the model fit and the scoring both
-        read them, so documents are tokenised once, for both feature variants
-        together where both are used."""
-        key = ("w", sublinear)
-        if key not in self._cache:
-            w, vocab = fit_tfidf(self.docs, "text_key", "clean_lyrics", V, MIN_DF,
-                                 keep=("id", "song_era", "tag"), sublinear=sublinear,
-                                 n_docs=self.n_docs, stats=self.stats(), also="other" if self.both else None)
-            columns = ["id", "song_era", "tag", "term"]
-            w = materialize(w.select(*columns, "weight", *(["other"] if self.both else [])), keep_partitioning=False)
-            self._cache[key] = (w.select(*columns, "weight"), vocab)
+    def features(self, sublinear=False):
+        """(rows, index, vocab, column): a row of term numbers and weights for
+        each document, materialised, since the model fit and the scoring both
+        read them; the numbers' terms; the vocabulary; the weights' column. Made
+        once for both feature variants together where both are used."""
+        if ("f", sublinear) not in self._cache:
+            _, vocab = fit_tfidf(self.docs, "text_key", "clean_lyrics", V, MIN_DF, n_docs=self.n_docs, stats=self.stats())
+            vocab = materialize(vocab, keep_partitioning=False)
+            rows, index = tfidf_arrays(self.docs, vocab, "clean_lyrics", ("id", "song_era", "tag"), sublinear=sublinear, also="other" if self.both else None)
+            rows = materialize(rows, keep_partitioning=False)
+            self._cache["f", sublinear] = rows, index, vocab, "weight"
             if self.both:
-                self._cache["w", not sublinear] = (w.select(*columns, F.col("other").alias("weight")), vocab)
-        return self._cache[key]
+                self._cache["f", not sublinear] = rows, index, vocab, "other"
+        return self._cache["f", sublinear]
+
+    def weights(self, rows, *columns):
+        """(id, song_era, tag, term number, weights) rows of :meth:`features`."""
+        each = rows.select("id", "song_era", "tag", F.explode(F.arrays_zip("terms", *columns)).alias("_e"))
+        return each.select("id", "song_era", "tag", F.col("_e.terms").alias("term"), *(F.col(f"_e.{c}").alias(c) for c in columns))
 
     def model(self, cls="song_era", classes=ERAS, sublinear=False):
         """Features fitted on every document; the model on the documents of
         the listed classes only."""
-        w, vocab = self.weights(sublinear)
-        lw = w.filter(F.col(cls).isin(*classes))
+        rows, index, vocab, column = self.features(sublinear)
+        lw = self.weights(rows.filter(F.col(cls).isin(*classes)), column).withColumnRenamed(column, "weight")
         coef, icpt = SC.centroid_model(lw, self.labelled(cls, classes), cls)
-        return lw, vocab, coef, icpt
+        terms = F.broadcast(index.withColumnRenamed("term", "_w"))             # V rows
+        named = lambda d: d.join(terms, F.col("term") == F.col("idx")).drop("term", "idx").withColumnRenamed("_w", "term")
+        return named(lw), vocab, named(coef), icpt
 
     def labelled(self, cls, classes):
         return self.docs.filter(F.col(cls).isin(*classes))
 
     def scores(self, cls="song_era", classes=ERAS, sublinear=False):
-        lw, _, coef, icpt = self.model(cls, classes, sublinear)
-        return SC.score_linear(lw, coef, icpt, self.labelled(cls, classes), "id", classes, max_features=V)
+        """Where both feature variants are used, one pass sums both models'
+        coefficients and one scores both; those scores are kept."""
+        if not self.both:
+            return self._scored(cls, classes, {"weight": sublinear})["weight"]
+        key = ("s", cls, tuple(classes))
+        if key not in self._cache:
+            columns = {self.features(sub)[3]: sub for sub in (False, True)}
+            found = self._scored(cls, classes, columns)
+            self._cache[key] = {sub: found[c] for c, sub in columns.items()}
+        return self._cache[key][sublinear]
+
+    def _scored(self, cls, classes, columns):
+        """The scores of the models on each of the weights' ``columns`` (name ->
+        sublinear or not)."""
+        rows = self.features(next(iter(columns.values())))[0]
+        lw = self.weights(rows.filter(F.col(cls).isin(*classes)), *columns)
+        coefs, icpt = SC.centroid_models(lw, self.labelled(cls, classes), cls, list(columns))
+        return SC.score_linears(lw, coefs, icpt, self.labelled(cls, classes), "id", classes, max_features=V)
 
 
 def predictions(ctx, sublinear=False):

@@ -99,3 +99,31 @@ def test_doc_embedding_mean_sends_no_vector_per_pair(spark, monkeypatch):
                 want = sum(c * v for c, v in mine) / sum(c for c, _ in mine)
                 assert np.allclose(got[d], want, atol=1e-12)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_counting_by_task_equals_counting_by_document(spark, monkeypatch):
+    """Stats and weights made where documents are read are those of the grouped
+    rows, and need no shuffle or sort by document."""
+    monkeypatch.setattr(FE, "COUNT_TOKENS", 7)
+    texts = ["love love night sky", "", None, "night sky blue love love", "sky", "a b", "zzz qqq zzz qqq", "été night été night"] * 2
+    docs = spark.createDataFrame([(f"k{i}", i, t) for i, t in enumerate(texts)], "doc string, id long, text string")
+    for min_df, ngram_max in ((1, 2), (3, 2)):
+        stats = FE.distinct_term_stats(docs, "text", min_df)
+        assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, FE.term_stats(docs, "doc", "text", min_df).collect()))
+        long, vocab = FE.fit_tfidf(docs, "doc", "text", 6, min_df, stats=stats, also="other", keep=("id",))
+        rows, index = FE.tfidf_arrays(docs, vocab, "text", ("id",), also="other")
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        terms = [r.term for r in index.orderBy("idx").collect()]
+        assert terms == sorted(r.term for r in vocab.collect())
+        got = {(r.id, terms[t]): (w, o) for r in rows.collect() for t, w, o in zip(r.terms, r.weight, r.other)}
+        want = {(r.id, r.term): (r.weight, r.other) for r in long.collect()}
+        assert rows.count() == len(texts) and all(r.terms == sorted(r.terms) for r in rows.collect())
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k], rtol=1e-12) for k in want)
+    empty, index = FE.tfidf_arrays(docs, vocab.filter("term = 'none'"), "text", ("id",))
+    assert index.count() == 0 and all(r.terms == [] and r.weight == [] for r in empty.collect())
+
+
+def test_counts_without_bigrams():
+    import pyarrow as pa
+    row, term, tf, terms = FE.count_terms(pa.array([["b", "a", "b"], None, [], ["a"]]), 1)
+    assert sorted(zip(row.tolist(), [terms[t].as_py() for t in term], tf.tolist())) == [(0, "a", 1), (0, "b", 2), (3, "a", 1)]
