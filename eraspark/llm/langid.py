@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import returning
 
 ORDERS = (1, 2, 3, 4)
 HASH_BITS = 17
@@ -44,8 +44,9 @@ LANDMARKS_PER_CLASS = 24
 RIDGE = 1e-3
 OWN_QUANTILE = 0.01
 CALIBRATION = 20
-# Places whose landmark rows are summed at a time.
-BLOCK = 1 << 17
+# Places whose landmark rows are summed at a time, in the cores' own memory: the
+# sum makes 32-bit copies of those rows.
+BLOCK = 1 << 13
 # Parts of a class from which the sample's candidates are picked side by side.
 PARTS = 32
 
@@ -73,7 +74,7 @@ def places(text: str, seen: np.ndarray | None = None) -> np.ndarray:
             seen[(code * np.uint32(0x85EBCA6B)) >> np.uint32(32 - HASH_BITS)] = True
     held = np.flatnonzero(seen)
     seen[held] = False
-    return held
+    return held.astype(np.int32)
 
 
 def profile(rows: list[np.ndarray]) -> np.ndarray:
@@ -121,7 +122,12 @@ class Model:
         ends = np.cumsum(sizes)
         lo = 0
         while lo < len(rows):
-            hi = max(int(np.searchsorted(ends, ends[lo] - sizes[lo] + BLOCK, "right")), lo + 1)
+            hi = int(np.searchsorted(ends, ends[lo] - sizes[lo] + BLOCK, "right"))
+            if hi <= lo:                               # one long text, some of its places after others
+                for at in range(0, sizes[lo], BLOCK):
+                    common[lo] += self.landmarks[rows[lo][at:at + BLOCK]].sum(0, dtype=np.int32)
+                lo += 1
+                continue
             # A sparse product: the landmark rows of a text's places, summed.
             part = self.landmarks[np.concatenate(rows[lo:hi])]
             common[lo:hi] = np.add.reduceat(part, ends[lo:hi] - sizes[lo:hi] - (ends[lo] - sizes[lo]), axis=0, dtype=np.int32)
@@ -198,17 +204,16 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     def run(batches):
         model, seen = held.value, np.zeros(1 << HASH_BITS, bool)
-        for batch in batches:
-            for part in slices(batch, text_col):
-                texts = [t or "" for t in part.column(text_col).to_pylist()]
-                names, scores, accepted = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-                known = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
-                if known:
-                    rows = [places(texts[i], seen) for i in known]
-                    best, scores[known] = model.score(rows)
-                    accepted[known] = model.accepts(rows, best)
-                    for i, c in zip(known, best):
-                        names[i] = model.classes[c]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(accepted)],
-                                                 names=[*part.schema.names, "lang_pred", "score", "accepted"])
-    return docs.mapInArrow(run, schema)
+        for part in batches:
+            texts = [t or "" for t in part.column(text_col).to_pylist()]
+            names, scores, accepted = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+            known = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
+            if known:
+                rows = [places(texts[i], seen) for i in known]
+                best, scores[known] = model.score(rows)
+                accepted[known] = model.accepts(rows, best)
+                for i, c in zip(known, best):
+                    names[i] = model.classes[c]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(accepted)],
+                                             names=[*part.schema.names, "lang_pred", "score", "accepted"])
+    return docs.mapInArrow(returning(run, text_col), schema)

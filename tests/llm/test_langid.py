@@ -35,6 +35,21 @@ def test_kernel_in_blocks(monkeypatch):
         assert np.array_equal(m.kernel(rows), want)
 
 
+def test_kernel_holds_little_at_a_time():
+    import tracemalloc
+    rng = np.random.default_rng(3)
+    m = L.Model.__new__(L.Model)
+    m.landmarks, m.sizes = rng.integers(0, 2, (1 << L.HASH_BITS, 96), np.uint8), np.ones(96)
+    rows = [np.flatnonzero(rng.random(1 << L.HASH_BITS) < 0.03) for _ in range(60)] + [np.arange(1 << L.HASH_BITS)]
+    tracemalloc.start()
+    got = m.kernel(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got[-1], m.landmarks.sum(0, dtype=np.int64) / 2 ** (L.HASH_BITS / 2))
+    assert np.allclose(got[5], m.landmarks[rows[5]].sum(0, dtype=np.int64) / np.sqrt(len(rows[5])))
+    assert peak < 16 << 20
+
+
 def test_scores_of_plain_kernel_ridge():
     """Every training text a landmark: kernel ridge on the sets themselves, by the dual solution."""
     rng = random.Random(3)
