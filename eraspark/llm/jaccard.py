@@ -8,10 +8,12 @@ only prefix shingles are joined, and a candidate pair must pass
 * the length filter: sizes within the threshold of each other;
 * the positional filter: what can still be common from the shared prefix
   shingle on reaches the needed overlap;
-* the suffix filter: sizes of the sets' slices by hash range differ by no
-  more than two sets with the needed overlap can;
+* the signature filter: each shingle flips one bit of its set's signature, so
+  two signatures differ in no more bits than their sets in shingles, and that
+  is no more than two sets with the needed overlap can;
 
-before the sets themselves are compared, once for each pair.
+before the sets themselves are compared, once for each pair. A signature has a
+bit or two a shingle, where the set has 64: few pairs that do not link pass.
 
 The rarity of a shingle is the count of its hash bucket over all documents
 (2**16 buckets, a fixed 512 KB). Any fixed order gives the same result; the
@@ -33,14 +35,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, freeing, materialize
 from .common import returning, slices, utf8
 from .components import components
 from .suffix_dedup import SYMBOLS, bit_table, in_table, mix, powers
 
 BUCKETS = 1 << 16
 TABLE_BITS = 27
-SLICES = 16
+# Bits of a signature at least and at most.
+LEAST_BITS, MOST_BITS = 64, 1 << 20
 LEADERS = 4
 MEMORY_ENTRIES = 1_000_000
 # Bytes of text hashed at a time.
@@ -145,29 +148,58 @@ def _sets(batches, words, *extra):
             yield sets, [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [b.column(c) for c in extra]
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """64-bit words of a set's signature: for each of a power of two of places,
+    as many as shingles at least, whether an odd number of shingles falls on it."""
+    bits = min(max(LEAST_BITS, 1 << max(len(s) - 1, 0).bit_length()), MOST_BITS)
+    odd = np.bincount((s >> 40) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _apart(column_a, column_b) -> np.ndarray:
+    """In how many bits two columns of signatures differ; the longer of two is
+    folded to the length of the shorter."""
+    sides = []
+    for column in (column_a, column_b):
+        ends = column.offsets.to_numpy()
+        sides.append((ends[:-1], np.diff(ends), column.values.to_numpy().view(np.uint64)))
+    (at_a, n_a, a), (at_b, n_b, b) = sides
+    out = np.zeros(len(n_a), np.int64)
+    for i, j in np.unique(np.stack([n_a, n_b]), axis=1).T.tolist():
+        rows, n = np.flatnonzero((n_a == i) & (n_b == j)), min(i, j)
+        step = max(1, (1 << 20) // max(i, j))
+        for lo in range(0, len(rows), step):
+            some = rows[lo:lo + step]
+            x, y = (np.bitwise_xor.reduce(values[at[some][:, None] + np.arange(k)].reshape(len(some), k // n, n), axis=1)
+                    for at, k, values in ((at_a, i, a), (at_b, j, b)))
+            out[some] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
 def members(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, node, n_shingles, slices), each row's class of equal sets and
-    the set's size by hash range, and the shingles of all documents by hash
-    bucket; all from one pass."""
+    """(doc_id, node, n_shingles, signature), each row's class of equal sets and
+    the set's signature, and the shingles of all documents by hash bucket; all
+    from one pass."""
     def run(batches):
         import pyarrow as pa
         count = np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "node", "n_shingles", "slices", "bucket"]
-        cut = pa.list_(pa.int32())
+        names = ["doc_id", "node", "n_shingles", "signature", "bucket"]
+        kept = pa.list_(pa.int64())
         for sets, nodes, (ids,) in _sets(batches, words, "doc_id"):
             if sets:
                 count += np.bincount(np.concatenate(sets) & (BUCKETS - 1), minlength=BUCKETS)
             yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([np.bincount((s >> 40) & (SLICES - 1), minlength=SLICES) for s in sets], cut),
+                                              pa.array([signature(s) for s in sets], kept),
                                               pa.nulls(len(sets), pa.int32())], names=names)
             kind = ids.type
         if (used := np.flatnonzero(count)).size:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), pa.nulls(len(used), pa.binary()), pa.array(count[used]), pa.nulls(len(used), cut),
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), pa.nulls(len(used), pa.binary()), pa.array(count[used]), pa.nulls(len(used), kept),
                                               pa.array(used, pa.int32())], names=names)
-    both = materialize(docs.mapInArrow(returning(run, "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, n_shingles long, slices array<int>, bucket int"), keep_partitioning=False)
-    rows = both.filter("bucket is not null").groupBy("bucket").agg(F.sum("n_shingles").alias("n")).toPandas()
+    both = materialize(docs.mapInArrow(returning(run, "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, n_shingles long, signature array<long>, bucket int"), keep_partitioning=False)
+    with freeing(docs.sparkSession):
+        rows = both.filter("bucket is not null").groupBy("bucket").agg(F.sum("n_shingles").alias("n")).toArrow()
     count = np.zeros(BUCKETS, np.int64)
-    count[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    count[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     # As ranks: few enough bits to sort together with the hash.
     return both.filter("bucket is null").drop("bucket"), np.unique(count, return_inverse=True)[1].astype(np.uint64)
 
@@ -181,7 +213,7 @@ def _prefix(s: np.ndarray, percent: int, order: np.ndarray) -> np.ndarray:
 def prefixes(docs: DataFrame, words: int, percent: int, count) -> DataFrame:
     """(token, node, n, pos): those prefix shingles of each class that may be
     in another prefix too. A task emits a class once; the same class from
-    several tasks is merged later."""
+    several tasks is merged."""
     def new(batches):
         done = set()
         for sets, nodes, _ in _sets(batches, words):
@@ -218,7 +250,11 @@ def prefixes(docs: DataFrame, words: int, percent: int, count) -> DataFrame:
                     [pa.array(np.concatenate(rows[0])), pa.array([x for r in rows[1] for x in r], pa.binary()),
                      pa.array(np.concatenate(rows[2])), pa.array(np.concatenate(rows[3]))], names=["token", "node", "n", "pos"])
                 rows = [[], [], [], []]
-    return docs.select("text").mapInArrow(returning(run, "text"), "token long, node binary, n int, pos int")
+    found = (docs.select("text").mapInArrow(returning(run, "text"), "token long, node binary, n int, pos int")
+             .groupBy("token", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
+    out = materialize(found, keep_partitioning=False)
+    table.destroy()
+    return out
 
 
 def _fits(percent: int, a: str, b: str):
@@ -248,33 +284,44 @@ def _sets_of(docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
                 new = [i for i, node in enumerate(nodes) if node not in done and not done.add(node)]
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in new], pa.binary()),
                                                   pa.array([sets[i] for i in new], pa.list_(pa.int64()))], names=["node", "shingles"])
-    return docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(returning(run, "text"), "node binary, shingles array<long>")
+    out = materialize(docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(returning(run, "text"), "node binary, shingles array<long>"),
+                      keep_partitioning=False)
+    table.destroy()
+    return out
 
 
 def _verified(pairs: DataFrame, member: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: suffix filter on the slice sizes, then the
-    sets themselves."""
+    """The pairs (a, b) that link, written: signature filter, then the sets
+    themselves."""
     pairs = materialize(pairs, keep_partitioning=False)
     if pairs.isEmpty():
         return pairs
     asked = member.join(_nodes(pairs), "node", "left_semi")
-    cuts = asked.groupBy("node").agg(F.first("slices").alias("slices"))
-    both = (pairs.join(cuts.select(F.col("node").alias("a"), F.col("slices").alias("pa")), "a")
-            .join(cuts.select(F.col("node").alias("b"), F.col("slices").alias("pb")), "b"))
-    size = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y).cast("long")
-    total = size("pa") + size("pb")
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    # overlap >= percent * total / (100 + percent)  =>  difference <= total - 2 * overlap
-    near = materialize(both.filter((100 + percent) * (total - apart) >= 2 * percent * total).select("a", "b"), keep_partitioning=False)
+    marks = asked.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("signature").alias("s"))
+    both = (pairs.join(marks.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
+            .join(marks.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b"))
+
+    def close(batches):
+        import pyarrow as pa
+        for batch in batches:
+            a, b, total, sa, sb = batch.columns
+            total = total.to_numpy()
+            # overlap >= percent * total / (100 + percent)  =>  difference <= total - 2 * overlap
+            some = pa.array((100 + percent) * (total - _apart(sa, sb)) >= 2 * percent * total)
+            yield pa.RecordBatch.from_arrays([a.filter(some), b.filter(some)], names=["a", "b"])
+    near = materialize(both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb").mapInArrow(close, "a binary, b binary"), keep_partitioning=False)
+    discard(pairs)
     if near.isEmpty():
         return near
     named = member.join(_nodes(near), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialize(_sets_of(docs, named, words), keep_partitioning=False)
+    sets = _sets_of(docs, named, words)
     both = (near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     total = (F.size("sa") + F.size("sb")).cast("long")
-    return both.filter((100 + percent) * common >= percent * total).select("a", "b")
+    out = materialize(both.filter((100 + percent) * common >= percent * total).select("a", "b"), keep_partitioning=False)
+    discard(near, sets)
+    return out
 
 
 def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -283,10 +330,11 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     member, order = members(docs, words)
     order = spark.sparkContext.broadcast(order)
-    rows = prefixes(docs, words, percent, order).groupBy("token", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    rows = materialize(rows, keep_partitioning=False)
-    several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1").select("token")
-    rows = materialize(rows.join(several, "token"), keep_partitioning=False)
+    every = prefixes(docs, words, percent, order)
+    order.destroy()
+    several = every.groupBy("token").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1").select("token")
+    rows = materialize(every.join(several, "token"), keep_partitioning=False)
+    discard(every)
 
     # 1. Every member of a token's group against its leaders.
     rank = F.row_number().over(Window.partitionBy("token").orderBy("pos", "node"))
@@ -295,7 +343,7 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
             .filter((F.col("x.node") != F.col("y.node")) & _fits(percent, "x", "y"))
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     near = materialize(near, keep_partitioning=False)
-    links = materialize(_verified(near, member, docs, words, percent), keep_partitioning=False)
+    links = _verified(near, member, docs, words, percent)
 
     # 2. Pairs of a group that these links leave in different components.
     joined = materialize(components(links, "a", "b"), keep_partitioning=False)
@@ -308,10 +356,11 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
                                    & _fits(percent, "x", "y"))
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
             .join(near, ["a", "b"], "left_anti"))
-    links = links.union(materialize(_verified(rest, member, docs, words, percent), keep_partitioning=False))
+    links = links.union(_verified(rest, member, docs, words, percent))
+    discard(rows, marked, near)
 
     joined = materialize(components(links, "a", "b"), keep_partitioning=False)
-    return member.drop("slices").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return member.drop("signature").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80,

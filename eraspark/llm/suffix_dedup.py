@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import freeing, materialize
 from .common import returning, utf8
 
 LENGTH = 100
@@ -150,10 +150,11 @@ def ranks(entries: list[bytes], length: int = LENGTH):
 def bit_table(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """2**bits bits, in 64-bit words, with a bit set for each hash (long)."""
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, 58) as int))")
-    words = (hashes.select(F.expr(f"{column} & {2 ** (bits - 6) - 1}").alias("word"), bit.alias("bit"))
-             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas())
+    with freeing(hashes.sparkSession):
+        words = (hashes.select(F.expr(f"{column} & {2 ** (bits - 6) - 1}").alias("word"), bit.alias("bit"))
+                 .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
     table = np.zeros(1 << (bits - 6), np.int64)
-    table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
     return table
 
 

@@ -73,3 +73,37 @@ def test_components(spark):
     df = spark.createDataFrame([(1, 2), (3, 2), (3, 3), (5, 4), (9, 8), (8, 7), (7, 6), (6, 10), (None, 1)], "p long, q long")
     assert sorted(map(tuple, components(df, "p", "q").collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6), (8, 6), (9, 6), (10, 6)]
     assert components(df.filter("p = 3 and q = 3"), "p", "q").count() == 0
+
+
+def test_signatures_differ_in_no_more_bits_than_their_sets():
+    import numpy as np
+    import pyarrow as pa
+
+    from eraspark.llm.jaccard import _apart, signature
+    rng = np.random.default_rng(3)
+    pairs = []
+    for n in (0, 1, 5, 64, 65, 130, 700):
+        for change in (0, 1, 7, n):
+            s = np.unique(rng.integers(-2**63, 2**63, n))
+            pairs.append((s, np.unique(np.concatenate([s[min(change, n):], rng.integers(-2**63, 2**63, change)]))))
+    column = lambda side: pa.array([signature(p[side]) for p in pairs], pa.list_(pa.int64()))
+    apart = _apart(column(0), column(1))
+    true = [len(np.setxor1d(*p)) for p in pairs]
+    assert all(x <= t and (x - t) % 2 == 0 for x, t in zip(apart.tolist(), true))
+    # Sets that share nothing are told apart.
+    assert apart[-1] > 700 * 2 // 9 and apart.tolist() == _apart(column(1), column(0)).tolist()
+    assert _apart(column(0).slice(3, 9), column(1).slice(3, 9)).tolist() == apart[3:12].tolist()
+
+
+def test_sets_and_prefixes_do_not_stay_on_disk(spark):
+    import glob
+
+    from eraspark.session import ensure_checkpoint_dir
+    at = ensure_checkpoint_dir(spark).removeprefix("file://")
+    there = set(glob.glob(f"{at}/table-*"))
+    base = [[f"b{k}w{i}" for i in range(60)] for k in range(3)]
+    rows = [(i, " ".join([*base[i % 3][:i], f"x{i}", *base[i % 3][i + 1:]])) for i in range(30)]
+    df = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80)
+    left = {c for t in set(glob.glob(f"{at}/table-*")) - there for c in spark.read.parquet(t).columns}
+    assert not left & {"shingles", "token", "pos"}
+    assert got(df) == brute(rows, 2, 80)
