@@ -47,7 +47,7 @@ LEAST_BITS, MOST_BITS = 64, 1 << 20
 LEADERS = 4
 MEMORY_ENTRIES = 1_000_000
 # Bytes of text hashed at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 18
 
 
 class _WordHashes(dict):
@@ -167,7 +167,7 @@ def _apart(column_a, column_b) -> np.ndarray:
     out = np.zeros(len(n_a), np.int64)
     for i, j in np.unique(np.stack([n_a, n_b]), axis=1).T.tolist():
         rows, n = np.flatnonzero((n_a == i) & (n_b == j)), min(i, j)
-        step = max(1, (1 << 20) // max(i, j))
+        step = max(1, (1 << 17) // max(i, j))
         for lo in range(0, len(rows), step):
             some = rows[lo:lo + step]
             x, y = (np.bitwise_xor.reduce(values[at[some][:, None] + np.arange(k)].reshape(len(some), k // n, n), axis=1)
@@ -309,7 +309,7 @@ def _verified(pairs: DataFrame, member: DataFrame, docs: DataFrame, words: int,
             # overlap >= percent * total / (100 + percent)  =>  difference <= total - 2 * overlap
             some = pa.array((100 + percent) * (total - _apart(sa, sb)) >= 2 * percent * total)
             yield pa.RecordBatch.from_arrays([a.filter(some), b.filter(some)], names=["a", "b"])
-    near = materialize(both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb").mapInArrow(close, "a binary, b binary"), keep_partitioning=False)
+    near = materialize(both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb").mapInArrow(returning(close, "a"), "a binary, b binary"), keep_partitioning=False)
     discard(pairs)
     if near.isEmpty():
         return near
